@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .mixing import op5_mixing
+from .neardup import op8_simhash
+from .quality import op9_quality
 from .sharding import op1_sharding
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from . import topk, urls
+from .decontamination import op7_decontamination
 from .mixing import op5_mixing
 from .neardup import op8_simhash
 from .quality import op9_quality
 from .sharding import op1_sharding
+from .topk import op3_topk
 from .toxicity import op4_toxicity
+from .urls import op10_urls
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_urls": op10_urls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_topk": topk.ORACLE,
+    "op10_urls": urls.ORACLE,
+}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import topk, urls
+from . import licenses, secrets, topk, urls
 from .decontamination import op7_decontamination
+from .licenses import op6_licenses
 from .mixing import op5_mixing
 from .neardup import op8_simhash
 from .quality import op9_quality
+from .secrets import op2_secrets
 from .sharding import op1_sharding
 from .topk import op3_topk
 from .toxicity import op4_toxicity
@@ -14,9 +16,11 @@ from .urls import op10_urls
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secrets": op2_secrets,
     "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
@@ -24,6 +28,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_secrets": secrets.ORACLE,
     "op3_topk": topk.ORACLE,
+    "op6_licenses": licenses.ORACLE,
     "op10_urls": urls.ORACLE,
 }

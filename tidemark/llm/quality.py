@@ -21,7 +21,7 @@ from ._bytes import LOWER, WORD_OR_MARK, SpanHash, buffers, mix, pieces, runs
 from ._spark import id_remainder, table
 
 BUCKETS = 1 << 18
-MAX_TRAIN = 6000
+MAX_TRAIN = 3000
 KEEP_AT = 0.3
 _SCALE = 20.0
 
@@ -73,7 +73,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 3, seed:
 def _row(buckets: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, int]:
     k, c = np.unique(buckets, return_counts=True)
     x = c * (_SCALE / max(1, len(buckets)))
-    return np.append(k, BUCKETS), np.append(x, 1.0), label
+    return np.append(k, BUCKETS).astype(np.int32), np.append(x, 1.0).astype(np.float32), label
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ _MAYBE_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 KINDS = ("assign", "access", "hex", "live")
 EXAMPLE_OWNERS = 3
 LIVE_CHARACTERS = 8
+_SEEN = "array<struct<start:int,kind:int,end:int,verdict:string>>"
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -120,27 +121,25 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = checkpointed(scan(table(spark, sf_dir, "documents")))
     some = scanned.where(F.size("candidates") > 0)
     owned = ownership(some)
-    # One row for each candidate of each distinct row; joined to its value's owners.
-    each = some.dropDuplicates(["row"]).select("row", F.explode("candidates").alias("c"))
+    # Texts without a candidate have no span and skip the joins.
+    each = some.select("row", F.explode("candidates").alias("c"))
     judged = each.join(owned, each["c.hash"] == owned["hash"]).select(
         "row", "c", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("c.varied"), "live").otherwise("plain").alias("verdict")
     )
     kept = judged.where((F.col("c.kind") < 3) | (F.col("verdict") == "live"))
+    # A set: rows alike bring the same spans again.
     by_row = kept.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("c.start", "c.kind", "c.end"))).alias("all"),
-        F.count_if(F.col("verdict") == "live").alias("n_live"),
-        F.count_if(F.col("verdict") == "example").alias("n_example"),
+        F.array_sort(F.collect_set(F.struct("c.start", "c.kind", "c.end", "verdict"))).alias("all")
     )
-    return scanned.join(by_row, "row", "left").select(
-        "doc_id",
-        "n_assign",
-        "n_access",
-        "n_hex",
-        "base_sha256",
-        F.coalesce(_joined(F.col("all")), F.lit("")).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+    count = lambda v: F.size(F.filter("all", lambda s: s["verdict"] == v)).cast("long")
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    with_some = some.join(by_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(_SEEN))).select(
+        *columns, _joined(F.col("all")).alias("spans"), count("live").alias("n_live"), count("example").alias("n_example")
+    )
+    without = scanned.where(F.size("candidates") == 0).select(
+        *columns, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example")
     )
+    return with_some.union(without)
 
 
 def _oracle() -> str:

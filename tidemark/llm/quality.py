@@ -9,7 +9,7 @@ document as one sparse dot product per text, in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (all_ % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([rows, rows, marked, marked])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 3, seed: int = 5,
+def train(buckets: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: list[int], passes: int = 3, seed: int = 5,
           alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over (buckets, values, label) rows; (weights, bias)."""
+    """FTRL-proximal over rows ``ends[i]:ends[i + 1]`` of (bucket, value); (weights, bias)."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     rng = np.random.default_rng(seed)
 
@@ -59,10 +59,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 3, seed:
         return np.where(np.abs(s) <= l1, 0.0, -(s - np.sign(s) * l1) / ((beta + np.sqrt(n[k])) / alpha + l2))
 
     for _ in range(passes):
-        for i in rng.permutation(len(rows)):
-            k, x, y = rows[i]
+        for i in rng.permutation(len(labels)):
+            k = np.append(buckets[ends[i] : ends[i + 1]], BUCKETS)
+            x = np.append(values[ends[i] : ends[i + 1]], np.float32(1))
             w = weight(k)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
+            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - labels[i]) * x
             step = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
             z[k] += g - step * w
             n[k] += g * g
@@ -70,22 +71,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = 3, seed:
     return all_[:BUCKETS], float(all_[BUCKETS])
 
 
-def _row(buckets: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, int]:
-    k, c = np.unique(buckets, return_counts=True)
-    x = c * (_SCALE / max(1, len(buckets)))
-    return np.append(k, BUCKETS).astype(np.int32), np.append(x, 1.0).astype(np.float32), label
-
-
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, label, buckets, values) of every training row, a bucket once with its share of all features."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        lists: list[np.ndarray] = []
+        buckets: list[np.ndarray] = []
+        values: list[np.ndarray] = []
         for a, b in pieces(offsets):
             k, rows = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            order = np.argsort(rows, kind="stable")
-            lists += np.split(k[order], np.searchsorted(rows[order], np.arange(1, b - a)))
+            keys, counts = np.unique(rows * BUCKETS + k, return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(1, b - a) * BUCKETS)
+            total = np.maximum(np.bincount(rows, minlength=b - a), 1)
+            shares = (counts * _SCALE / total[keys // BUCKETS]).astype(np.float32)
+            buckets += np.split((keys % BUCKETS).astype(np.int32), cuts)
+            values += np.split(shares, cuts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["label", "buckets"]
+            [batch.column("at"), batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            ["at", "label", "buckets", "values"],
         )
 
 
@@ -112,19 +114,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """(weights, bias); without labelled rows the model scores every text by its bias, 0.5."""
     rows = training_rows(docs, labels, "quality", max_train)
-    got = rows.mapInArrow(
-        lambda it: _with_place(it, _feature_rows), "at long, label int, buckets array<int>"
-    ).orderBy("at").limit(max_train).toArrow()
-    buckets = got.column("buckets").combine_chunks()
-    values, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
-    rows = [_row(values[a:b], y) for a, b, y in zip(ends, ends[1:], got.column("label").to_pylist())]
-    return train(rows)
-
-
-def _with_place(batches: Iterator[pa.RecordBatch], f: Callable) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in f(iter([batch])):
-            yield pa.RecordBatch.from_arrays([batch.column("at"), *out.columns], ["at", *out.schema.names])
+    got = (
+        rows.mapInArrow(_feature_rows, "at long, label int, buckets array<int>, values array<float>")
+        .orderBy("at").limit(max_train).toArrow()
+    )
+    buckets, values = got.column("buckets").combine_chunks(), got.column("values").combine_chunks()
+    return train(
+        buckets.values.to_numpy(), values.values.to_numpy(), buckets.offsets.to_numpy(), got.column("label").to_pylist()
+    )
 
 
 def scores(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

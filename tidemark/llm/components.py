@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ship_by_value
 from ._spark import checkpointed
 
+#: Links that one task contracts among themselves before the distributed rounds.
+CHUNK = 1_000_000
+
+
+def least_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least reachable index of each of ``n`` nodes over the links i-j."""
+    parent = np.arange(n)
+    while len(i):
+        ri, rj = parent[i], parent[j]
+        apart = ri != rj
+        i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
+        np.minimum.at(parent, np.maximum(ri, rj), np.minimum(ri, rj))
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+    return parent
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as stars: each node with the least node it reaches over them."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    links = pa.Table.from_batches(tables)
+    v, m = links.column("v").to_numpy(), links.column("m").to_numpy()
+    nodes, place = np.unique(np.concatenate([v, m]), return_inverse=True)
+    place = place.reshape(-1)
+    root = least_roots(len(nodes), place[: len(v)], place[len(v) :])
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["v", "m"])
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b longs); root is the least node reachable.
 
-    Alternates the large-star and small-star steps until every edge points at its root.
+    First, chunks of ``CHUNK`` links are contracted each within a task.  Then it alternates the large-star and small-star steps until every edge points at its root.
     Minima are pre-aggregated before each shuffle and the joins that follow have one
     row per node on one side, so a hub's edges can be split.  Each round is
     checkpointed, so a lost executor costs no earlier round.
     """
     links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct()
     links = checkpointed(links)
+    parts = -(-links.count() // CHUNK)
+    links = checkpointed(links.repartition(max(1, parts)).mapInArrow(_contract, "v long, m long").distinct())
     before = None
     for _ in range(max_rounds):
         links = checkpointed(_small_star(_large_star(links)))
@@ -50,3 +87,6 @@ def _small_star(links: DataFrame) -> DataFrame:
         .where("v != m")
         .distinct()
     )
+
+
+ship_by_value(__name__)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import ship_by_value
 from ._bytes import buffers
 from ._spark import checkpointed, table
-from .components import connected_components
+from .components import connected_components, least_roots
 
 RADIUS = 4
 SHINGLE = 4
@@ -82,21 +82,17 @@ def links_of(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 256) -> tupl
     """A spanning forest of all links between two tiles (a tile with itself: within it)."""
     same = a is b
     nodes = a if same else np.concatenate([a, b])
-    parent = np.arange(len(nodes))
+    root = np.arange(len(nodes))
     shift = 0 if same else len(a)
     for first in range(0, len(a), rows):
         near = np.bitwise_count(a[first : first + rows, None] ^ b[None, :]) <= radius
         i, j = np.nonzero(near)
-        i, j = i + first, j + shift
-        while len(i):
-            ri, rj = parent[i], parent[j]
-            apart = ri != rj
-            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-            np.minimum.at(parent, np.maximum(ri, rj), np.minimum(ri, rj))
-            while (up := parent[parent]) is not None and (up != parent).any():
-                parent = up
-    linked = np.flatnonzero(parent != np.arange(len(nodes)))
-    return nodes[linked], nodes[parent[linked]]
+        # Links already bridged by earlier rows fall away at once.
+        i, j = root[i + first], root[j + shift]
+        if (i != j).any():
+            root = least_roots(len(nodes), i, j)[root]
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[linked], nodes[root[linked]]
 
 
 def _meet(radius: int):

@@ -126,15 +126,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = each.join(owned, each["c.hash"] == owned["hash"]).select(
         "row", "c", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("c.varied"), "live").otherwise("plain").alias("verdict")
     )
-    kept = judged.where((F.col("c.kind") < 3) | (F.col("verdict") == "live"))
     # A set: rows alike bring the same spans again.
-    by_row = kept.groupBy("row").agg(
+    by_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct("c.start", "c.kind", "c.end", "verdict"))).alias("all")
     )
     count = lambda v: F.size(F.filter("all", lambda s: s["verdict"] == v)).cast("long")
+    shown = F.filter("all", lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
     with_some = some.join(by_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(_SEEN))).select(
-        *columns, _joined(F.col("all")).alias("spans"), count("live").alias("n_live"), count("example").alias("n_example")
+        *columns, _joined(shown).alias("spans"), count("live").alias("n_live"), count("example").alias("n_example")
     )
     without = scanned.where(F.size("candidates") == 0).select(
         *columns, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example")
@@ -170,8 +170,9 @@ x AS (
   SELECT x.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN len(list_distinct(string_split(x.value, ''))) >= {LIVE_CHARACTERS} THEN 'live' ELSE 'plain' END AS verdict
   FROM x JOIN o USING (value)
 ), a AS (
-  SELECT r, {text} AS spans, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
-  FROM j WHERE kind < 3 OR verdict = 'live' GROUP BY r
+  SELECT r, {text} FILTER (WHERE kind < 3 OR verdict = 'live') AS spans, count(*) FILTER (WHERE verdict = 'live') AS n_live,
+    count(*) FILTER (WHERE verdict = 'example') AS n_example
+  FROM j GROUP BY r
 ), c AS (
   SELECT r, {text} AS base, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
     count(*) FILTER (WHERE kind = 2) AS n_hex FROM b GROUP BY r

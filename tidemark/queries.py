@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import evals, filters, graph, index, pages, sessions
+from .operators import analysis, evals, filters, graph, index, pages, sessions
 from .plans import diagnose
 from .plans.lineage import cut
 
@@ -831,6 +831,135 @@ def _(s, d):
     return _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
+# --- studies ------------------------------------------------------------------------------------
+
+
+_PARTS = "[" + ", ".join(f"'{w}'" for w in ("valve", "relays", "o-ring", "tank-sensor", "leak", "sealing", "fuse", "gimbal-motor", "pump", "noise")) + "]"
+_PART_WORDS = ("valve", "relays", "o-ring", "tank-sensor", "leak", "sealing", "fuse", "gimbal-motor", "pump", "noise")
+
+
+def _causes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    pick = lambda n: F.get(T.words(_PART_WORDS), (k * n % 10).cast("int"))
+    return _t(s, d, "supplier").select(k.alias("id"), F.array_distinct(F.array(pick(3), pick(7), F.concat(F.lit("valve-x"), k % 40))).alias("terms"), pick(1).alias("decision"))
+
+
+_CA = f"""ca AS (SELECT s_suppkey AS id, list_distinct([({_PARTS})[s_suppkey * 3 % 10 + 1], ({_PARTS})[s_suppkey * 7 % 10 + 1], 'valve-x' || s_suppkey % 40]) AS terms, ({_PARTS})[s_suppkey % 10 + 1] AS decision FROM supplier),
+idf AS (SELECT tok, ln((SELECT count(*) FROM ca) / (count(*) + 1)) AS idf FROM (SELECT unnest(terms) AS tok FROM ca) GROUP BY tok)"""
+
+
+@query(
+    "component_parts",
+    f"""WITH {_CA}, r AS (SELECT id, tok, idf FROM (SELECT id, unnest(terms) AS tok FROM ca) JOIN idf USING (tok) WHERE idf >= 1.0),
+p AS (SELECT id, idf, unnest(CASE WHEN contains(tok, '-') AND tok NOT IN ('o-ring', 'b-nut') THEN [x FOR x IN string_split(tok, '-') IF length(x) >= 4] ELSE [tok] END) AS part FROM r),
+q AS (SELECT id, part, max(idf) AS idf FROM p WHERE regexp_matches(part, {_q(analysis.PART)}) AND NOT regexp_matches(part, {_q(analysis.MECHANISM + '$')}) AND NOT regexp_matches(part, '(ing|ed)$') GROUP BY id, part)
+SELECT id, part, round(idf, 6) AS idf, CAST(row_number() OVER (PARTITION BY id ORDER BY round(idf, 9) DESC, part) AS INTEGER) AS place FROM q""",
+)
+def _(s, d):
+    rows = _causes(s, d)
+    idf = evals.idf_table(rows, F.col("terms")).withColumn("idf", F.round("idf", 9))
+    strong = idf.where("idf >= 1.0").withColumn("idf", F.col("idf") + L.STRONG_IDF)  # small tables have no idf of 2.5
+    return analysis.components(rows, F.col("terms"), strong).select("id", "part", F.round(F.col("idf") - L.STRONG_IDF, 6).alias("idf"), "place")
+
+
+@query(
+    "named_parts",
+    f"""WITH {_CA}, e AS (SELECT id, decision, unnest(terms) AS part FROM ca), f AS (SELECT *, regexp_replace(part, 's$', '') AS stem FROM e)
+SELECT id, part, contains(decision, stem) OR contains(regexp_replace(decision, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) AS strict,
+  contains(decision, stem) OR contains(regexp_replace(decision, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) OR len([h FOR h IN string_split(part, '-') IF length(h) >= 4 AND contains(decision, h)]) > 0 AS loose FROM f""",
+)
+def _(s, d):
+    e = _causes(s, d).select("id", "decision", F.explode("terms").alias("part"))
+    return e.select("id", "part", analysis.is_named(F.col("part"), F.col("decision")).alias("strict"), analysis.is_named(F.col("part"), F.col("decision"), True).alias("loose"))
+
+
+_KIND = f"CASE WHEN regexp_matches(w, {_q('(?i)' + L.WHERE)}) AND regexp_matches(w, {_q('(?i)' + L.WHY)}) THEN 'both' WHEN regexp_matches(w, {_q('(?i)' + L.WHERE)}) THEN 'where' WHEN regexp_matches(w, {_q('(?i)' + L.WHY)}) THEN 'why' ELSE 'other' END"
+
+
+@query("term_kinds", f"WITH p AS (SELECT unnest({_PARTS} || ['short circuit', 'bus']) AS w) SELECT w AS term, {_KIND} AS kind FROM p")
+def _(s, d):
+    return s.range(1).select(F.explode(T.words((*_PART_WORDS, "short circuit", "bus"))).alias("term")).select("term", analysis.term_kind(F.col("term")).alias("kind"))
+
+
+@query(
+    "cause_composition",
+    f"""WITH {_CA}, t AS (SELECT id % 4 AS g, array_to_string(list_sort(terms), ' ') AS t FROM ca),
+c AS (SELECT g, len(regexp_extract_all(t, {_q('(?i)' + L.WHERE)})) AS w, len(regexp_extract_all(t, {_q('(?i)' + L.WHY)})) AS y FROM t)
+SELECT g, count(*) AS n, CAST(sum(w) AS BIGINT) AS where_words, CAST(sum(y) AS BIGINT) AS why_words, count(*) FILTER (WHERE w > 0) AS has_where, count(*) FILTER (WHERE y > 0) AS has_why,
+  count(*) FILTER (WHERE w > 0 AND y > 0) AS has_both FROM c GROUP BY g""",
+)
+def _(s, d):
+    rows = _causes(s, d).select((F.col("id") % 4).alias("g"), F.array_join(F.array_sort("terms"), " ").alias("t"))
+    return analysis.composition(rows, "t", "g")
+
+
+@query(
+    "where_coverage",
+    f"""WITH {_CA}, n AS (SELECT id, contains(decision, left(tok, 4)) AS hit FROM (SELECT id, decision, unnest(terms) AS tok FROM ca) WHERE regexp_matches(tok, {_q('(?i)' + L.WHERE)})),
+s AS (SELECT id, count(*) FILTER (WHERE hit) / count(*) AS share FROM n GROUP BY id)
+SELECT count(*) AS n, round(avg(share), 6) AS mean, round(median(share), 6) AS median, round(avg(CASE WHEN share > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM s""",
+)
+def _(s, d):
+    e = _causes(s, d).select("id", "decision", F.explode("terms").alias("tok")).where(F.col("tok").rlike("(?i)" + L.WHERE))
+    out = analysis.where_coverage(e.select("id", "tok", F.contains("decision", F.left("tok", F.lit(4))).alias("hit")))
+    return out.select("n", _r("mean"), _r("median"), _r("hit_rate"))
+
+
+@query(
+    "symptom_graph",
+    """WITH s AS (SELECT p_name AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS subsystem, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS component,
+  ['low ' || p_size, 'hot ' || p_brand] AS symptoms, ['see ' || p_size] AS links FROM part),
+m AS (SELECT id, component, unnest(symptoms) AS y FROM s),
+e AS (SELECT subsystem AS src, id AS dst, 'has_procedure' AS kind FROM s WHERE subsystem <> '' UNION ALL SELECT subsystem, component, 'has_component' FROM s WHERE subsystem <> '' AND component <> ''
+  UNION ALL SELECT y, id, 'indicates' FROM m UNION ALL SELECT y, component, 'associated_with' FROM m WHERE component <> '' UNION ALL SELECT id, unnest(links), 'related_to' FROM s)
+SELECT kind, src, count(*) AS n, count(DISTINCT dst) AS targets FROM e GROUP BY kind, src""",
+)
+def _(s, d):
+    k = F.col("p_partkey")
+    seg = _t(s, d, "part").select(
+        F.col("p_name").alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("p_brand")).alias("subsystem"), F.when(k % 4 != 0, F.col("p_type")).alias("component"),
+        F.array(F.concat(F.lit("low "), "p_size"), F.concat(F.lit("hot "), "p_brand")).alias("symptoms"), F.array(F.concat(F.lit("see "), "p_size")).alias("links_to"),
+    )
+    return analysis.symptom_graph(seg)[1].groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("targets"))
+
+
+@query(
+    "structural_match",
+    f"""WITH tm AS (SELECT doc_id AS ord, {CONTENT.format('text')} AS terms FROM documents), q AS (SELECT item_id AS query_id, {CONTENT.format('text')} AS terms FROM benchmark),
+idf AS (SELECT tok, ln((SELECT count(*) FROM documents) / (count(*) + 1)) AS idf FROM (SELECT unnest(terms) AS tok FROM tm) GROUP BY tok),
+m AS (SELECT query_id, ord, sum(idf) AS s FROM (SELECT query_id, unnest(terms) AS tok FROM q) JOIN idf USING (tok) JOIN (SELECT ord, unnest(terms) AS tok FROM tm) USING (tok) GROUP BY ALL)
+SELECT query_id, round(max(s), 6) AS best FROM m GROUP BY query_id""",
+)
+def _(s, d):
+    terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
+    asked = _symptoms(s, d).select("query_id", T.content_terms(F.col("symptom")).alias("terms"))
+    return analysis.structural_match(asked, terms, evals.idf_table(terms, F.col("terms"))).select("query_id", _r("best"))
+
+
+@query(
+    "operating_point",
+    "SELECT round(count(*) FILTER (WHERE quality = 0 AND toxic = 1) / nullif(count(*) FILTER (WHERE toxic = 1), 0), 6) AS catch, "
+    "round(count(*) FILTER (WHERE quality = 0 AND toxic = 0) / nullif(count(*) FILTER (WHERE toxic = 0), 0), 6) AS false_flag, "
+    "round(count(*) FILTER (WHERE quality = 0 AND toxic = 1) / nullif(count(*) FILTER (WHERE quality = 0), 0), 6) AS precision FROM labels",
+)
+def _(s, d):
+    rows = _t(s, d, "labels").select((F.col("quality") == 0).alias("flag"), (F.col("toxic") == 1).alias("bad"))
+    return analysis.operating_point(rows, "flag", "bad").select(_r("catch"), _r("false_flag"), _r("precision"))
+
+
+@query(
+    "turns_report",
+    """WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN max(turn) END AS matched_at, sum(length(text)) / 100.0 AS seconds, CASE WHEN conv_id % 4 <> 0 THEN count(*) END AS human_turns FROM conversations GROUP BY conv_id)
+SELECT count(*) AS n, count(matched_at) AS matched, round(avg(matched_at), 6) AS mean_turns, round(median(matched_at), 6) AS median_turns, round(avg(seconds), 6) AS mean_seconds,
+  count(*) FILTER (WHERE matched_at IS NOT NULL AND human_turns IS NOT NULL) AS paired, count(*) FILTER (WHERE matched_at <= human_turns) AS no_later FROM c""",
+)
+def _(s, d):
+    rows = _t(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("m"), (F.sum(F.length("text")) / 100.0).alias("seconds"), F.count(F.lit(1)).alias("h")).select(
+        F.when(F.col("conv_id") % 3 != 0, F.col("m")).alias("matched_at"), "seconds", F.when(F.col("conv_id") % 4 != 0, F.col("h")).alias("human_turns"), F.lit(None).cast("double").alias("human_seconds"),
+    )
+    return analysis.turns_report(rows).select("n", "matched", _r("mean_turns"), _r("median_turns"), _r("mean_seconds"), "paired", "no_later")
+
+
 # --- without a SQL form -------------------------------------------------------------------------
 
 
@@ -866,3 +995,26 @@ def _(s, d):
     scores = cut(_literal_scores(s, d))
     edges = _doc_edges(s, d)
     return diagnose.render_chains(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3), _segments(s, d))
+
+
+@query("index_comparison")
+def _(s, d):
+    seg = filters.clean_corpus(_segments(s, d))
+    asked = _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks"))
+    return analysis.index_comparison(seg, {"whole": F.col("raw_text"), "opening": F.left("raw_text", F.lit(400)), "source": F.concat_ws(" ", "source_doc", "lang")}, asked)
+
+
+@query("walk_sweep")
+def _(s, d):
+    scores, edges = cut(_literal_scores(s, d)), cut(_doc_edges(s, d))
+    entries = cut(graph.pick_entries(index.top_k(scores, 16), edges, 8))
+    terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
+    targets = _symptoms(s, d).select("query_id", T.content_terms(F.col("symptom")).alias("terms"))
+    return analysis.walk_sweep(entries, edges, scores, targets, terms, (0.4, 0.6), (1, 2))
+
+
+@query("chain_profile")
+def _(s, d):
+    scores, edges = cut(_literal_scores(s, d)), _doc_edges(s, d)
+    paths = cut(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3))
+    return analysis.chain_profile(paths, _segments(s, d))

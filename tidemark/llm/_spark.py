@@ -10,9 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of a small table that share one checkpoint file.
+FILE_ROWS = 250_000
+
+
+def checkpointed(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
+    ``most_rows`` bounds the rows of a digest that many shuffle partitions would
+    scatter over as many small files; it is written as a file for each ``FILE_ROWS``.
+
     The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
     (a local test session) a folder of our own is made.
     """
@@ -21,6 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 

@@ -46,6 +46,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b longs); root is the least node reachable.
 
+    ``edges`` is read once.
+
     First, chunks of ``CHUNK`` links are contracted each within a task.  Then it alternates the large-star and small-star steps until every edge points at its root.
     Minima are pre-aggregated before each shuffle and the joins that follow have one
     row per node on one side, so a hub's edges can be split.  Each round is
@@ -53,11 +55,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct()
     links = checkpointed(links)
-    parts = -(-links.count() // CHUNK)
-    links = checkpointed(links.repartition(max(1, parts)).mapInArrow(_contract, "v long, m long").distinct())
+    parts = max(1, -(-links.count() // CHUNK))
+    links = checkpointed(links.repartition(parts).mapInArrow(_contract, "v long, m long"))
+    most = links.count()
     before = None
     for _ in range(max_rounds):
-        links = checkpointed(_small_star(_large_star(links)))
+        links = checkpointed(_small_star(_large_star(links)), 2 * most)
         seen = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.hash("v", "m").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -100,7 +100,8 @@ def mixing_plan(
     """
     spark = rows.sparkSession
     per_block = checkpointed(
-        rows.groupBy("skey", block_of(F.col("h"), blocks).alias("block")).agg(F.sum("size").alias("words"))
+        rows.groupBy("skey", block_of(F.col("h"), blocks).alias("block")).agg(F.sum("size").alias("words")),
+        rows.count(),
     )
     sizes = {r["skey"]: r["words"] for r in per_block.groupBy("skey").agg(F.sum("words").alias("words")).collect()}
     keys = sorted(sizes)

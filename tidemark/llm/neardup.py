@@ -111,6 +111,7 @@ def _meet(radius: int):
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning forest of every link between the distinct fingerprints ``nodes.fp``."""
+    most = nodes.count()
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     classed = nodes.select(
         "fp",
@@ -123,7 +124,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
         classed.join(F.broadcast(sizes), ["hi", "lo"])
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .groupBy("hi", "lo", "chunk")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list("fp").alias("fps")),
+        most,
     )
     steps = [
         (h, w)
@@ -146,12 +148,13 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
 
 def components(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(fp, component_id) of every fingerprint: the least doc_id reachable over links."""
-    nodes = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    most = marks.count()
+    nodes = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), most)
     roots = connected_components(near_links(nodes.select("fp"), radius, tile))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root")
     )
-    named = checkpointed(named)
+    named = checkpointed(named, most)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
 

@@ -125,7 +125,8 @@ def ring_shards(
             "__ring_arc",
             "n",
             (F.sum("n").over(in_arc) - F.col("n")).alias("__ring_before"),
-        )
+        ),
+        CELLS * SUB_BUCKETS,
     )
     loads = [0] * len(points)
     for row in offsets.groupBy("__ring_arc").agg(F.sum("n").alias("n")).collect():

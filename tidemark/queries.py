@@ -445,7 +445,7 @@ def _(s, d):
 
 @query(
     "bfs_reach",
-    f"""WITH RECURSIVE {_EDGES}, f AS (SELECT src, dst FROM ed WHERE seq <= 2), sd AS (SELECT n_nationkey AS query_id, n_nationkey AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
+    f"""WITH RECURSIVE {_EDGES}, f AS (SELECT src, dst FROM ed WHERE seq <= 2), sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
 w(query_id, node, hop) AS (SELECT query_id, node, 0 FROM sd UNION SELECT query_id, dst, hop + 1 FROM w JOIN f ON f.src = w.node WHERE hop < 3)
 SELECT query_id, node, min(hop) AS hop FROM w GROUP BY query_id, node""",
 )
@@ -457,7 +457,7 @@ def _(s, d):
 
 @query(
     "min_cost_route",
-    f"""WITH RECURSIVE {_EDGES}, sd AS (SELECT n_nationkey AS query_id, n_nationkey AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
+    f"""WITH RECURSIVE {_EDGES}, sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
 w(query_id, node, cost, hop) AS (SELECT query_id, node, CAST(0 AS DOUBLE), 0 FROM sd
   UNION ALL SELECT query_id, dst, cost + CASE WHEN seq = 3 THEN -ln(0.6) ELSE -ln(0.8) END, hop + 1 FROM w JOIN ed ON ed.src = w.node WHERE hop < 3)
 SELECT query_id, node, round(exp(-min(cost)), 6) AS score FROM w GROUP BY query_id, node""",
@@ -549,7 +549,7 @@ def _(s, d):
     "positional_join",
     """WITH a AS (SELECT n_regionkey AS g, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation),
 b AS (SELECT s_suppkey % 7 AS g, s_name, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey) AS place FROM supplier WHERE s_suppkey < 20)
-SELECT a.g, n_name, s_name FROM a LEFT JOIN b USING (g, place)""",
+SELECT CAST(g AS BIGINT) AS g, n_name, s_name FROM a LEFT JOIN b USING (g, place)""",
 )
 def _(s, d):
     left = _t(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("g"), "n_name")

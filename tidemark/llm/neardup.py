@@ -185,6 +185,7 @@ _SALTS = np.array([w * 0x9E3779B97F4A7C15 % (1 << 64) for w in range(WORDS)], np
 FIRST_WORD = 21
 WIDE_TILE = 4096
 MOST_TILES = 64
+END_BUCKETS = 1 << 17
 
 
 def wide_fingerprint(h: np.ndarray) -> np.ndarray:
@@ -313,8 +314,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = WIDE_
     right = tiles.select("pop", F.col("chunk").alias("c2"), F.col("fps").alias("right"))
     own = (F.col("p1") == F.col("pop")) & (F.col("c1") == F.col("c2"))
     pairs = left.join(right, "pop").where("p1 < pop or c1 <= c2").select("left", F.when(~own, F.col("right")).alias("right"), own.alias("own"))
-    # A pair is one unit of work whatever its place, so pairs are dealt evenly.
-    return pairs.repartition(max(12, min(MOST_TILES, -(-most // tile)) * 4)).mapInArrow(_meet_wide(radius), "a long, b long")
+    return pairs.mapInArrow(_meet_wide(radius), "a long, b long")
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -323,7 +323,11 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     sets: node, row, shingles; of the rows of one fingerprint the first stands for all.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    held = sets.join(ends, "node", "left_semi")
+    # A first sieve with END_BUCKETS rows at most keeps most other sets out of the shuffle.
+    bucket = F.pmod(F.col("node"), F.lit(END_BUCKETS)).cast("int")
+    sieve = ends.select(bucket.alias("bucket")).distinct()
+    sifted = sets.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
+    held = sifted.select("node", "row", "shingles").join(ends, "node", "left_semi")
     some = checkpointed(held.groupBy("node").agg(F.min_by("shingles", "row").alias("shingles")), links.count())
     both = links.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))

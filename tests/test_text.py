@@ -13,7 +13,7 @@ def test_tokens_keep_case_only_with_digits(spark):
 
 
 def test_salience_takes_phrases_then_lexicon_without_repeats(spark):
-    assert one(spark, "We had a MAIN BUS B UNDERVOLT and a bang, 123 OK", T.salience) == "MAIN BUS B UNDERVOLT undervolt bang bus"
+    assert one(spark, "We had a MAIN BUS B UNDERVOLT and a bang, 123, OK", T.salience) == "MAIN BUS B UNDERVOLT undervolt bang bus"
     assert one(spark, "the BUS on the bus", T.salience) == "BUS"
     assert one(spark, None, T.salience) == ""
 

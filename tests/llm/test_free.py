@@ -223,6 +223,37 @@ def test_near_duplicates_against_brute_force(spark, tables):
     assert neardup.op8_simhash(spark, tables("none", documents=([], SCHEMA))).count() == 0
 
 
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    return sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect())
+
+
+def test_copies_farther_from_each_other_than_from_their_base(spark):
+    """A base and 1,000 copies, each 0.811 alike to it and mostly 0.65 to the others: one stays."""
+    rng = random.Random(31)
+    base = [f"word{k}" for k in range(100)]
+    texts = [" ".join(base)]
+    for k in range(1000):
+        copy, at = list(base), rng.randrange(5, 85)
+        copy[at], copy[rng.randrange(at + 5, 95)] = f"one{k}", f"two{k}"
+        texts.append(" ".join(copy))
+    assert kept_ids(spark, texts) == [0]
+
+
+def test_blocks_lose_no_link(spark):
+    """Groups cut into many blocks, with large parts of their own, against all pairs."""
+    rng = random.Random(32)
+    bases = [rng.sample(range(10000), 40) for _ in range(6)]
+    sets = [sorted(set(bases[k % 6]) - set(rng.sample(bases[k % 6], rng.randrange(8))) | set(rng.sample(range(10000), rng.randrange(4)))) for k in range(90)]
+    part = [k if k % 6 or k > 60 else 0 for k in range(90)]  # one large part, the rest by themselves
+    rows = [(k % 2 * 7, k, part[k], sets[k]) for k in range(90)]
+    links = neardup.exact_links(spark.createDataFrame(rows, "group long, node long, part long, shingles array<int>"), 0.8, 4)
+    got = dict(map(tuple, components.connected_components(links).collect()))
+    pairs = [(part[i], part[j]) for i in range(90) for j in range(i) if (i - j) % 2 == 0 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    want = components.least_roots(90, *np.array(pairs).T)
+    assert [got.get(p, p) for p in part] == [want[p] for p in part] and len(set(want)) > 12
+
+
 def test_small_tiles_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)

@@ -317,10 +317,10 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = WIDE_
     return pairs.mapInArrow(_meet_wide(radius), "a long, b long")
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The links whose shingle sets are alike in ``similarity`` or more, exactly counted.
+def sets_of(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingles) of the ends of ``links``.
 
-    sets: node, row, shingles; of the rows of one fingerprint the first stands for all.
+    sets: node, row, shingles; of the rows of one node the first stands for all.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     # A first sieve with END_BUCKETS rows at most keeps most other sets out of the shuffle.
@@ -328,18 +328,134 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     sieve = ends.select(bucket.alias("bucket")).distinct()
     sifted = sets.withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
     held = sifted.select("node", "row", "shingles").join(ends, "node", "left_semi")
-    some = checkpointed(held.groupBy("node").agg(F.min_by("shingles", "row").alias("shingles")), links.count())
-    both = links.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
+    return checkpointed(held.groupBy("node").agg(F.min_by("shingles", "row").alias("shingles")), links.count())
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The links whose shingle sets (node, shingles) are alike in ``similarity`` or more, exactly counted."""
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+#: Sets, and shingles of them, that one side of a block takes.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
+_COLUMNS = 4096
+
+
+def exact_links_of(
+    values: np.ndarray, sizes: np.ndarray, part: np.ndarray, right: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, by names of parts, of all pairs of sets that are alike enough.
+
+    The sets lie one after another in ``values``. Those of ``right`` meet the others only;
+    without any, all meet all.
+    """
+    l, r = np.flatnonzero(~right), np.flatnonzero(right)
+    if not len(r):
+        r = l
+    elif not len(l):
+        return part[:0], part[:0]
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    many = count > 1  # a shingle of one set is shared by none
+    column = np.cumsum(many) - 1
+    row = np.repeat(np.arange(len(sizes)), sizes)[many[place]]
+    place = column[place[many[place]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    shared = np.zeros((len(l), len(r)), np.float32)
+    width = int(many.sum())
+    for first in range(0, width, _COLUMNS):
+        a, b = np.searchsorted(place, [first, first + _COLUMNS])
+        has = np.zeros((len(sizes), min(_COLUMNS, width - first)), np.float32)
+        has[row[a:b], place[a:b] - first] = 1
+        shared += has[l] @ has[r].T
+    shared = shared.astype(np.float64)
+    alike = shared >= similarity * (sizes[l][:, None] + sizes[r][None, :] - shared)
+    i, j = np.nonzero(alike)
+    names, at = np.unique(part, return_inverse=True)
+    root = least_roots(len(names), at[l[i]], at[r[j]])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _meet_exactly(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column("members"):
+                v = cell.values
+                sets = v.field("shingles")
+                x, y = exact_links_of(
+                    sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy()), v.field("part").to_numpy(),
+                    v.field("right").to_numpy(zero_copy_only=False), similarity,
+                )
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return run
+
+
+def exact_links(members: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): parts of one group that hold sets alike in ``similarity`` or more; every pair is counted exactly.
+
+    members: group, node, part, shingles. What one part holds is taken as joined, so a group
+    of one part is left out. A large group is cut into blocks and each two blocks meet by
+    themselves; a large part has blocks of its own, which do not meet each other.
+    """
+    volume = F.sum(F.size("shingles"))
+    chunks = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("volume") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    parts = members.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), volume.alias("volume"))
+    parts = checkpointed(parts, members.count())
+    groups = parts.groupBy("group").agg(F.count(F.lit(1)).alias("parts"), chunks.alias("chunks")).where("parts > 1")
+    groups = checkpointed(groups.select("group", "chunks"), parts.count())
+    # Groups of several blocks: at most one for each block of members.
+    large = groups.where("chunks > 1").select("group")
+    pure = (F.col("n") >= block) | (F.col("volume") >= BLOCK_SHINGLES)
+    pooled = parts.join(F.broadcast(large), "group", "left_semi").withColumn("pool", F.when(pure, F.col("part")))
+    pools = checkpointed(pooled.groupBy("group", "pool").agg(chunks.alias("chunks")), parts.count())
+    name = F.struct(F.col("pool").isNull().alias("mixed"), "pool")
+    mine = pools.select("group", name.alias("p"), F.col("chunks").alias("own"))
+    theirs = pools.select("group", name.alias("q"), F.col("chunks").alias("others"))
+    meet = mine.join(theirs, "group").where("p != q or p.mixed")
+    # The small groups stay whole.
+    rest = members.join(F.broadcast(large), "group", "left_anti").join(groups.select("group"), "group", "left_semi")
+    rest = rest.select(F.xxhash64("group").alias("key"), "part", F.lit(False).alias("right"), "shingles")
+    named = members.join(F.broadcast(large), "group", "left_semi").join(
+        F.broadcast(pools.where("pool is not null").select("group", F.col("pool").alias("part"), "pool")), ["group", "part"], "left"
+    )
+    named = named.select("group", "node", "part", "shingles", name.alias("p")).join(F.broadcast(meet), ["group", "p"])
+    dealt = named.withColumn("c", F.pmod(F.xxhash64("node"), F.col("own")).cast("int")).withColumn(
+        "d", F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    )
+    right = (F.col("p") > F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("c") > F.col("d")))
+    here, there = F.struct("p", "c"), F.struct(F.col("q").alias("p"), F.col("d").alias("c"))
+    dealt = dealt.withColumn("right", right).select(
+        F.xxhash64("group", F.when(F.col("right"), there).otherwise(here), F.when(F.col("right"), here).otherwise(there)).alias("key"),
+        "part", "right", "shingles",
+    )
+    blocks = rest.union(dealt).groupBy("key").agg(F.collect_list(F.struct("part", "right", "shingles")).alias("members"))
+    return blocks.select("members").mapInArrow(_meet_exactly(similarity), "a long, b long")
+
+
+def missed_links(links: DataFrame, good: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between components of ``good`` that the unverified ``links`` hold together.
+
+    ``links`` span all candidates, so no pair of candidates lies outside one of their components.
+    """
+    near = connected_components(good).toDF("node", "part")
+    group = connected_components(links).toDF("node", "group")
+    members = group.join(near, "node", "left").select("node", "group", F.coalesce("part", "node").alias("part"))
+    return exact_links(checkpointed(members.join(sets, "node"), links.count()), similarity)
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of texts alike in 0.8 or more of their 5-word shingles.
 
-    Fingerprints of 256 bits find the links; of the links between two tiles the nearest
+    Fingerprints of 256 bits find the candidates; of those between two tiles the nearest
     spanning forest is kept and each of its links is verified on the shingle sets, so no
-    text goes that isn't alike enough to another. Texts without a word are alike.
+    text goes that isn't alike enough to another. Where candidates hang together and the
+    verified links leave them apart, all their sets are compared. Texts without a word are alike.
     The smallest doc_id stays (nulls last, then by row key).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
@@ -348,8 +464,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity:
     most = marks.count()
     nodes = checkpointed(marks.select("node", *_NAMES).distinct(), most)
     links = checkpointed(similar_links(nodes, radius).distinct(), most)
-    sets = marks.select("node", "row", "shingles")
-    roots = checkpointed(connected_components(verified(links, sets, similarity)), most)
+    sets = sets_of(links, marks.select("node", "row", "shingles"))
+    good = checkpointed(verified(links, sets, similarity), most)
+    more = missed_links(links, good, sets, similarity)
+    roots = checkpointed(connected_components(good.union(more)), most)
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # First per fingerprint, then per group: both combine before they shuffle.
     first = marks.groupBy("node").agg(F.min(ranked).alias("first"))

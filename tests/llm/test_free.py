@@ -254,6 +254,13 @@ def test_blocks_lose_no_link(spark):
     assert [got.get(p, p) for p in part] == [want[p] for p in part] and len(set(want)) > 12
 
 
+def test_equal_fingerprints_are_verified(spark):
+    """A line repeated 40 times outvotes 100 shingles of each text's own; texts with equal sets are one."""
+    line = " " + " ".join(f"line{k}" for k in range(11))
+    texts = [" ".join(f"t{i}w{k}" for k in range(104)) + line * 40 for i in range(12)]
+    assert kept_ids(spark, texts + [texts[3] + line * 3]) == list(range(12))
+
+
 def test_small_tiles_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)

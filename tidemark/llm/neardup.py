@@ -204,16 +204,17 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         raw, at = data.tobytes(), offsets.tolist()
-        words, sets = np.zeros((batch.num_rows, WORDS), np.uint64), []
+        words, sets, nodes = np.zeros((batch.num_rows, WORDS), np.uint64), [], []
         for k, (a, b) in enumerate(zip(at, at[1:])):
             h = np.array(shingle_hashes(raw[a:b], WIDE_SHINGLE), np.uint64)
             words[k] = wide_fingerprint(h)
             sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+            nodes.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()))
         words = words.view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS)),
-             pa.array(sets, pa.list_(pa.int32()))],
-            ["doc_id", "row", *_NAMES, "shingles"],
+             pa.array(sets, pa.list_(pa.int32())), pa.array(np.array(nodes, np.uint64).view(np.int64))],
+            ["doc_id", "row", *_NAMES, "shingles", "node"],
         )
 
 
@@ -320,7 +321,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = WIDE_
 def sets_of(links: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, shingles) of the ends of ``links``.
 
-    sets: node, row, shingles; of the rows of one node the first stands for all.
+    sets: node, row, shingles; the rows of one node have the same.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     # A first sieve with END_BUCKETS rows at most keeps most other sets out of the shuffle.
@@ -459,17 +460,19 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity:
     The smallest doc_id stays (nulls last, then by row key).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
-    schema = "doc_id long, row long, " + ", ".join(f"{n} long" for n in _NAMES) + ", shingles array<int>"
-    marks = checkpointed(rows.mapInArrow(_wide, schema).withColumn("node", F.xxhash64(*_NAMES)))
+    schema = "doc_id long, row long, " + ", ".join(f"{n} long" for n in _NAMES) + ", shingles array<int>, node long"
+    # A node is a set of shingles, so only texts with equal sets share one.
+    marks = checkpointed(rows.mapInArrow(_wide, schema))
     most = marks.count()
-    nodes = checkpointed(marks.select("node", *_NAMES).distinct(), most)
+    nodes = marks.groupBy("node").agg(F.min(F.struct("row", *_NAMES)).alias("f")).select("node", *(f"f.{n}" for n in _NAMES))
+    nodes = checkpointed(nodes, most)
     links = checkpointed(similar_links(nodes, radius).distinct(), most)
     sets = sets_of(links, marks.select("node", "row", "shingles"))
     good = checkpointed(verified(links, sets, similarity), most)
     more = missed_links(links, good, sets, similarity)
     roots = checkpointed(connected_components(good.union(more)), most)
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    # First per fingerprint, then per group: both combine before they shuffle.
+    # First per set, then per group: both combine before they shuffle.
     first = marks.groupBy("node").agg(F.min(ranked).alias("first"))
     grouped = first.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))

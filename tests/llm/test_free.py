@@ -261,6 +261,13 @@ def test_equal_fingerprints_are_verified(spark):
     assert kept_ids(spark, texts + [texts[3] + line * 3]) == list(range(12))
 
 
+def test_repeats_of_a_line_do_not_part_copies(spark):
+    """Sets alike in 0.96, one line once or 10 times: the fingerprints follow the sets."""
+    line = " " + " ".join(f"line{k}" for k in range(12))
+    texts = [" ".join(f"t{i}w{k}" for k in range(100)) + line * n for i in range(12) for n in (1, 10)]
+    assert kept_ids(spark, texts) == list(range(0, 24, 2))
+
+
 def test_small_tiles_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)

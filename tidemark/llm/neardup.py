@@ -206,10 +206,11 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, at = data.tobytes(), offsets.tolist()
         words, sets, nodes = np.zeros((batch.num_rows, WORDS), np.uint64), [], []
         for k, (a, b) in enumerate(zip(at, at[1:])):
-            h = np.array(shingle_hashes(raw[a:b], WIDE_SHINGLE), np.uint64)
+            # Repeats count once, as in the similarity.
+            h = np.unique(np.array(shingle_hashes(raw[a:b], WIDE_SHINGLE), np.uint64))
             words[k] = wide_fingerprint(h)
             sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
-            nodes.append(xxhash.xxh64_intdigest(np.unique(h).tobytes()))
+            nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
         words = words.view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), *(pa.array(np.ascontiguousarray(words[:, w])) for w in range(WORDS)),
@@ -464,8 +465,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity:
     # A node is a set of shingles, so only texts with equal sets share one.
     marks = checkpointed(rows.mapInArrow(_wide, schema))
     most = marks.count()
-    nodes = marks.groupBy("node").agg(F.min(F.struct("row", *_NAMES)).alias("f")).select("node", *(f"f.{n}" for n in _NAMES))
-    nodes = checkpointed(nodes, most)
+    nodes = checkpointed(marks.select("node", *_NAMES).distinct(), most)
     links = checkpointed(similar_links(nodes, radius).distinct(), most)
     sets = sets_of(links, marks.select("node", "row", "shingles"))
     good = checkpointed(verified(links, sets, similarity), most)

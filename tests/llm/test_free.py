@@ -268,6 +268,14 @@ def test_repeats_of_a_line_do_not_part_copies(spark):
     assert kept_ids(spark, texts) == list(range(0, 24, 2))
 
 
+def test_short_copies(spark):
+    """8 words and a ninth (exactly 0.8), 9 and 10, 16 and 19: every pair, however its bits fall."""
+    words = [([f"n{n}t{i}w{k}" for k in range(m)], n) for n, m in ((8, 9), (9, 10), (16, 19)) for i in range(100)]
+    texts = [" ".join(w[:k]) for w, n in words for k in (n, len(w))]
+    texts += [" ".join(f"s{i}w{k}" for k in range(n)) for i in range(20) for n in (7, 8)]  # alike in 0.75: stay
+    assert kept_ids(spark, texts) == [*range(0, 600, 2), *range(600, 640)]
+
+
 def test_small_tiles_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
@@ -284,6 +292,12 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 75: 50, 100: 50}
 
 
+def test_one_chunk_is_the_same_as_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 50), (50, 75), (-3, 75)], "a long, b long")
+    one, rounds = (sorted(map(tuple, components.connected_components(edges, one_chunk=k).collect())) for k in (True, False))
+    assert one == rounds
+
+
 URLS = [
     ("http://EXAMPLE.org/es/x", "example.org", "/es/x", "example.org/es/", "block"), ("https://a.example.org/en/12?q", "a.example.org", "/en/12", "example.org/en/1", "block"),
     ("https://a.example.org/en/2#z", "a.example.org", "/en/2", "org/", "allow"), ("http://badexample.org/es/", "badexample.org", "/es/", "org/", "allow"),

@@ -43,7 +43,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["v", "m"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_chunk: bool = False) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b longs); root is the least node reachable.
 
     ``edges`` is read once.
@@ -51,13 +51,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     First, chunks of ``CHUNK`` links are contracted each within a task.  Then it alternates the large-star and small-star steps until every edge points at its root.
     Minima are pre-aggregated before each shuffle and the joins that follow have one
     row per node on one side, so a hub's edges can be split.  Each round is
-    checkpointed, so a lost executor costs no earlier round.
+    checkpointed, so a lost executor costs no earlier round.  With ``one_chunk``, links of
+    a single chunk are done after their contraction, which has seen all of them.
     """
     links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct()
     links = checkpointed(links)
     parts = max(1, -(-links.count() // CHUNK))
     links = checkpointed(links.repartition(parts).mapInArrow(_contract, "v long, m long"))
     most = links.count()
+    if one_chunk and parts == 1:
+        return links.select(F.col("v").alias("node"), F.col("m").alias("root")).union(links.select("m", "m").distinct())
     before = None
     for _ in range(max_rounds):
         links = checkpointed(_small_star(_large_star(links)), 2 * most)

@@ -179,7 +179,11 @@ SIMILARITY = 0.8
 #: Fingerprint words of the wide form, and the differing bits of 256 up to which texts count as alike:
 #: a similarity of 0.8 makes 39 of them differ on average, with a deviation of 6.
 WORDS = 4
-WIDE_RADIUS = 49
+WIDE_RADIUS = 60
+#: Sets of up to so many shingles, whose fingerprints spread wider, meet over prefixes as well.
+SHORT = 40
+#: So many of the most common shingles come last in the order that prefixes follow.
+LAST_SHINGLES = 10_000
 _SALTS = np.array([w * 0x9E3779B97F4A7C15 % (1 << 64) for w in range(WORDS)], np.uint64)
 #: Texts that alike differ in no more bits than this in the first word (mean 10, deviation 3).
 FIRST_WORD = 21
@@ -413,6 +417,9 @@ def exact_links(members: DataFrame, similarity: float = SIMILARITY, block: int =
     groups = checkpointed(groups.select("group", "chunks"), parts.count())
     # Groups of several blocks: at most one for each block of members.
     large = groups.where("chunks > 1").select("group")
+    if large.isEmpty():
+        whole = members.join(groups.select("group"), "group", "left_semi")
+        return _compared(whole.select(F.col("group").alias("key"), "part", F.lit(False).alias("right"), "shingles"), similarity)
     pure = (F.col("n") >= block) | (F.col("volume") >= BLOCK_SHINGLES)
     pooled = parts.join(F.broadcast(large), "group", "left_semi").withColumn("pool", F.when(pure, F.col("part")))
     pools = checkpointed(pooled.groupBy("group", "pool").agg(chunks.alias("chunks")), parts.count())
@@ -436,18 +443,38 @@ def exact_links(members: DataFrame, similarity: float = SIMILARITY, block: int =
         F.xxhash64("group", F.when(F.col("right"), there).otherwise(here), F.when(F.col("right"), here).otherwise(there)).alias("key"),
         "part", "right", "shingles",
     )
-    blocks = rest.union(dealt).groupBy("key").agg(F.collect_list(F.struct("part", "right", "shingles")).alias("members"))
+    return _compared(rest.union(dealt), similarity)
+
+
+def _compared(dealt: DataFrame, similarity: float) -> DataFrame:
+    blocks = dealt.groupBy("key").agg(F.collect_list(F.struct("part", "right", "shingles")).alias("members"))
     return blocks.select("members").mapInArrow(_meet_exactly(similarity), "a long, b long")
 
 
-def missed_links(links: DataFrame, good: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between components of ``good`` that the unverified ``links`` hold together.
+def short_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): a spanning forest of all links of sets (node, shingles) of ``SHORT`` shingles or fewer.
+
+    In any one order of all shingles, sets alike enough share one of the first
+    (1 - similarity) * size + 1 of each, so only groups over those are compared.
+    """
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(LAST_SHINGLES)
+    ordered = each.join(F.broadcast(common), "s", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s"))).alias("all")
+    )
+    long_enough = (F.floor((1 - similarity) * F.size("all") + 1e-9) + 1).cast("int")
+    firsts = ordered.select("node", F.explode(F.slice("all", F.lit(1), long_enough)["s"]).alias("s"))
+    members = firsts.join(sets, "node").select(F.col("s").cast("long").alias("group"), "node", F.col("node").alias("part"), "shingles")
+    return exact_links(checkpointed(members), similarity)
+
+
+def missed_links(links: DataFrame, near: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between the verified components ``near`` (node, root) that the unverified ``links`` hold together.
 
     ``links`` span all candidates, so no pair of candidates lies outside one of their components.
     """
-    near = connected_components(good).toDF("node", "part")
-    group = connected_components(links).toDF("node", "group")
-    members = group.join(near, "node", "left").select("node", "group", F.coalesce("part", "node").alias("part"))
+    group = connected_components(links, one_chunk=True).toDF("node", "group")
+    members = group.join(near.toDF("node", "part"), "node", "left").select("node", "group", F.coalesce("part", "node").alias("part"))
     return exact_links(checkpointed(members.join(sets, "node"), links.count()), similarity)
 
 
@@ -457,7 +484,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity:
     Fingerprints of 256 bits find the candidates; of those between two tiles the nearest
     spanning forest is kept and each of its links is verified on the shingle sets, so no
     text goes that isn't alike enough to another. Where candidates hang together and the
-    verified links leave them apart, all their sets are compared. Texts without a word are alike.
+    verified links leave them apart, all their sets are compared. Short texts are compared
+    exactly over common shingles. Texts without a word are alike.
     The smallest doc_id stays (nulls last, then by row key).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
@@ -468,9 +496,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, similarity:
     nodes = checkpointed(marks.select("node", *_NAMES).distinct(), most)
     links = checkpointed(similar_links(nodes, radius).distinct(), most)
     sets = sets_of(links, marks.select("node", "row", "shingles"))
-    good = checkpointed(verified(links, sets, similarity), most)
-    more = missed_links(links, good, sets, similarity)
-    roots = checkpointed(connected_components(good.union(more)), most)
+    short = checkpointed(marks.where(F.size("shingles") <= SHORT).select("node", "shingles").dropDuplicates(["node"]), most)
+    good = checkpointed(verified(links, sets, similarity).union(short_links(short, similarity)), most)
+    roots = connected_components(good, one_chunk=True)
+    more = checkpointed(missed_links(links, roots, sets, similarity), most)
+    if not more.isEmpty():
+        roots = connected_components(good.union(more), one_chunk=True)
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # First per set, then per group: both combine before they shuffle.
     first = marks.groupBy("node").agg(F.min(ranked).alias("first"))

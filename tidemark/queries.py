@@ -436,9 +436,18 @@ d{i} AS (SELECT chain, path FROM w{i} WHERE chain NOT IN (SELECT chain FROM w{i
 SELECT chain AS entry, array_to_string(path, '>') AS path FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT chain, path FROM w2)""",
 )
 def _(s, d):
+    return _coverage_paths(s, d, "ord < 40")
+
+
+@query("chase_coverage_all")
+def _(s, d):
+    return _coverage_paths(s, d, "true")
+
+
+def _coverage_paths(s: SparkSession, d: str, entry: str) -> DataFrame:
     terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
     idf = evals.idf_table(terms, F.col("terms")).select("tok", "idf")
-    entries = terms.where("ord < 40").select(F.lit(0).alias("query_id"), F.col("ord").alias("chain"), "ord", F.lit(1.0).alias("score"))
+    entries = terms.where(entry).select(F.lit(0).alias("query_id"), F.col("ord").alias("chain"), "ord", F.lit(1.0).alias("score"))
     paths = graph.chase_coverage(entries, _doc_edges(s, d), terms, idf, max_depth=2)
     return paths.select(F.col("chain").alias("entry"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -552,8 +561,17 @@ b AS (SELECT s_suppkey % 7 AS g, s_name, row_number() OVER (PARTITION BY s_suppk
 SELECT CAST(g AS BIGINT) AS g, n_name, s_name FROM a LEFT JOIN b USING (g, place)""",
 )
 def _(s, d):
+    return _suppliers_by_position(s, d, "s_suppkey < 20")
+
+
+@query("positional_join_all")
+def _(s, d):
+    return _suppliers_by_position(s, d, "true")
+
+
+def _suppliers_by_position(s: SparkSession, d: str, which: str) -> DataFrame:
     left = _t(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("g"), "n_name")
-    right = _t(s, d, "supplier").where("s_suppkey < 20").select((F.col("s_suppkey") % 7).alias("g"), "s_suppkey", "s_name")
+    right = _t(s, d, "supplier").where(which).select((F.col("s_suppkey") % 7).alias("g"), "s_suppkey", "s_name")
     return sessions.by_position(left, right, "g", "n_name", "s_suppkey").select("g", "n_name", "s_name")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, neardup, quality, sharding
+from tidemark.llm import decontamination, mixing, quality, sharding, similar
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the smallest doc_id."""
-    return neardup.drop_near_duplicates(docs)
+    return similar.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from ._spark import checkpointed
 
 #: Links that one task contracts among themselves before the distributed rounds.
 CHUNK = 1_000_000
+#: Edges from which a node is a hub.
+HUB = 1 << 14
 
 
 def least_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -43,50 +45,52 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["v", "m"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, one_chunk: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b longs); root is the least node reachable.
 
-    ``edges`` is read once.
-
-    First, chunks of ``CHUNK`` links are contracted each within a task.  Then it alternates the large-star and small-star steps until every edge points at its root.
-    Minima are pre-aggregated before each shuffle and the joins that follow have one
-    row per node on one side, so a hub's edges can be split.  Each round is
-    checkpointed, so a lost executor costs no earlier round.  With ``one_chunk``, links of
-    a single chunk are done after their contraction, which has seen all of them.
+    ``edges`` is read once.  Chunks of ``CHUNK`` links are contracted each within a task; a
+    single chunk has seen all links and is done.  Otherwise large-star and small-star steps
+    alternate until no root is a child and every child has one root.  Minima are
+    pre-aggregated before each shuffle, and hubs meet their edges by a broadcast of
+    2 * links / ``HUB`` rows at most, so no hub's edges meet in one task.  Each round is
+    checkpointed, so a lost executor costs no earlier round.
     """
     links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct()
     links = checkpointed(links)
     parts = max(1, -(-links.count() // CHUNK))
     links = checkpointed(links.repartition(parts).mapInArrow(_contract, "v long, m long"))
-    most = links.count()
-    if one_chunk and parts == 1:
+    if parts == 1:
         return links.select(F.col("v").alias("node"), F.col("m").alias("root")).union(links.select("m", "m").distinct())
-    before = None
+    most = links.count()
     for _ in range(max_rounds):
         links = checkpointed(_small_star(_large_star(links)), 2 * most)
-        seen = links.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.hash("v", "m").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if (seen["n"], seen["h"]) == before:
-            nodes = links.select(F.col("v").alias("node"), F.col("m").alias("root"))
-            return nodes.union(links.select(F.col("m"), F.col("m")).distinct())
-        before = (seen["n"], seen["h"])
+        ends = links.select("v", F.lit(1).alias("child"), F.lit(0).alias("root")).union(links.select("m", F.lit(0), F.lit(1)))
+        torn = ends.groupBy("v").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child + root > 1")
+        if torn.isEmpty():
+            return links.select(F.col("v").alias("node"), F.col("m").alias("root")).union(links.select("m", "m").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _joined(edges: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``edges`` with what ``least`` (one row per node, its edges counted in n) says of ``key``."""
+    hubs = F.broadcast(least.where(F.col("n") >= HUB))
+    plain = edges.join(hubs.select(key), key, "left_anti").join(least.where(F.col("n") < HUB), key)
+    return plain.union(edges.join(hubs, key).select(*plain.columns))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least of its neighbours and itself."""
     both = links.select(F.col("v").alias("u"), F.col("m").alias("w")).union(
         links.select(F.col("m").alias("u"), F.col("v").alias("w"))
     )
-    least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
-    return both.where("w > u").join(least, "u").select(F.col("w").alias("v"), "m").where("v != m").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _joined(both.where("w > u"), least, "u").select(F.col("w").alias("v"), "m").where("v != m").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are handed to the least of them."""
-    least = links.groupBy("v").agg(F.min("m").alias("least"))
-    handed = links.join(least, "v")
+    least = links.groupBy("v").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("n"))
+    handed = _joined(links, least, "v")
     return (
         handed.select(F.col("m").alias("v"), F.col("least").alias("m"))
         .union(handed.select("v", F.col("least").alias("m")))

@@ -28,6 +28,8 @@ BLOCKS = 4096
 WEIGHTS = (5, 2, 1)
 #: A per-source table below this many bytes is broadcast; a larger one is joined by Spark's own choice.
 BROADCAST_BYTES = 8 << 20
+#: Words, some 120 MB, for which an output shard gets one more partition.
+PART_WORDS = 20_000_000
 _TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,8 +95,8 @@ def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
 
 def mixing_plan(
     rows: DataFrame, n_shards: int, seed: int, weights: tuple[int, ...], max_repeat: float, blocks: int
-) -> DataFrame:
-    """One row per source: size, target, passes, k and where each shard's run of draws starts.
+) -> tuple[DataFrame, int]:
+    """One row per source: size, target, passes, k and where each shard's run of draws starts; the words of all.
 
     rows: ``skey``, ``size`` and ``h`` of every document.
     """
@@ -142,7 +144,7 @@ def mixing_plan(
         "skey string, source_size bigint, target double, passes int, k int, starts array<bigint>",
     )
     plan_bytes = sum(len(key.encode()) + 8 * n_shards + 64 for key in keys)
-    return F.broadcast(plan) if plan_bytes <= BROADCAST_BYTES else plan
+    return F.broadcast(plan) if plan_bytes <= BROADCAST_BYTES else plan, sum(sizes.values())
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
@@ -176,7 +178,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str, n_shards: int = 40, seed: int =
             permutation_hash(seed).alias("h"),
         )
     )
-    plan = mixing_plan(rows, n_shards, seed, WEIGHTS, 3.0, BLOCKS)
+    plan, _ = mixing_plan(rows, n_shards, seed, WEIGHTS, 3.0, BLOCKS)
     return with_copies(rows, plan, BLOCKS).select(
         "doc_id",
         "size",
@@ -194,27 +196,31 @@ def mix_documents(
     weights: tuple[int, ...] = WEIGHTS,
     max_repeat: float = 3.0,
     blocks: int = BLOCKS,
-    spread: int = 16,
 ) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, shuffled within output shards.
 
-    ``spread`` sub-ranges of the local shuffle let several tasks write one shard.
+    Partitions run from the first output shard to the last, one for each ``PART_WORDS`` of
+    it, and rows within them by a hash of row and copy: written out, the order of files
+    and rows is that of the mix.  Null and empty texts have size 0; they are copied as
+    their block is.  Null sources are one source.  Repeated rows are taken alike.  An empty
+    table gives an empty one.  Columns may have any names.
     """
     digest = docs.select(
         source_key(F.col("source")).alias("skey"),
         word_count(F.col("text")).alias("size"),
         permutation_hash(seed).alias("h"),
     )
-    plan = mixing_plan(digest, n_shards, seed, weights, max_repeat, blocks)
-    names = docs.columns
+    plan, words = mixing_plan(digest, n_shards, seed, weights, max_repeat, blocks)
+    spread = max(1, -(-words // (n_shards * PART_WORDS)))
     carried = docs.select(
-        F.struct(*names).alias("row"), source_key(F.col("source")).alias("skey"), permutation_hash(seed).alias("h")
+        F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("skey"), permutation_hash(seed).alias("h")
     )
     copies = with_copies(carried, plan, blocks).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed + 1), "h", "copy")
+    part = F.col("shard") * spread + F.pmod("order", F.lit(spread)).cast("int")
     return (
         copies.withColumn("order", order)
-        .repartition("shard", F.pmod("order", F.lit(spread)))
-        .sortWithinPartitions("shard", "order")
+        .repartitionById(n_shards * spread, part)
+        .sortWithinPartitions("order")
         .select("row.*")
     )

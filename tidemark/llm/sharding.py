@@ -7,22 +7,24 @@ Which rows go on depends on nothing but their rank within their arc, so the whol
 placement follows from one count per arc: at most ``n_shards * vnodes`` numbers
 reach the driver, however many rows there are.
 
-Rows are ranked inside (cell, sub-bucket) windows, whose number does not shrink as
-data grows, and small tables of offsets turn that into ranks within arcs and slots
-within shards.  No window covers a whole shard.
+Rows are ranked inside (cell, sub-bucket) windows, and small tables of offsets turn that
+into ranks within arcs and slots within shards.  A cell has a sub-bucket for each
+``WINDOW_ROWS`` of its rows, so neither a whole shard nor one hot key is a window.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed, literal_rows, table
 
 CELLS = 1 << 14
-SUB_BUCKETS = 8
+#: Rows of a cell for which it gets one more sub-bucket.
+WINDOW_ROWS = 100_000
 
 
 def ring_points(n_shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -89,7 +91,8 @@ def ring_shards(
     """``df`` with ``shard`` and ``slot`` (gapless from 0 within the shard).
 
     key: column whose value decides the place on the ring (nulls share one place).
-    spread: what splits the rows of one heavily repeated key into sub-buckets.
+    spread: what splits the rows of one heavily repeated key into sub-buckets; it must be
+        the same whenever ``df`` is read again.
     order: columns that order rows of one key; rows equal in all of them are alike.
     load_factor: None for counts at most one apart, else the bound over the mean.
 
@@ -109,14 +112,13 @@ def ring_shards(
     cells = literal_rows(spark, arcs, "__ring_arc int, a int, b int, turn int").select(
         "__ring_arc", "turn", F.explode(F.sequence("a", "b")).alias("__ring_cell")
     )
-    tagged = df.withColumns(
-        {
-            "__ring_cell": F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS)).cast("int"),
-            "__ring_sub": F.pmod(F.xxhash64(F.col(key), spread), F.lit(SUB_BUCKETS)).cast("int"),
-        }
+    celled = df.withColumn("__ring_cell", F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS)).cast("int"))
+    # CELLS rows; their sub-buckets number CELLS and one for each WINDOW_ROWS at most, so all of it may be broadcast.
+    subs = celled.groupBy("__ring_cell").agg(F.ceil(F.count(F.lit(1)) / WINDOW_ROWS).alias("__ring_subs"))
+    tagged = celled.join(F.broadcast(checkpointed(subs, CELLS)), "__ring_cell").withColumn(
+        "__ring_sub", F.pmod(F.xxhash64(F.col(key), spread), F.col("__ring_subs")).cast("int")
     )
     counted = tagged.groupBy("__ring_cell", "__ring_sub").agg(F.count(F.lit(1)).alias("n"))
-    # CELLS * SUB_BUCKETS rows at most, so both sides may be broadcast.
     in_arc = Window.partitionBy("__ring_arc").orderBy("turn", "__ring_cell", "__ring_sub")
     offsets = checkpointed(
         counted.join(F.broadcast(cells), "__ring_cell").select(
@@ -126,7 +128,7 @@ def ring_shards(
             "n",
             (F.sum("n").over(in_arc) - F.col("n")).alias("__ring_before"),
         ),
-        CELLS * SUB_BUCKETS,
+        CELLS,
     )
     loads = [0] * len(points)
     for row in offsets.groupBy("__ring_arc").agg(F.sum("n").alias("n")).collect():
@@ -144,9 +146,8 @@ def ring_shards(
         .join(F.broadcast(segments), "__ring_arc")
         .where("__ring_rank >= __ring_lo and __ring_rank < __ring_hi")
     )
-    keep = [c for c in df.columns if c not in ("shard", "slot")]
     return ranked.select(
-        *keep,
+        *df.columns,
         F.col("__ring_shard").alias("shard"),
         (F.col("__ring_slot0") + F.col("__ring_rank") - F.col("__ring_lo")).alias("slot"),
     )
@@ -163,9 +164,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 under the law ``rows``: counts at most one apart."""
-    rows = checkpointed(digest(table(spark, sf_dir, "documents")))
-    out = ring_shards(rows, "doc_id", F.col("text_crc32"), ["size", "text_crc32"])
+    """All documents in shards 0 to 39 under the law ``rows``: counts at most one apart.
+
+    Null ids and null texts are placed like any other; repeated rows stay as often as they
+    stand and may lie in different shards; an empty table gives an empty result.
+    """
+    rows = digest(table(spark, sf_dir, "documents")).withColumn("part", F.spark_partition_id())
+    out = ring_shards(checkpointed(rows), "doc_id", F.struct("text_crc32", "part"), ["size", "text_crc32"])
     return out.select(
         "doc_id",
         "size",
@@ -177,10 +182,42 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_place(docs: DataFrame) -> tuple[Column, Column] | None:
+    """File and row of every row, as long as ``docs`` is a plain read of files; else None."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_name"], meta["row_index"])
+    except AnalysisException:
+        return None
+    return meta["file_name"], meta["row_index"]
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """The rows of ``docs`` with their shard and slot, for the pipeline."""
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    tagged = docs.withColumn("__text_crc32", crc)
-    return ring_shards(
-        tagged, "doc_id", F.col("__text_crc32"), ["__text_crc32"], n_shards
-    ).drop("__text_crc32")
+    """The rows of ``docs`` with their shard and slot, for the pipeline.
+
+    Read from files, each row is a key of its own, so copies of a document part, and slots
+    follow the order of the files (by name) and of the rows in them: a shuffled input
+    stays shuffled within every shard.  Otherwise the key is the doc_id, and slots follow
+    the ring.  Columns named shard or slot come back as shard_input and slot_input.
+    Null ids, null texts, repeated rows and empty tables are placed like any others.
+    """
+    docs = docs.withColumnsRenamed({c: f"{c}_input" for c in ("shard", "slot") if c in docs.columns})
+    place = file_place(docs)
+    if place is None:
+        crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+        tagged = docs.withColumn("__ring_crc", crc)
+        return ring_shards(tagged, "doc_id", F.col("__ring_crc"), ["__ring_crc"], n_shards).drop("__ring_crc")
+    names = ["__ring_file", "__ring_row"]
+    placed = docs.withColumns(dict(zip(names, place)))
+    # Writers number their files; the rest of a name differs from run to run.
+    part = F.regexp_extract("__ring_file", r"^part-([0-9]+)", 1)
+    keys = checkpointed(placed.select(*names, F.xxhash64("doc_id", part, "__ring_row").alias("key")))
+    dealt = checkpointed(ring_shards(keys, "key", F.col("__ring_row"), names, n_shards).select(*names, "shard"))
+    # One row for each shard and file.
+    counts = dealt.groupBy("shard", "__ring_file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("__ring_file")) - F.col("n")
+    offsets = counts.select("shard", "__ring_file", before.alias("__ring_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "__ring_file").orderBy("__ring_row"))
+    slots = dealt.withColumn("__ring_rank", rank).join(offsets, ["shard", "__ring_file"])
+    slots = slots.select(*names, "shard", (F.col("__ring_before") + F.col("__ring_rank") - 1).cast("long").alias("slot"))
+    return placed.join(slots, names).select(*docs.columns, "shard", "slot")

@@ -262,9 +262,23 @@ def alike(shared: Column, left: Column, right: Column, similarity: float) -> Col
     return shared + 1e-9 >= similarity * (left + right - shared)
 
 
+#: Links of one node that its set meets in one task.
+HUB = 1000
+
+
+def _with_sets(links: DataFrame, sets: DataFrame, key: str, name: str) -> DataFrame:
+    """``links`` with the set of their end ``key``; a hub's set goes to one more task for each ``HUB`` of its links."""
+    # links / HUB rows at most.
+    hubs = F.broadcast(links.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HUB).alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = links.join(hubs, key, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
+    held = sets.toDF(key, name).join(hubs, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return dealt.join(held.drop("salts"), [key, "salt"]).drop("salt")
+
+
 def verified(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The links whose shingle sets (node, shingles) are alike in ``similarity`` or more, exactly counted."""
-    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = _with_sets(_with_sets(links, sets, "a", "x"), sets, "b", "y")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(alike(shared, F.size("x"), F.size("y"), similarity)).select("a", "b")
 

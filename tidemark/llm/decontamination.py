@@ -10,7 +10,8 @@ A window without a single shingle of any item has similarity 0 whatever its
 fingerprint, so only windows that hold at least one are fingerprinted.
 
 Items travel to the executors in slices of at most ``SLICE_BYTES`` of text, one pass
-each, so what is broadcast is bounded and every item is searched.
+each, so what is broadcast is bounded and every item is searched.  Weights follow the
+whole benchmark: shingles that several items share are counted before it is sliced.
 """
 
 from __future__ import annotations
@@ -74,9 +75,13 @@ def simhash(prefix: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 class Index:
-    """Items with their shingles and the multi-index of their fingerprints."""
+    """Items with their shingles and the multi-index of their fingerprints.
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    n_items and shared (width -> hash -> items, of those in several) are of the whole
+    benchmark; without them, ``items`` are all there is.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]], n_items: int | None = None, shared: dict[int, dict[int, int]] | None = None):
         self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
         for item, text in dict.fromkeys(items):
@@ -86,7 +91,9 @@ class Index:
                 self.words.append(words)
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.fps = np.array([simhash(votes(w), np.zeros(1, np.int64), len(w))[0] for w in self.words], np.uint64)
-        self.widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.n_items = len(self.ids) if n_items is None else n_items
+        self.widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         own = np.minimum(self.lengths, SHINGLE)
         for width in np.unique(own).tolist():
             pairs = [(np.unique(shingle_hashes(self.words[i], width)), i) for i in np.flatnonzero(own == width)]
@@ -97,7 +104,13 @@ class Index:
             bits = max(16, int(len(keys) * 16).bit_length())
             seen = np.zeros(1 << bits, bool)
             seen[(keys & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-            self.widths[width] = (keys, np.append(first, len(order)), items_[order], 1 + np.log(len(self.ids) / count), seen)
+            self.widths[width] = (keys, np.append(first, len(order)), items_[order], seen)
+            if shared is None:
+                common, of = keys[count > 1], count[count > 1]
+            else:
+                known = sorted(shared.get(width, {}).items())
+                common, of = np.array([k for k, _ in known], np.uint64), np.array([n for _, n in known], np.int64)
+            self.shared[width] = (common, 1 + np.log(self.n_items / of))
         self.blocks = []
         for b in range(_BLOCKS):
             value = (self.fps >> np.uint64(b * _BLOCK_BITS)).astype(np.int64) & 0xFFFF
@@ -106,9 +119,12 @@ class Index:
 
     def weight(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Rarer shingles weigh more; one that no item has weighs like one of a single item."""
-        keys, _, _, weights, _ = self.widths[width]
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return np.where(keys[at] == hashes, weights[at], 1 + np.log(len(self.ids)))
+        keys, weights = self.shared[width]
+        out = np.full(len(hashes), 1 + np.log(self.n_items))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            out = np.where(keys[at] == hashes, weights[at], out)
+        return out
 
     def within(self, fps: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of every item of ``length`` words within the radius."""
@@ -139,7 +155,7 @@ class Index:
     def hits(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each width: word positions whose shingle some item has, and the shingle's number."""
         out = []
-        for width, (keys, _, _, _, seen) in self.widths.items():
+        for width, (keys, _, _, seen) in self.widths.items():
             h = shingle_hashes(words, width)
             at = np.flatnonzero(seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)])
             k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
@@ -151,7 +167,7 @@ class Index:
         """(item, first word, similarity): the best window of each item found in one text."""
         n, prefix, best = len(words), None, {}
         for width, at, k in hits:
-            _, starts, items, _, _ = self.widths[width]
+            _, starts, items, _ = self.widths[width]
             lengths: dict[int, list[np.ndarray]] = {}
             for p, s in zip(at.tolist(), k.tolist()):
                 for length in set(self.lengths[items[starts[s] : starts[s + 1]]].tolist()):
@@ -187,16 +203,38 @@ class Index:
                     yield a + r, found
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index for each slice of the benchmark's items; items without a word are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(width, hash) of an item's distinct shingles, and (0, 0) once for the item; none without a word."""
+    for batch in batches:
+        for text in batch.column("text"):
+            words, _ = words_of(*folded(pa.array([text.as_py()], pa.string())))
+            if len(words):
+                width = min(len(words), SHINGLE)
+                hashes = np.append(np.unique(shingle_hashes(words, width)), np.uint64(0))
+                widths = np.append(np.full(len(hashes) - 1, width, np.int32), np.int32(0))
+                yield pa.RecordBatch.from_arrays([pa.array(widths), pa.array(hashes.view(np.int64))], ["width", "hash"])
+
+
+def indexes(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[Index]:
+    """One index for each slice of the benchmark's items; items without a word are left out.
+
+    Only shingles that several items share are collected, for their weights.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // SLICE_BYTES))
+    n = max(1, -(-total // slice_bytes))
+    n_items, shared = 0, {}
+    counted = items.select("text").mapInArrow(_item_shingles, "width int, hash long").groupBy("width", "hash").agg(F.count(F.lit(1)).alias("n"))
+    for r in counted.where("n > 1 or width = 0").collect():
+        if r["width"]:
+            shared.setdefault(r["width"], {})[r["hash"] % (1 << 64)] = r["n"]
+        else:
+            n_items = r["n"]
     sliced = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     out = []
     for k in range(n):
-        rows = sliced.where(F.col("slice") == k).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        if (index := Index([(r["item_id"], r["text"]) for r in rows])).ids:
+        rows = sliced.where(F.col("slice") == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        if (index := Index([(r["item_id"], r["text"]) for r in rows], n_items, shared)).ids:
             out.append(index)
     return out
 
@@ -225,7 +263,9 @@ def find_leaks(docs: DataFrame, index: Index) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that it holds; clean documents have none.
 
-    Null and empty texts hold nothing.  Repeated rows are reported as often as they stand.
+    Of windows alike in similarity the first is shown.  Null and empty texts hold nothing;
+    null ids are kept.  Repeated documents are reported as often as they stand, repeated
+    items once.  An empty table of documents or items gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
     parts = [find_leaks(docs, index) for index in indexes(table(spark, sf_dir, "benchmark"))]
@@ -235,7 +275,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they are."""
+    """The documents that hold no benchmark item, all columns as they are, whatever their names.
+
+    Null and empty texts hold nothing and stay; so do repeated rows, each by itself.  An
+    empty benchmark keeps all, an empty table stays empty.
+    """
     for index in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

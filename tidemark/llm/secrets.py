@@ -2,12 +2,14 @@ r"""Secret scans: corpus-wide ownership frequency.
 
 Candidates are the base patterns' values and long tokens that mix letters and digits.
 Their hashes are aggregated over the whole corpus, first by distinct repository within
-an owner, then by distinct owner.  A value that many owners hold is a copied example; one
+an owner, then by distinct owner.  A value that ``EXAMPLE_OWNERS`` owners or
+``EXAMPLE_REPOSITORIES`` repositories hold, of whatever owner, is a copied example; one
 that few hold, with enough different characters, looks live.  Live tokens that no base
 span covers are added to the document's spans; base spans always stay.
 
 Here a document is a repository and its source the owner.  Both aggregations combine
-before their shuffle, so a value in a third of all documents costs no single task.
+before their shuffle.  Values that many documents hold are few by that very count, so
+their verdicts go out by broadcast and a common value costs no single task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 _MAYBE_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 KINDS = ("assign", "access", "hex", "live")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 20
+#: Repositories from which a value's verdict is broadcast.
+COMMON = 1000
 LIVE_CHARACTERS = 8
 _SEEN = "array<struct<start:int,kind:int,end:int,verdict:string>>"
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
@@ -116,16 +121,22 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with how many of its values look live or copied.
 
-    Null texts are empty.  Rows alike in id, source and text are scanned alike.
+    Null texts are empty; a null id is one repository, a null source one owner.  Repeated
+    rows stay as often as they stand and count once.  An empty table gives an empty result.
     """
     scanned = checkpointed(scan(table(spark, sf_dir, "documents")))
     some = scanned.where(F.size("candidates") > 0)
     owned = ownership(some)
     # Texts without a candidate have no span and skip the joins.
     each = some.select("row", F.explode("candidates").alias("c"))
-    judged = each.join(owned, each["c.hash"] == owned["hash"]).select(
-        "row", "c", F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(F.col("c.varied"), "live").otherwise("plain").alias("verdict")
-    )
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    owned = checkpointed(owned.select("hash", copied.alias("copied"), (F.col("repositories") >= COMMON).alias("common")))
+    verdict = F.when(F.col("copied"), "example").when(F.col("c.varied"), "live").otherwise("plain").alias("verdict")
+    # Candidates / COMMON rows at most.
+    common = F.broadcast(owned.where("common").select(F.col("hash").alias("h"), "copied"))
+    seen = each.join(common, F.col("c.hash") == F.col("h"), "left")
+    rare = seen.where("h is null").select("row", "c").join(owned.where("not common"), F.col("c.hash") == F.col("hash"))
+    judged = seen.where("h is not null").select("row", "c", verdict).union(rare.select("row", "c", verdict))
     # A set: rows alike bring the same spans again.
     by_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct("c.start", "c.kind", "c.end", "verdict"))).alias("all")
@@ -165,9 +176,10 @@ x AS (
   SELECT * FROM t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = t.r AND b."start" < t."end" AND t."start" < b."end")
 ), o AS (
-  SELECT value, count(DISTINCT coalesce('0' || source, '1')) AS owners FROM x JOIN d USING (r) GROUP BY value
+  SELECT value, count(DISTINCT coalesce('0' || source, '1')) AS owners,
+    count(DISTINCT (coalesce('0' || source, '1'), coalesce('0' || doc_id, '1'))) AS repositories FROM x JOIN d USING (r) GROUP BY value
 ), j AS (
-  SELECT x.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN len(list_distinct(string_split(x.value, ''))) >= {LIVE_CHARACTERS} THEN 'live' ELSE 'plain' END AS verdict
+  SELECT x.*, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN len(list_distinct(string_split(x.value, ''))) >= {LIVE_CHARACTERS} THEN 'live' ELSE 'plain' END AS verdict
   FROM x JOIN o USING (value)
 ), a AS (
   SELECT r, {text} FILTER (WHERE kind < 3 OR verdict = 'live') AS spans, count(*) FILTER (WHERE verdict = 'live') AS n_live,

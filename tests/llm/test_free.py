@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from llm.conftest import SCHEMA, documents, sentence
-from tidemark.llm import components, decontamination, mixing, neardup, quality, sharding, topk, toxicity, urls
+from tidemark.llm import components, decontamination, mixing, neardup, quality, sharding, similar, topk, toxicity, urls
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -153,6 +153,19 @@ def test_windows_against_brute_force():
         assert got == want
 
 
+def test_slices_of_the_benchmark_change_nothing(spark):
+    rng = random.Random(12)
+    common = sentence(rng, 8)
+    items = [(i, sentence(rng, 12) + " " + common + " " + sentence(rng, 6)) for i in range(30)] + [(90, None), (91, ""), (92, "one")]
+    docs = [(i, sentence(rng, 20) + " " + " ".join(x if rng.random() < 0.97 else "other" for x in (items[i % 30][1] or "").split()), "en", "s", 0) for i in range(60)]
+    bench, docs = spark.createDataFrame(items + items[:3], BENCH), spark.createDataFrame(docs, SCHEMA)
+    found = []
+    for size in (1, 400, decontamination.SLICE_BYTES):
+        parts = decontamination.indexes(bench, size)
+        found.append(sorted(tuple(r) for index in parts for r in decontamination.find_leaks(docs, index).collect()))
+    assert found[0] == found[1] == found[2] and 20 < len(found[0])
+
+
 def brute_components(docs):
     fps = []
     for d in docs:
@@ -216,16 +229,16 @@ def test_near_duplicates_against_brute_force(spark, tables):
     docs += [(500 + k, docs[9][1] + f" tail{k} words of its own {k}", "en", "s", 0) for k in range(30)]
     docs += [(600, " ".join(docs[9][1].split()[:1200]), "en", "s", 0)]  # alike in 0.4: stays
     d, group = tables("near", documents=(docs, SCHEMA)), brute_similar(docs)
-    kept = neardup.drop_near_duplicates(spark.read.parquet(f"{d}/documents.parquet")).collect()
+    kept = similar.drop_near_duplicates(spark.read.parquet(f"{d}/documents.parquet")).collect()
     assert len(kept) == len(set(group))
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == kept_of(docs, group)
-    assert neardup.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert similar.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert neardup.op8_simhash(spark, tables("none", documents=([], SCHEMA))).count() == 0
 
 
 def kept_ids(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    return sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect())
+    return sorted(r["doc_id"] for r in similar.drop_near_duplicates(docs).collect())
 
 
 def test_copies_farther_from_each_other_than_from_their_base(spark):
@@ -246,14 +259,59 @@ def test_blocks_lose_no_link(spark):
     bases = [rng.sample(range(10000), 40) for _ in range(6)]
     sets = [sorted(set(bases[k % 6]) - set(rng.sample(bases[k % 6], rng.randrange(8))) | set(rng.sample(range(10000), rng.randrange(4)))) for k in range(90)]
     part = [k if k % 6 or k > 60 else 0 for k in range(90)]  # one large part, the rest by themselves
-    rows = [(k % 2 * 7, k, part[k], sets[k]) for k in range(90)]
-    links = neardup.exact_links(spark.createDataFrame(rows, "group long, node long, part long, shingles array<int>"), 0.8, 4)
-    got = dict(map(tuple, components.connected_components(links).collect()))
+    links = spark.createDataFrame([(k, k + 2) for k in range(88)], "a long, b long")
+    roots = spark.createDataFrame([(k, 0) for k in range(90) if part[k] == 0], "node long, root long")
+    sizes = spark.createDataFrame([(k, len(x)) for k, x in enumerate(sets)], "node long, size int")
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    more = similar.missed_links(links, roots, sizes, held, 0.8, 4)
+    got = dict(map(tuple, components.connected_components(more).collect()))
     pairs = [(part[i], part[j]) for i in range(90) for j in range(i) if (i - j) % 2 == 0 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
     want = components.least_roots(90, *np.array(pairs).T)
     assert [got.get(p, p) for p in part] == [want[p] for p in part] and len(set(want)) > 12
 
 
+def test_whole_parts_are_not_compared(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long")
+    sizes = spark.createDataFrame([(k, 5) for k in (1, 2, 3)], "node long, size int")
+    assert similar.missed_links(links, roots, sizes, spark.createDataFrame([], "node long, shingles array<long>")) is None
+
+
+def test_tiles_of_any_size_find_the_same(spark):
+    """Candidates by tiles of 3 nodes and of all, against every pair of fingerprints."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(40):
+        base = rng.integers(0, 2**64, int(rng.integers(4, 60)), dtype=np.uint64)
+        sets += [base, base[: max(4, len(base) * 9 // 10)], np.append(base, rng.integers(0, 2**64, 1, dtype=np.uint64))]
+    fps, sizes = np.stack([similar.fingerprint(h) for h in sets]), np.array([len(h) for h in sets])
+    rows = [(k, int(sizes[k]), *map(int, fps[k].view(np.int64))) for k in range(len(sets))]
+    nodes = spark.createDataFrame(rows, "node long, size int, w0 long, w1 long, w2 long, w3 long")
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1).astype(int)
+    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    near = (far <= np.where(small < 6, 77, 68)) & (5 * small >= 4 * large)
+    want = components.least_roots(len(sets), *np.nonzero(near)).tolist()
+    for tile in (3, 8192):
+        roots = dict(map(tuple, components.connected_components(similar.candidate_links(nodes, tile)).collect()))
+        assert [roots.get(k, k) for k in range(len(sets))] == want
+
+
+def test_pairs_at_the_edge_are_candidates():
+    """Pairs of unequal and equal size alike in 0.8 lie within the radius."""
+    rng = np.random.default_rng(7)
+    for shared, a, b in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (12, 2, 1), (20, 2, 3), (20, 5, 0), (80, 10, 10), (80, 0, 20), (400, 60, 40)):
+        for _ in range(300):
+            h = rng.integers(0, 2**64, shared + a + b, dtype=np.uint64)
+            x, y = similar.fingerprint(h[: shared + a]), similar.fingerprint(np.append(h[:shared], h[shared + a :]))
+            assert int(np.bitwise_count(x ^ y).sum()) <= (77 if shared < 6 else 68)
+
+
+def test_shingle_sets():
+    got = list(similar.shingle_sets(pa.array(["a b c d e f", "A  b\tc d e F", None, "", " ", "a b", "A b", "b a", "a b c d e f a b c d e f"])))
+    assert [len(x) for x in got] == [2, 2, 0, 0, 0, 1, 1, 1, 6]
+    assert (got[0] == got[1]).all() and (got[5] == got[6]).all() and got[5][0] != got[7][0] and set(got[0]) < set(got[8])
+
+
 def test_equal_fingerprints_are_verified(spark):
     """A line repeated 40 times outvotes 100 shingles of each text's own; texts with equal sets are one."""
     line = " " + " ".join(f"line{k}" for k in range(11))
@@ -292,10 +350,13 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 75: 50, 100: 50}
 
 
-def test_one_chunk_is_the_same_as_rounds(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 50), (50, 75), (-3, 75)], "a long, b long")
-    one, rounds = (sorted(map(tuple, components.connected_components(edges, one_chunk=k).collect())) for k in (True, False))
-    assert one == rounds
+def test_one_chunk_is_the_same_as_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 50), (50, 75), (-3, 75)] + [(200, 201 + i) for i in range(40)], "a long, b long")
+    one = sorted(map(tuple, components.connected_components(edges).collect()))
+    monkeypatch.setattr(components, "CHUNK", 20)
+    for hub in (5, components.HUB):
+        monkeypatch.setattr(components, "HUB", hub)
+        assert sorted(map(tuple, components.connected_components(edges).collect())) == one
 
 
 URLS = [
@@ -357,8 +418,52 @@ def test_pipeline_stage_by_stage(spark, tables):
     per = Counter(r["doc_id"] for r in four)
     assert set(map(tuple, four)) <= set(map(tuple, three)) and max(per.values()) <= 3
 
-    five = steps["sharding"](spark, spark.createDataFrame(four, SCHEMA), d).collect()
-    assert Counter(tuple(r)[:5] for r in five) == Counter(map(tuple, four))
-    counts = Counter(r["shard"] for r in five)
-    assert max(counts.values()) - min(counts[s] for s in range(40)) <= 1
+    steps["mixing"](spark, frame, d).write.parquet(f"{d}/mixed")
+    for mixed in (spark.createDataFrame(four, SCHEMA), read(f"{d}/mixed")):
+        five = steps["sharding"](spark, mixed, d).collect()
+        assert Counter(tuple(r)[:5] for r in five) == Counter(map(tuple, four))
+        counts = Counter(r["shard"] for r in five)
+        assert max(counts.values()) - min(counts[s] for s in range(40)) <= 1
     assert corpus_pipeline.run(spark, d).count() == len(four)
+
+
+def test_shards_keep_the_order_of_the_mix(spark, tmp_path):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, sentence(rng, 20), "en", f"s{i % 3}", 0) for i in range(300)], SCHEMA)
+    mixing.mix_documents(docs, 5).write.parquet(f"{tmp_path}/m")
+    mixed = spark.read.parquet(f"{tmp_path}/m")
+    at = {}  # the splitting tree's order: output shards, then the shuffle within
+    for r in mixed.select("*", "_metadata.file_name", "_metadata.row_index").collect():
+        at.setdefault(r["doc_id"], []).append((r["file_name"], r["row_index"]))
+    assert len({f for v in at.values() for f, _ in v}) == 5
+    got = sharding.shard_documents(mixed, 4).collect()
+    twins = 0
+    for s in range(4):
+        own = sorted((r["slot"], r["doc_id"]) for r in got if r["shard"] == s)
+        assert [k for k, _ in own] == list(range(len(own)))
+        twins += sum(a == b for (_, a), (_, b) in zip(own, own[1:]))
+        files = []
+        for _, doc in own:  # some non-decreasing choice of places exists
+            files.append(min((p for p in at[doc] if not files or p > files[-1]), default=None))
+            assert files[-1] is not None
+    assert twins <= 3 and len(got) == sum(map(len, at.values())) > len(at)
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark, tables, tmp_path):
+    import corpus_pipeline
+
+    extra = SCHEMA + ", shard string, slot string, row string, node string, h string, size string, words string, label string, `order` string"
+    rows = [x + ("x",) * 9 for x in documents() + [(200 + i, f"t{i} " * 40, "en", "s", 0) for i in range(20)]]
+    d = tables(labels=([], LABELS), benchmark=([], BENCH))
+    for n, name in ((rows, "full"), ([], "none")):
+        cur = spark.createDataFrame(n, extra)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, cur, d).write.parquet(f"{tmp_path}/{name}{k}")
+            out = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert out.columns == cur.columns
+            cur = out
+        assert {"shard", "slot", "shard_input", "slot_input", "row", "order"} <= set(cur.columns)
+        assert (cur.count() == 0) == (name == "none")
+    d = tables("nothing", documents=([], SCHEMA), labels=([], LABELS), benchmark=([], BENCH))
+    assert corpus_pipeline.run(spark, d).count() == 0

@@ -54,7 +54,15 @@ def test_placement_is_clockwise():
 def test_pipeline_form_keeps_columns_and_clashing_names(spark):
     df = spark.createDataFrame([(i, f"t{i}", "x", i) for i in range(50)], "doc_id long, text string, slot string, n long")
     out = sharding.shard_documents(df, 7)
-    assert out.columns == ["doc_id", "text", "n", "shard", "slot"] and out.count() == 50
+    assert out.columns == ["doc_id", "text", "slot_input", "n", "shard", "slot"] and out.count() == 50
+
+
+def test_hot_keys_get_more_windows(spark, tables, monkeypatch):
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 7)
+    docs = [(None, "same", "en", "s", 0)] * 300 + [(1, f"t{i}", "en", "s", 0) for i in range(100)]
+    got = sharding.op1_sharding(spark, tables(documents=(docs, SCHEMA))).collect()
+    assert sorted(Counter(r["shard"] for r in got).values()) == [10] * 40
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(10)) for s in range(40))
 
 
 PATTERNS = {
@@ -95,6 +103,15 @@ def test_secrets_against_brute_force(spark, tables):
     assert secrets.op2_secrets(spark, tables("none", documents=([], SCHEMA))).count() == 0
 
 
+def test_many_repositories_of_one_owner_are_copies(spark, tables, monkeypatch):
+    docs = [(i, "live Q7wErT9yUiOpAsDfGh4JkLz0 done" if i < n else "live Zz7wErT9yUiOpAsDfGh4JkLz done", "en", "one", 0) for n in (secrets.EXAMPLE_REPOSITORIES,) for i in range(n + 19)]
+    for common in (secrets.COMMON, 5):
+        monkeypatch.setattr(secrets, "COMMON", common)
+        got = {r["doc_id"]: r for r in secrets.op2_secrets(spark, tables(documents=(docs, SCHEMA))).collect()}
+        assert all(got[i]["n_example"] == 1 and got[i]["spans"] == "" for i in range(20))
+        assert all(got[i]["n_live"] == 1 for i in range(20, 39))
+
+
 def test_mix_targets_by_hand():
     assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
     assert mixing.targets([10, 1000, 1000]) == pytest.approx([30, 1980 * 2 / 3, 1980 / 3])

@@ -10,10 +10,12 @@ join is broadcast; nothing else is.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import literal_rows, table
+from ._spark import checkpointed, literal_rows, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -37,8 +39,14 @@ TEMPLATES = (
 )
 
 
+def folded(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else; null is empty."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.coalesce(F.when(plain, F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase)), F.lit(""))
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
 def row_key() -> Column:
@@ -47,33 +55,48 @@ def row_key() -> Column:
 
 
 def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    rows = []
+    rows, seen = [], set()
     for n, (label, line) in enumerate(templates):
         w = line.split()
-        rows += [{"template": n, "label": label, "length": len(w), "at": i, "gram": w[i : i + K]} for i in range(len(w) - K + 1)]
-    grams = literal_rows(spark, rows, "template int, label string, length int, at int, gram array<string>")
-    return grams.select("template", "label", "length", "at", F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(K)]).alias("hash"))
+        for i in range(len(w) - K + 1):
+            gram = tuple(w[i : i + K])
+            rows.append({"template": n, "template_label": label, "length": len(w), "at": i, "gram": gram, "head": gram not in seen})
+            seen.add(gram)
+    grams = literal_rows(spark, rows, "template int, template_label string, length int, at int, gram array<string>, head boolean")
+    hash_ = F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(K)]).alias("hash")
+    return grams.select("template", "template_label", "length", "at", "head", hash_)
 
 
-def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """(row, label, share, verified, first, last): each merged span of each template, first and last word."""
-    # One value bound by an outer lambda, so that no rewrite computes the words once for each position.
-    grams = F.transform(
-        F.array(words_of(F.col("text"))),
-        lambda words: F.when(
-            F.size(words) >= K,
-            F.transform(
-                F.sequence(F.lit(0), F.size(words) - K),
-                lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)]),
-            ),
-        ),
+def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """One head row for each text and one for each hit, from one pass over the texts.
+
+    Every k-gram is joined to the templates'; of those without a hit only a text's first
+    row goes on (pos 0, or null for texts of fewer words), so what is written is small.
+    """
+    none = F.array().cast("array<int>")
+    grams = lambda words: F.when(
+        F.size(words) >= K,
+        F.transform(F.sequence(F.lit(0), F.size(words) - K), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])),
     )
-    # The outer form infers no filter on the grams, which would compute them twice.
-    exploded = docs.select(row_key().alias("row"), F.get(grams, F.lit(0)).alias("grams")).select(
-        "row", F.posexplode_outer("grams").alias("pos", "hash")
+    # One value bound by an outer lambda, so that no rewrite computes the words more than once.
+    cut = F.transform(
+        F.array(F.struct(words_of(F.col("text")).alias("words"), folded(F.col("text")).contains("license").alias("maybe"))),
+        lambda t: F.struct(
+            F.size(t["words"]).cast("long").alias("n_words"),
+            *[F.when(t["maybe"], places(t["words"], p)).otherwise(none).alias(label) for p, label in PHRASES],
+            grams(t["words"]).alias("grams"),
+        ),
     )
-    hits = exploded.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash")
-    diagonals = hits.groupBy("row", "template", "label", "length", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    # Spark must not cut a text once for each field that is read.
+    texts = docs.select("doc_id", row_key().alias("row"), F.inline(cut))
+    each = texts.select("doc_id", "row", "n_words", *[label for _, label in PHRASES], F.posexplode_outer("grams").alias("pos", "hash"))
+    hits = each.join(F.broadcast(template_grams(docs.sparkSession, templates)), "hash", "left")
+    return hits.where("template is not null or pos is null or pos = 0").drop("hash")
+
+
+def matches(hits: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(row, label, share, verified, first, last): each merged span of each template, first and last word."""
+    diagonals = hits.groupBy("row", "template", F.col("template_label").alias("label"), "length", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.min("pos").alias("first"), F.max(F.col("pos") + K - 1).alias("last"), F.collect_set("at").alias("ats")
     )
     along = Window.partitionBy("row", "template").orderBy("diagonal")
@@ -112,18 +135,13 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no word and no label.  Repeated rows stay repeated.
     """
-    docs = table(spark, sf_dir, "documents")
-    found = matches(docs).groupBy("row").agg(
+    marked = checkpointed(scanned(table(spark, sf_dir, "documents")))
+    found = matches(marked.where("template is not null")).groupBy("row").agg(
         F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("voted"), F.max("share").alias("share")
     )
-    none = F.array().cast("array<int>")
-    base = docs.select("doc_id", row_key().alias("row"), words_of(F.col("text")).alias("words"), F.lower("text").contains("license").alias("maybe"))
-    base = base.select(
-        "doc_id",
-        "row",
-        F.size("words").cast("long").alias("n_words"),
-        *[F.when(F.col("maybe"), places(F.col("words"), p)).otherwise(none).alias(label) for p, label in PHRASES],
-    )
+    # A first k-gram may hit several templates; one of its rows is the head.
+    first = F.col("pos").isNull() | (F.col("pos") == 0) & F.coalesce("head", F.lit(True))
+    base = marked.where(first)
     labels = [label for _, label in PHRASES]
     starts = F.concat(*labels)
     own = F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(x)) for x in labels]), lambda x: x.isNotNull())

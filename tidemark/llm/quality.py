@@ -22,6 +22,8 @@ from ._spark import id_remainder, table
 
 BUCKETS = 1 << 18
 MAX_TRAIN = 3000
+#: Bytes of the longest text that is learned from; all texts are scored.
+MAX_BYTES = 1 << 15
 KEEP_AT = 0.3
 _SCALE = 20.0
 
@@ -91,9 +93,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(at, label, text) of labelled ids outside the held-out fold, half of ``max_train`` of each label at most.
 
+    Texts of more than ``max_bytes`` are not learned from, which bounds the bytes of the sample.
     The ids come first in hash order, which ``at`` gives.  An id labelled more than once counts once, with its largest label.
     """
     ids = (
@@ -106,7 +109,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int
     ]
     chosen = halves[0].union(halves[1])
     # At most max_train rows of 12 bytes: safe to broadcast.
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(
+    texts = docs.select(F.col("doc_id").alias("__doc"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(
         F.xxhash64("__id").alias("at"), F.col("__label").alias("label"), "text"
     )
 
@@ -160,7 +164,10 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFra
 
 
 def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that score at least ``keep_at``, all columns as they are."""
+    """The documents that score at least ``keep_at``, all columns as they are, whatever their names.
+
+    Null and empty texts are scored by the bias; repeated rows stay or go together.
+    """
     packed, bias = _sparse(model[0]), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +181,8 @@ def keep_quality(docs: DataFrame, model: tuple[np.ndarray, float], keep_at: floa
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; predicted is 1 from a score of 0.3 on.
 
-    Null texts count as empty.  Repeated rows score alike.
+    Null texts count as empty; null ids are kept and count as held out; repeated rows score
+    alike; an empty table gives an empty result, and without labels every score is 0.5.
     """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))

@@ -3,8 +3,9 @@
 A vector's components are its terms.  Candidates are packed, in the partitions they are
 read in, into blocks of at most ``BLOCK`` rows that hold one posting list per
 component: places and weights of the rows where it isn't zero.  Queries are packed into
-blocks of sparse rows.  Every query block meets every candidate block once, as joined
-rows of a grid; there, term by term, a query's weight scatters the weighted postings
+blocks of sparse rows.  Every query block meets every candidate block once, in a grid of
+stripes of candidate blocks and groups of query blocks: a candidate block goes out once
+for each ``GROUP`` query blocks and a query block ``STRIPES`` times at most.  There, term by term, a query's weight scatters the weighted postings
 into a dense integer score array, a partition selects the block's best, and a window
 merges the blocks' lists.  Scores are exact integers.
 """
@@ -28,6 +29,9 @@ SCALE = 1024.0
 QUERY_MODULUS = 100
 BLOCK = 4096
 QUERY_BLOCK = 1024
+STRIPES = 64
+#: Query blocks that meet a stripe of candidates together, some 32 MB.
+GROUP = 64
 _PACKED = "block long, n int, ids binary, values binary"
 
 
@@ -130,13 +134,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     n_queries = queries.count()
     asked = queries.repartition(max(1, math.ceil(n_queries / query_block))).mapInArrow(_packer(query_block), _PACKED)
     asked = checkpointed(asked.toDF("qblock", "qn", "qids", "qvalues"))
-    # Grid: a candidate block goes once to each query block, and a query block once to each stripe.
-    n_blocks, n_asked = max(1, packed.count()), max(1, asked.count())
-    left = packed.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(n_blocks))).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))
+    stripes, groups = max(1, min(packed.count(), STRIPES)), max(1, math.ceil(asked.count() / GROUP))
+    left = packed.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int")).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
-    right = asked.withColumn("q", F.pmod(F.xxhash64("qblock"), F.lit(n_asked)).cast("int")).withColumn(
-        "stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    right = asked.withColumn("q", F.pmod(F.xxhash64("qblock"), F.lit(groups)).cast("int")).withColumn(
+        "stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
     )
     found = left.join(right, ["q", "stripe"]).mapInArrow(_search(k), "query_id long, place long, vec_id long, score long")
     by_query = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
@@ -159,7 +162,9 @@ def scaled(embeddings: DataFrame) -> DataFrame:
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest rows by inner product for every row whose vec_id is divisible by 100.
 
-    Rows without a vec_id take no part.  A repeated row is a candidate as often as it
+    Rows without a vec_id take no part; ties go to the smaller vec_id; an empty table gives
+    an empty result.  Components beyond the long range are held to it, and scores wrap
+    beyond 64 bits.  A repeated row is a candidate as often as it
     stands; a query row that stands more than once is asked once.
     """
     vectors = scaled(table(spark, sf_dir, "embeddings"))

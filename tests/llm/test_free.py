@@ -160,7 +160,7 @@ def test_slices_of_the_benchmark_change_nothing(spark):
     docs = [(i, sentence(rng, 20) + " " + " ".join(x if rng.random() < 0.97 else "other" for x in (items[i % 30][1] or "").split()), "en", "s", 0) for i in range(60)]
     bench, docs = spark.createDataFrame(items + items[:3], BENCH), spark.createDataFrame(docs, SCHEMA)
     found = []
-    for size in (1, 400, decontamination.SLICE_BYTES):
+    for size in (700, 1500, decontamination.SLICE_BYTES):
         parts = decontamination.indexes(bench, size)
         found.append(sorted(tuple(r) for index in parts for r in decontamination.find_leaks(docs, index).collect()))
     assert found[0] == found[1] == found[2] and 20 < len(found[0])

@@ -29,10 +29,24 @@ def checkpointed(df: DataFrame, most_rows: int | None = None) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     if most_rows is not None:
-        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
+        df = packed(df, most_rows)
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` in a partition for each ``FILE_ROWS`` of ``most_rows``; steps over one alone need no shuffle."""
+    return df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
+
+
+#: Rows of a few numbers that may be broadcast, some 20 MB.
+BROADCAST_ROWS = 500_000
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its ``rows``, which were counted and hold numbers only, are few; else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

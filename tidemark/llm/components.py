@@ -31,36 +31,41 @@ def least_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's links as stars: each node with the least node it reaches over them."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    links = pa.Table.from_batches(tables)
-    v, m = links.column("v").to_numpy(), links.column("m").to_numpy()
-    nodes, place = np.unique(np.concatenate([v, m]), return_inverse=True)
-    place = place.reshape(-1)
-    root = least_roots(len(nodes), place[: len(v)], place[len(v) :])
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["v", "m"])
+def _contract(whole: bool):
+    """A task's links as stars: each node with the least node it reaches over them; if ``whole``, roots as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        links = pa.Table.from_batches(tables)
+        v, m = links.column("a").to_numpy(), links.column("b").to_numpy()
+        nodes, place = np.unique(np.concatenate([v, m]), return_inverse=True)
+        place = place.reshape(-1)
+        root = least_roots(len(nodes), place[: len(v)], place[len(v) :])
+        shown = np.arange(len(nodes)) if whole else np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[shown]), pa.array(nodes[root[shown]])], ["node", "root"])
+
+    return run
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b longs); root is the least node reachable.
 
-    ``edges`` is read once.  Chunks of ``CHUNK`` links are contracted each within a task; a
-    single chunk has seen all links and is done.  Otherwise large-star and small-star steps
-    alternate until no root is a child and every child has one root.  Minima are
-    pre-aggregated before each shuffle, and hubs meet their edges by a broadcast of
-    2 * links / ``HUB`` rows at most, so no hub's edges meet in one task.  Each round is
-    checkpointed, so a lost executor costs no earlier round.
+    ``edges`` is read twice, so pass a table that is written.  Chunks of ``CHUNK`` links are
+    contracted each within a task; a single chunk has seen all links and is done.  Otherwise
+    large-star and small-star steps alternate until no root is a child and every child has
+    one root.  Minima are pre-aggregated before each shuffle, and hubs meet their edges by a
+    broadcast of 2 * links / ``HUB`` rows at most, so no hub's edges meet in one task.  Each
+    round is checkpointed, so a lost executor costs no earlier round.
     """
-    links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct()
-    links = checkpointed(links)
+    links = edges.select("a", "b")
     parts = max(1, -(-links.count() // CHUNK))
-    links = checkpointed(links.repartition(parts).mapInArrow(_contract, "v long, m long"))
+    dealt = links.coalesce(1) if parts == 1 else links.repartition(parts)
+    links = checkpointed(dealt.mapInArrow(_contract(parts == 1), "node long, root long"))
     if parts == 1:
-        return links.select(F.col("v").alias("node"), F.col("m").alias("root")).union(links.select("m", "m").distinct())
+        return links
+    links = links.toDF("v", "m")
     most = links.count()
     for _ in range(max_rounds):
         links = checkpointed(_small_star(_large_star(links)), 2 * most)

@@ -150,7 +150,7 @@ def components(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     """(fp, component_id) of every fingerprint: the least doc_id reachable over links."""
     most = marks.count()
     nodes = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), most)
-    roots = connected_components(near_links(nodes.select("fp"), radius, tile))
+    roots = connected_components(checkpointed(near_links(nodes.select("fp"), radius, tile)))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root")
     )

@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ship_by_value
 from ._bytes import LOWER, SpanHash, buffers, kind_table, mix, pieces, runs
-from ._spark import checkpointed
+from ._spark import checkpointed, packed, sent
 from .components import connected_components, least_roots
 from .neardup import row_key
 
@@ -202,7 +202,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
 
-def candidate_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+def candidate_links(nodes: DataFrame, n_nodes: int, tile: int = TILE) -> DataFrame:
     """(a, b): nearest spanning forests of the candidates among ``nodes`` (node, size, w0, w1, ...).
 
     Sets under 4 shingles are alike only if equal, so they meet nobody.  A tile is a run of
@@ -213,49 +213,53 @@ def candidate_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.25))).cast("int")
     classed = nodes.where("size >= 4").withColumns({"c": size_class, "pop": pop})
     # One row for each class and count: some 60 classes, 257 counts.
-    counts = classed.groupBy("c", "pop").agg(F.count(F.lit(1)).alias("n"))
-    below = counts.select("c", F.col("pop").alias("p"), F.col("n").alias("m"))
-    start = counts.join(F.broadcast(below), "c").groupBy("c", "pop", "n").agg(
-        F.coalesce(F.sum(F.when(F.col("p") < F.col("pop"), F.col("m"))), F.lit(0)).alias("start")
-    )
+    counts = checkpointed(classed.groupBy("c", "pop").agg(F.count(F.lit(1)).alias("n")), 60 * 257)
+    before = F.sum("n").over(Window.partitionBy("c").orderBy("pop")) - F.col("n")
+    start = packed(counts, 60 * 257).withColumn("start", before)
     place = F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))
     tiles = checkpointed(
         classed.join(F.broadcast(start), ["c", "pop"])
         .withColumn("t", F.floor(place / tile).cast("long"))
         .groupBy("c", "t")
-        .agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"), F.collect_list(F.struct("node", "size", *_NAMES)).alias("fps"))
+        .agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"), F.collect_list(F.struct("node", "size", *_NAMES)).alias("fps")),
+        n_nodes,
     )
     first = tiles.select(
-        F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"),
+        F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("fps").alias("left"),
         F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c2"),
     )
     second = tiles.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # Class 7 and below holds the sets of 4 and 5 shingles, class 8 their neighbours.
+    # Class 7 and below holds the sets of 4 and 5 shingles.
     reach = F.when(F.col("c1") <= 7, TINY_RADIUS).otherwise(RADIUS)
-    pairs = first.join(second, "c2").where(
+    # A tile's number, class and counts: one row for each tile, two for a class more.
+    pairs = first.join(sent(second, n_nodes // tile + 60), "c2").where(
         ((F.col("c1") < F.col("c2")) | (F.col("t1") <= F.col("t2"))) & (F.greatest("lo1", "lo2") - F.least("hi1", "hi2") <= reach)
-    ).select("c1", "t1", "c2", "t2")
-    left = tiles.select(F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("fps").alias("left"))
-    right = tiles.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("fps").alias("right"))
+    )
     own = (F.col("c1") == F.col("c2")) & (F.col("t1") == F.col("t2"))
-    both = pairs.join(left, ["c1", "t1"]).join(right, ["c2", "t2"])
-    return both.select("left", F.when(~own, F.col("right")).alias("right")).mapInArrow(_meet, "a long, b long")
+    right = tiles.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("fps").alias("right"))
+    both = pairs.select("c2", "t2", "left", own.alias("own")).join(right, ["c2", "t2"])
+    return both.select("left", F.when(~F.col("own"), F.col("right")).alias("right")).mapInArrow(_meet, "a long, b long")
 
 
 #: Rows of the sieve that keeps most texts without a candidate out of the shuffle.
 SIEVE = 1 << 17
 
 
-def sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
+def sets_of(rows: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
     """(node, shingles) of ``needed`` (row, node), cut anew from the texts of ``rows`` (row, text).
 
     Rows alike in id and text have one row key; they give the same set, and one is taken.
+    They are folded before they shuffle, so none of them makes a key hot.
     """
-    bucket = F.pmod(F.col("row"), F.lit(SIEVE)).cast("int")
-    sieve = needed.select(bucket.alias("bucket")).distinct()
-    sifted = rows.select("row", "text").withColumn("bucket", bucket).join(F.broadcast(sieve), "bucket", "left_semi")
-    # Repeated rows are folded before the join, so none of them makes a key hot.
-    return sifted.select("row", "text").dropDuplicates(["row"]).join(needed, "row").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
+    texts = rows.select("row", "text")
+    if n_needed <= SIEVE:
+        sifted = texts.join(F.broadcast(needed.select("row")), "row", "left_semi")
+    else:
+        bucket = F.pmod(F.col("row"), F.lit(SIEVE)).cast("int")
+        sieve = F.broadcast(needed.select(bucket.alias("bucket")).distinct())
+        sifted = texts.withColumn("bucket", bucket).join(sieve, "bucket", "left_semi").drop("bucket")
+    once = sifted.dropDuplicates(["row"]).join(sent(needed, n_needed), "row")
+    return once.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
 
 
 def alike(shared: Column, left: Column, right: Column, similarity: float) -> Column:
@@ -353,18 +357,17 @@ def missed_links(
     meet each other, as what one part holds is joined already.
     """
     group = connected_components(links).toDF("node", "group")
-    members = (
-        group.join(roots.toDF("node", "part"), "node", "left")
-        .join(sizes, "node")
-        .select("node", "group", F.coalesce("part", "node").alias("part"), "size")
-    )
+    n = group.count()
+    part = sent(roots.toDF("node", "part"), n)
+    members = group.join(part, "node", "left").select("node", "group", F.coalesce("part", "node").alias("part"))
+    members = packed(checkpointed(sizes.join(sent(members, n), "node").select("node", "group", "part", "size"), n), n)
     parts = members.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
     chunks = F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("volume") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    several = parts.groupBy("group").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group")
     # A part that fills blocks is a pool of its own; the rest of a group is one pool.
     pure = (F.col("n") >= block) | (F.col("volume") >= BLOCK_SHINGLES)
-    pool = F.when(pure, F.col("part"))
-    dealt = checkpointed(parts.join(several, "group", "left_semi").withColumn("pool", pool))
+    several = parts.groupBy("group").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group")
+    dealt = parts.join(sent(several, n), "group", "left_semi").withColumn("pool", F.when(pure, F.col("part")))
+    dealt = packed(checkpointed(dealt, n), n)
     if dealt.isEmpty():
         return None
     pools = dealt.groupBy("group", "pool").agg(chunks.alias("chunks"))
@@ -373,7 +376,7 @@ def missed_links(
     theirs = pools.select("group", name.alias("q"), F.col("chunks").alias("others"))
     meet = mine.join(theirs, "group").where("p != q or p.mixed")
     placed = (
-        members.join(dealt.select("group", "part", "pool"), ["group", "part"])
+        members.join(sent(dealt.select("group", "part", "pool"), n), ["group", "part"])
         .select("group", "node", "part", name.alias("p"))
         .join(meet, ["group", "p"])
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
@@ -408,16 +411,20 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     # Equal sets are one node with one row; copies fold before they shuffle.
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = checkpointed(marks.groupBy("node", "size", *_NAMES).agg(F.min(ranked).alias("first")))
+    n = nodes.count()
     heads = nodes.select("node", "size", F.col("first.row").alias("row"), "first")
-    links = checkpointed(candidate_links(nodes.select("node", "size", *_NAMES)).distinct())
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    sets = checkpointed(sets_of(rows, heads.select("row", "node").join(ends, "node", "left_semi")))
-    good = checkpointed(verified(links, sets, similarity))
+    links = checkpointed(candidate_links(nodes.select("node", "size", *_NAMES), n), 2 * n)
+    n_links = links.count()
+    links = packed(links, n_links)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    needed = checkpointed(heads.select("row", "node").join(sent(ends, 2 * n_links), "node", "left_semi"), 2 * n_links)
+    sets = checkpointed(sets_of(rows, needed, needed.count()))
+    good = checkpointed(verified(links, sets, similarity), n_links)
     roots = connected_components(good)
     more = missed_links(links, roots, heads.select("node", "size"), sets, similarity)
     if more is not None:
-        roots = connected_components(good.union(more))
-    grouped = heads.join(roots, "node", "left")
+        roots = connected_components(checkpointed(good.union(more), 2 * n_links))
+    grouped = heads.join(sent(roots, 2 * n_links), "node", "left")
     kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(own))
     return docs.withColumn(own, row_key()).dropDuplicates([own]).join(kept, own, "left_semi").select(*docs.columns)
 

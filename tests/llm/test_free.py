@@ -292,7 +292,7 @@ def test_tiles_of_any_size_find_the_same(spark):
     near = (far <= np.where(small < 6, 77, 68)) & (5 * small >= 4 * large)
     want = components.least_roots(len(sets), *np.nonzero(near)).tolist()
     for tile in (3, 8192):
-        roots = dict(map(tuple, components.connected_components(similar.candidate_links(nodes, tile)).collect()))
+        roots = dict(map(tuple, components.connected_components(similar.candidate_links(nodes, len(sets), tile)).collect()))
         assert [roots.get(k, k) for k in range(len(sets))] == want
 
 

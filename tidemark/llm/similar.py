@@ -413,17 +413,17 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     nodes = checkpointed(marks.groupBy("node", "size", *_NAMES).agg(F.min(ranked).alias("first")))
     n = nodes.count()
     heads = nodes.select("node", "size", F.col("first.row").alias("row"), "first")
-    links = checkpointed(candidate_links(nodes.select("node", "size", *_NAMES), n), 2 * n)
+    links = checkpointed(candidate_links(nodes.select("node", "size", *_NAMES), n))
     n_links = links.count()
     links = packed(links, n_links)
     ends = links.select(F.col("a").alias("node")).union(links.select("b"))
     needed = checkpointed(heads.select("row", "node").join(sent(ends, 2 * n_links), "node", "left_semi"), 2 * n_links)
     sets = checkpointed(sets_of(rows, needed, needed.count()))
-    good = checkpointed(verified(links, sets, similarity), n_links)
+    good = packed(checkpointed(verified(links, sets, similarity)), n_links)
     roots = connected_components(good)
     more = missed_links(links, roots, heads.select("node", "size"), sets, similarity)
     if more is not None:
-        roots = connected_components(checkpointed(good.union(more), 2 * n_links))
+        roots = connected_components(checkpointed(good.union(more)))
     grouped = heads.join(sent(roots, 2 * n_links), "node", "left")
     kept = grouped.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(own))
     return docs.withColumn(own, row_key()).dropDuplicates([own]).join(kept, own, "left_semi").select(*docs.columns)

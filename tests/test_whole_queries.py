@@ -35,7 +35,7 @@ def test_coverage_walks_from_every_document(spark, tmp_path):
             path.append(found[0][2])
             covered |= terms[path[-1]]
         want[entry] = ">".join(map(str, path))
-    assert dict(rows(queries.QUERIES["chase_coverage_all"](spark, d))) == want and len(want) == 70
+    assert dict(rows(queries.QUERIES["chase_coverage"](spark, d))) == want and len(want) == 70
     assert any(">" in p for e, p in want.items() if e >= 40)
 
 
@@ -45,5 +45,5 @@ def test_positions_take_every_supplier(spark, tmp_path):
     spark.createDataFrame(nations, "n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
     spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
     want = [(g, n, f"s{g + 7 * k}" if g + 7 * k < 45 else None) for g in (0, 1) for k, n in enumerate(x for x, r in nations if r == g)]
-    assert sorted(rows(queries.QUERIES["positional_join_all"](spark, str(tmp_path)))) == sorted(want)
+    assert sorted(rows(queries.QUERIES["positional_join"](spark, str(tmp_path)))) == sorted(want)
     assert sum(w[2] is not None for w in want) > 6

@@ -190,3 +190,28 @@ WHY = (
 # Calibration of the citation score.
 CITE_MEAN_G, CITE_SD_G, CITE_MEAN_SUPPORT, CITE_SD_SUPPORT = 0.3745, 0.1408, 1.6012, 2.0534
 CITE_CUT, WEAK_LEAD, CONSENSUS_CUT, COVERAGE_CUT, STRONG_IDF = -1.510, 0.40, 3, 0.38, 2.5
+
+# The stop lists of the two studies that keep their own.
+COMPONENT_STOP = tuple(
+    "the a an of to in on and or with at from for was were is are be this that these those it its "
+    "they them their has had have will would could should may might not no non due most probable caused "
+    "cause failure failed fault anomaly report system module condition which whose found made used later "
+    "when than then also into more over under between".split()
+)
+LOCATION_STOP = tuple(
+    "the a an of to in on and or with at from for was were is are be this that these those it its "
+    "they them their has had have will would could should may might not no non due most probable caused "
+    "cause failure failed fault anomaly report system module condition which whose".split()
+)
+
+# Words of the aftermath in the component and in the location study.
+AFTERMATH_COMPONENT = (
+    r"postflight|post-flight|bench test|vibrat|x-ray|temperature test|\bduplicat|ground test|"
+    r"review board|teardown|\binspect|closed\b|no hardware|warranted|redesign|\bmodif|relocated|improved|"
+    r"corrective|for future|future mission|recommend|changed to|material changed|was changed|replaced"
+)
+AFTERMATH_LOCATION = (
+    r"postflight|bench test|x-ray|temperature test|duplicat|ground test|review board|"
+    r"teardown|closed\b|no hardware|warranted|redesign|modif|relocated|improved|corrective|recommend|"
+    r"powered down|lifeboat|recycl"
+)

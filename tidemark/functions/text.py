@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 
+# The patterns of tokens and of capital phrases.
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-\._]*"
 CAPS = r"\b(?:[A-Z0-9][A-Z0-9/\-]*(?:\s+[A-Z0-9][A-Z0-9/\-]*){0,4})\b"
 
@@ -49,7 +50,7 @@ def salient_terms(c: Column) -> Column:
     """Capital phrases, then fault words, without repeats."""
     caps = F.filter(
         F.transform(_all(c, CAPS), strip),
-        lambda p: (F.length(p) >= 3) & ~F.array_contains(words(L.CAPS_STOP), F.upper(p)) & ~p.rlike("^[0-9]+$"),
+        lambda p: (F.length(p) >= 3) & ~F.upper(p).isin(*L.CAPS_STOP) & ~p.rlike("^[0-9]+$"),
     )
     faults = F.filter(words(L.FAULT_WORDS), lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w))
     return F.get(F.transform(F.array(F.concat(caps, faults)), distinct_ignoring_case), F.lit(0))
@@ -60,14 +61,13 @@ def salience(c: Column) -> Column:
 
 
 def fallback_tokens(c: Column) -> Column:
-    stop = words(L.FALLBACK_STOP)
-    return F.filter(tokenize(c), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
+    return F.filter(tokenize(c), lambda t: (F.length(t) >= 3) & ~t.isin(*L.FALLBACK_STOP))
 
 
 def terms(c: Column, pattern: str, stop: Iterable[str] = ()) -> Column:
     """Lower-cased matches of ``pattern`` in order, stop words left out."""
     found, stop = _all(F.lower(c), pattern), tuple(stop)
-    return F.filter(found, lambda t: ~F.array_contains(words(stop), t)) if stop else found
+    return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
 def content_terms(c: Column) -> Column:
@@ -82,6 +82,26 @@ def short_terms(c: Column) -> Column:
     return terms(c, r"[a-z0-9]{3,}")
 
 
+def exact_part_words(c: Column) -> Column:
+    """Words of four letters or more, without the component study's own stop list."""
+    return terms(c, r"[a-z][a-z\-]{3,}", L.COMPONENT_STOP)
+
+
+def where_words(c: Column) -> Column:
+    """Words of four letters or more, without the location study's own stop list."""
+    return terms(c, r"[a-z][a-z\-]{3,}", L.LOCATION_STOP)
+
+
+def alnum_tokens(c: Column) -> Column:
+    """Lower-cased runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def half_even(c: Column, places: int = 0) -> Column:
+    """Rounded with ties to the even neighbour."""
+    return F.bround(c, places)
+
+
 def normalized(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9 ]+", " "))
 
@@ -97,9 +117,9 @@ def turns(c: Column, least: int = 12) -> Column:
     return F.get(F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(strip(F.coalesce(c, F.lit("")))))), F.lit(0))
 
 
-def diagnostic_text(c: Column, keep_whole: bool = False) -> Column:
-    """Sentences of 8 characters or more that don't speak of the aftermath."""
-    kept = F.filter(turns(c, 8), lambda s: (F.length(s) >= 8) & ~s.rlike("(?i)" + L.AFTERMATH))
+def diagnostic_text(c: Column, keep_whole: bool = False, aftermath: str = L.AFTERMATH) -> Column:
+    """Sentences of 8 characters or more that don't speak of the aftermath, as the study's pattern has it."""
+    kept = F.filter(turns(c, 8), lambda s: (F.length(s) >= 8) & ~s.rlike("(?i)" + aftermath))
     joined = F.array_join(kept, " ")
     return F.when(joined == "", F.coalesce(c, F.lit(""))).otherwise(joined) if keep_whole else joined
 
@@ -109,10 +129,10 @@ def channels(c: Column, vocabulary: Column | None = None) -> Column:
     vocab = words(L.PANEL_WORDS) if vocabulary is None else vocabulary
     caps = F.filter(
         F.transform(_all(c, CAPS), strip),
-        lambda p: (F.length(p) >= 2) & ~F.array_contains(words(L.CAPS_STOP), F.upper(p)) & ~p.rlike("^[0-9]+$"),
+        lambda p: (F.length(p) >= 2) & ~F.upper(p).isin(*L.CAPS_STOP) & ~p.rlike("^[0-9]+$"),
     )
     caps_words = F.filter(F.flatten(F.transform(caps, lambda p: F.split(F.lower(p), "[^A-Za-z0-9]+"))), lambda w: w != "")
-    used = F.filter(tokenize(c), lambda t: (F.length(t) >= 2) & ~F.array_contains(words(L.CHANNEL_STOP), F.lower(t)))
+    used = F.filter(tokenize(c), lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(*L.CHANNEL_STOP))
     signal = lambda t: F.array_contains(vocab, F.lower(t)) | F.array_contains(caps_words, F.lower(t)) | t.rlike("[0-9]")
     signals = F.concat(caps, F.filter(used, lambda t: signal(t) & ~F.array_contains(caps_words, F.lower(t))))
     return F.struct(

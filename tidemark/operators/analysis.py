@@ -10,7 +10,7 @@ from ..functions.text import contains_any, short_terms, squeezed
 from . import graph, index
 
 # Hyphenated part names that stay whole, and words for parts and for mechanisms alone.
-WHOLE_PARTS = ("o-ring", "b-nut")
+WHOLE_PARTS = ("o-ring", "b-nut", "dc-dc", "quick-disconnect")
 PART = (
     r"(?i)\b(switch|microswitch|relay|valve|poppet|spool|solenoid|actuator|regulator|diverter|"
     r"connector|wire|cable|harness|terminal|contact|plug|socket|receptacle|jumper|splice|"
@@ -66,7 +66,32 @@ def is_named(part: Column, decision: Column, loose: bool = False) -> Column:
     exact = F.contains(text, stem) | F.contains(squeezed(decision), squeezed(stem))
     if not loose:
         return exact
-    return exact | F.exists(F.split(part, "-"), lambda h: (F.length(h) >= 4) & F.contains(text, h))
+    heads = F.filter(F.split(F.lower(part), "[^a-z0-9]+"), lambda h: F.length(h) >= 4)
+    return exact | F.exists(heads, lambda h: F.contains(text, h) | (h.endswith("s") & F.contains(text, F.regexp_replace(h, "s$", ""))))
+
+
+def component_scores(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, primary, any_part, any_loose, coverage): the named parts of each row's cause; rows without parts don't count.
+
+    rows: id, decision, declined (a declined row names nothing); parts: id, part, place.
+    """
+    said = F.when(F.col("declined"), F.lit("")).otherwise(F.coalesce("decision", F.lit("")))
+    each = parts.join(rows.select("id", said.alias("said")), "id").select(
+        "id", "place", is_named(F.col("part"), F.col("said")).alias("hit"), is_named(F.col("part"), F.col("said"), True).alias("loose")
+    )
+    return each.groupBy("id").agg(
+        F.bool_or(F.col("hit") & (F.col("place") == 1)).alias("primary"), F.bool_or("hit").alias("any_part"),
+        F.bool_or("loose").alias("any_loose"), F.avg(F.col("hit").cast("int")).alias("coverage"),
+    )
+
+
+def subset_report(rows: DataFrame, subsets: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
+    """(subset, n, measures): the means of overlapping subsets; a row counts in each it belongs to, an empty one has n 0."""
+    names = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in subsets.items()])
+    kept = rows.select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("subset"), *[c.cast("double").alias(m) for m, c in measures.items()])
+    means = kept.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in measures])
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, subsets))).alias("subset"))
+    return every.join(means, "subset", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def term_kind(term: Column) -> Column:
@@ -109,38 +134,48 @@ def chain_profile(paths: DataFrame, segments: DataFrame) -> DataFrame:
     return chains.join(per, "query_id").withColumn("redundancy", F.col("visits") / F.col("segments"))
 
 
+def symptom_node(symptom: Column) -> Column:
+    """Symptoms have a key space of their own, whatever their case."""
+    return F.concat(F.lit("symptom::"), F.lower(symptom))
+
+
 def symptom_graph(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of segments with their symptoms, components, subsystems and links.
 
-    segments: id, subsystem, component, symptoms, links_to.  Parallel edges stay; a node
-    that is named in several roles takes the kind that comes last: subsystem, procedure,
-    component, symptom.
+    segments: id, subsystem, component, symptoms, links_to.  Parallel edges stay; targets of
+    links are nodes though no segment may bear the name, their kind is null.  A name that
+    is a segment, a subsystem and a component takes the last of these kinds.
     """
-    s = segments
-    have = lambda c: (F.col(c).isNotNull()) & (F.col(c) != "")
-    edge = lambda df, a, b, kind: df.select(F.expr(a).alias("src"), F.expr(b).alias("dst"), F.lit(kind).alias("kind"))
-    symptom = s.select("id", "component", F.explode("symptoms").alias("symptom"))
-    parts = [
-        edge(s.where(have("subsystem")), "subsystem", "id", "has_procedure"),
-        edge(s.where(have("subsystem") & have("component")), "subsystem", "component", "has_component"),
-        edge(symptom, "symptom", "id", "indicates"),
-        edge(symptom.where(have("component")), "symptom", "component", "associated_with"),
-        edge(s.select("id", F.explode("links_to").alias("l")), "id", "l", "related_to"),
-    ]
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.unionAll(p)
-    role = lambda df, c, n, kind: df.select(F.col(c).alias("node"), F.lit(n).alias("n"), F.lit(kind).alias("kind"))
-    named = (
-        role(s.where(have("subsystem")), "subsystem", 0, "subsystem").union(role(s, "id", 1, "procedure"))
-        .union(role(s.where(have("component")), "component", 2, "component")).union(role(symptom, "symptom", 3, "symptom"))
+    named = {c: F.col(c).isNotNull() & (F.col(c) != "") for c in ("subsystem", "component")}
+    # One row for each edge of a segment, from one pass over the segments.
+    edge = lambda on, src, dst, kind: F.when(on, F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
+    segment, sub, comp = F.col("id"), F.col("subsystem"), F.col("component")
+    own = F.array(
+        edge(named["subsystem"], sub, segment, "has_procedure"), edge(named["component"], comp, segment, "has_procedure"),
+        edge(named["subsystem"] & named["component"], sub, comp, "has_component"),
+    )
+    of_symptoms = F.flatten(F.transform(F.coalesce("symptoms", F.array().cast("array<string>")), lambda x: F.array(
+        edge(x.isNotNull(), symptom_node(x), segment, "indicates"), edge(x.isNotNull() & named["subsystem"], symptom_node(x), sub, "associated_with"))))
+    of_links = F.transform(F.coalesce("links_to", F.array().cast("array<string>")), lambda x: edge(x.isNotNull(), segment, x, "related_to"))
+    kept = F.filter(F.concat(own, of_symptoms, of_links), lambda e: e.isNotNull())
+    edges = segments.select(F.explode(kept).alias("e")).select("e.src", "e.dst", "e.kind")
+    role = lambda node, n, kind: F.struct(node.alias("node"), F.lit(n).alias("n"), F.lit(kind).alias("kind"))
+    roles = F.array(
+        role(segment, 1, "procedure"), F.when(named["subsystem"], role(sub, 2, "subsystem")), F.when(named["component"], role(comp, 3, "component"))
+    )
+    none = F.lit(None).cast("string")
+    told = segments.select(F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("r.node", "r.n", "r.kind", none.alias("text"))
+    symptoms = segments.select(F.explode("symptoms").alias("text")).where("text is not null").select(
+        symptom_node(F.col("text")).alias("node"), F.lit(4).alias("n"), F.lit("symptom").alias("kind"), "text"
     )
-    return named.groupBy("node").agg(F.max_by("kind", "n").alias("kind")), edges
+    linked = edges.where("kind = 'related_to'").select(F.col("dst").alias("node"), F.lit(0).alias("n"), none.alias("kind"), none.alias("text"))
+    every = told.unionByName(symptoms).unionByName(linked)
+    return every.groupBy("node").agg(F.max_by("kind", "n").alias("kind"), F.max("text").alias("text")), edges
 
 
 def matching_symptoms(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, node, overlap) of symptom nodes that share terms with the query, most first by ``place``."""
-    own = nodes.where("kind = 'symptom'").select("node", F.explode(F.array_distinct(short_terms(F.col("node")))).alias("tok"))
+    own = nodes.where("kind = 'symptom'").select("node", F.explode(F.array_distinct(short_terms(F.col("text")))).alias("tok"))
     asked = queries.select("query_id", F.explode(F.array_distinct(short_terms(F.col("symptom")))).alias("tok"))
     met = asked.join(own, "tok").groupBy("query_id", "node").agg(F.count(F.lit(1)).alias("overlap"))
     return met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "node")))

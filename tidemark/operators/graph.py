@@ -142,37 +142,72 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3, fanout: int = 5) ->
     return seen
 
 
-def route(seeds: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """(query_id, node, cost): least sum of edge costs from the seeds, over ``rounds`` edges at most."""
-    best = seeds.select("query_id", "node").distinct().withColumn("cost", F.lit(0.0))
-    steps = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("step"))
-    for _ in range(rounds):
-        on = best.join(steps, "node").select("query_id", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
-        best = best.unionByName(on).groupBy("query_id", "node").agg(F.min("cost").alias("cost"))
-    return best
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """(node, rank) on the undirected view; parallel edges weigh more, rank of lone nodes is dealt to all."""
+def route(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(query_id, node, cost): least sum of edge costs from the seeds, to every node in reach.
+
+    Each round goes on from the nodes that the round before made cheaper, until there are none.
+    """
+    best = cut(seeds.select("query_id", "node").distinct().withColumn("cost", F.lit(0.0)))
+    steps = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").alias("step"))
+    steps, front = cut(steps), best
+    for _ in range(max_rounds):
+        on = front.join(steps, "node").groupBy("query_id", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
+        front = cut(on.join(best, ["query_id", "node"], "left").where("cost is null or new < cost - 1e-12").select("query_id", "node", F.col("new").alias("cost")))
+        if front.isEmpty():
+            return best
+        best = cut(best.unionByName(front).groupBy("query_id", "node").agg(F.min("cost").alias("cost")))
+    raise RuntimeError(f"routes did not settle in {max_rounds} rounds")
+
+
+def routed_segments(costs: DataFrame, nodes: DataFrame, k: int | None = 20, boosted: DataFrame | None = None) -> DataFrame:
+    """(query_id, node, score, place) of procedures in reach, the likeliest first; ``k`` None takes all.
+
+    The score is exp(-cost).  Procedures among ``boosted`` (node), those of subsystems that look
+    anomalous, come before others that are no more than one unit of cost cheaper.
+    """
+    found = costs.join(nodes.where("kind = 'procedure'").select("node"), "node")
+    order = F.col("cost")
+    if boosted is not None:
+        found = found.join(boosted.select("node").distinct().withColumn("on", F.lit(1)), "node", "left")
+        order = order + F.when(F.col("on") == 1, 0.0).otherwise(1.0)
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "node")))
+    placed = placed.select("query_id", "node", F.exp(-F.col("cost")).alias("score"), "place")
+    return placed if k is None else placed.where(F.col("place") <= k)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_rounds: int = 200, stride: int = 5) -> DataFrame:
+    """(node, rank) on the undirected view; parallel edges weigh more, rank of lone nodes is dealt to all.
+
+    Rounds go on until the ranks of all nodes together move by less than ``tol`` a node,
+    which is looked at every ``stride`` rounds; only then is a round written.
+    """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     weighed = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     out = weighed.groupBy("src").agg(F.sum("w").alias("out"))
     steps = cut(weighed.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
-    size = nodes.agg(F.count(F.lit(1)).alias("n"))  # one row
-    rank = nodes.select("node").crossJoin(F.broadcast(size)).withColumn("rank", 1.0 / F.col("n"))
-    lone = nodes.join(out, nodes["node"] == out["src"], "left_anti").select("node", F.lit(1).alias("lone"))
-    for _ in range(rounds):
-        given = steps.join(rank, steps["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        spare = rank.join(lone, "node", "left").agg(F.coalesce(F.sum(F.when(F.col("lone") == 1, F.col("rank"))), F.lit(0.0)).alias("spare"))
-        rank = cut(
-            rank.select("node", "n").join(given, F.col("node") == given["dst"], "left").crossJoin(F.broadcast(spare))
-            .select("node", "n", ((1 - alpha + alpha * F.col("spare")) / F.col("n") + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        )
+    lone = nodes.join(steps, nodes["node"] == steps["src"], "left_anti").select("node", F.lit(1).alias("lone"))
+    known = cut(nodes.select("node").distinct().join(lone, "node", "left"))
+    n = known.count()
+    rank = known.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range(0, max_rounds, stride):
+        for _ in range(stride):
+            given = steps.join(rank, steps["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+            spare = rank.agg(F.coalesce(F.sum(F.when(F.col("lone") == 1, F.col("rank"))), F.lit(0.0)).alias("spare"))  # one row
+            rank = (
+                rank.select("node", "lone", F.col("rank").alias("before")).join(given, F.col("node") == given["dst"], "left").crossJoin(F.broadcast(spare))
+                .select("node", "lone", "before", ((1 - alpha + alpha * F.col("spare")) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            )
+        rank = cut(rank)
+        if (rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < n * tol:
+            break
+        rank = rank.drop("before")
     return rank.select("node", "rank")
 
 
-def scaled_prior(ranks: DataFrame, top: float = 0.1) -> DataFrame:
-    """Ranks stretched to 0..top; alike ranks are all 0."""
+def scaled_prior(ranks: DataFrame, segments: DataFrame | None = None, top: float = 0.1) -> DataFrame:
+    """Ranks stretched to 0..top; alike ranks are all 0.  With ``segments`` (node) only theirs take part."""
+    if segments is not None:
+        ranks = ranks.join(segments.select("node").distinct(), "node", "left_semi")
     ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     span = F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
     return ranks.crossJoin(F.broadcast(ends)).select("node", (top * (F.col("rank") - F.col("lo")) / span).alias("prior"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fallback_tokens, salience, tokenize
+from ..plans.lineage import cut
+
+#: Rows of a query side that is broadcast, some 30 MB.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -21,14 +25,14 @@ class Index:
 
 def build_index(segments: DataFrame, text: Column, epsilon: float = 0.25) -> Index:
     """segments: needs ``ord``, a unique key that also breaks ties."""
+    # Texts are cut once; a text's first token, or its lack of any, stands for the text in the statistics.
     docs = segments.select("ord", tokenize(text).alias("toks"))
-    lengths = docs.select(F.size("toks").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = (
-        docs.select("ord", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-        .groupBy("ord", "tok")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    each = docs.select("ord", F.size("toks").alias("dl"), F.posexplode_outer("toks").alias("pos", "tok"))
+    written = cut(
+        each.groupBy("ord", "tok").agg(F.count("tok").alias("tf"), F.first("dl").alias("dl"), F.coalesce(F.min("pos"), F.lit(0)).alias("at"))
     )
+    stats = cut(written.where("at = 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    postings = written.where("tok is not null").drop("at")
     df = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).select(
         "tok", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")
@@ -37,19 +41,22 @@ def build_index(segments: DataFrame, text: Column, epsilon: float = 0.25) -> Ind
     vocabulary = raw.crossJoin(F.broadcast(floor)).select(
         "tok", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")
     )
-    return Index(postings, vocabulary, stats)
+    return Index(postings, cut(vocabulary), stats)
 
 
 def score(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, ord, score) of segments that share a token with the query; ``queries.toks`` may repeat tokens.
 
-    The query side shrinks to its distinct tokens before it meets the vocabulary, and only
-    postings of those tokens reach the sum, which is combined before its shuffle.
+    The query side shrinks to its distinct tokens before it meets the vocabulary; it is
+    broadcast if it then has ``BROADCAST_ROWS`` rows or fewer.  Only postings of its tokens
+    reach the sum, which is combined before its shuffle.
     """
     asked = queries.select("query_id", F.explode("toks").alias("tok")).groupBy("query_id", "tok").agg(
         F.count(F.lit(1)).alias("qtf")
     )
-    weighed = asked.join(index.vocabulary, "tok").select("query_id", "tok", (F.col("qtf") * F.col("idf")).alias("w"))
+    weighed = cut(asked.join(index.vocabulary, "tok").select("query_id", "tok", (F.col("qtf") * F.col("idf")).alias("w")))
+    if weighed.count() <= BROADCAST_ROWS:  # then no posting is shuffled, however common its token
+        weighed = F.broadcast(weighed)
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     return (
@@ -60,10 +67,18 @@ def score(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75) ->
     )
 
 
-def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
-    """The k best of each query with ``rank``, ties by ``ord``; only positive scores."""
+def top_k(scores: DataFrame, k: int, by: str = "query_id", positive: bool = True) -> DataFrame:
+    """The k best of each query with ``rank``, ties by ``ord``; with ``positive`` only scores above 0."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), "ord")
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return (scores.where("score > 0") if positive else scores).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def all_scores(scores: DataFrame, segments: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``scores`` with a 0 for the first k segments of each query that it lacks, enough for any k best."""
+    # k rows at most, so no pair of a query and a far segment is made.
+    order = segments.select("ord").orderBy("ord").limit(k).withColumn("score", F.lit(0.0))
+    zeros = queries.select("query_id").distinct().join(F.broadcast(order)).join(scores, ["query_id", "ord"], "left_anti")
+    return scores.select("query_id", "ord", "score").unionByName(zeros.select("query_id", "ord", "score"))
 
 
 def effective_scores(index: Index, symptoms: DataFrame) -> DataFrame:

@@ -324,12 +324,12 @@ def _(s, d):
 
 @query(
     "coverage_dial",
-    """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS tok FROM documents WHERE lang = 'en'),
+    """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS tok FROM documents),
 q AS (SELECT item_id AS query_id, unnest(CASE WHEN len(ts) = 0 THEN [NULL] ELSE ts END) AS tok FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS ts FROM benchmark))
 SELECT query_id, round(coalesce(count(v.tok) / nullif(count(q.tok), 0), 0.0), 6) AS coverage FROM q LEFT JOIN v USING (tok) GROUP BY query_id""",
 )
 def _(s, d):
-    vocab = _t(s, d, "documents").where("lang = 'en'").select(F.explode(T.short_terms(F.col("text"))).alias("tok"))
+    vocab = _t(s, d, "documents").select(F.explode(T.short_terms(F.col("text"))).alias("tok"))
     return index.coverage(_symptoms(s, d), vocab).select("query_id", _r("coverage"))
 
 
@@ -425,7 +425,7 @@ def _(s, d):
     "chase_coverage",
     f"""WITH {_EDGES}, tm AS (SELECT doc_id AS ord, {CONTENT.format('text')} AS terms FROM documents),
 idf AS (SELECT tok, ln((SELECT count(*) FROM documents) / (count(*) + 1)) AS idf FROM (SELECT unnest(terms) AS tok FROM tm) GROUP BY tok),
-w0 AS (SELECT ord AS chain, ord AS cur, [ord] AS path, terms AS covered FROM tm WHERE ord < 40),
+w0 AS (SELECT ord AS chain, ord AS cur, [ord] AS path, terms AS covered FROM tm),
 """ + ",".join(f"""
 o{i} AS (SELECT w.chain, w.path, w.covered, e.dst, e.seq, t.terms, unnest([x FOR x IN t.terms IF NOT list_contains(w.covered, x)]) AS tok
   FROM w{i} w JOIN ed e ON e.src = w.cur JOIN tm t ON t.ord = e.dst WHERE NOT list_contains(w.path, e.dst)),
@@ -436,18 +436,13 @@ d{i} AS (SELECT chain, path FROM w{i} WHERE chain NOT IN (SELECT chain FROM w{i
 SELECT chain AS entry, array_to_string(path, '>') AS path FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT chain, path FROM w2)""",
 )
 def _(s, d):
-    return _coverage_paths(s, d, "ord < 40")
+    return _coverage_paths(s, d)
 
 
-@query("chase_coverage_all")
-def _(s, d):
-    return _coverage_paths(s, d, "true")
-
-
-def _coverage_paths(s: SparkSession, d: str, entry: str) -> DataFrame:
-    terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
+def _coverage_paths(s: SparkSession, d: str) -> DataFrame:
+    terms = cut(_t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms")))
     idf = evals.idf_table(terms, F.col("terms")).select("tok", "idf")
-    entries = terms.where(entry).select(F.lit(0).alias("query_id"), F.col("ord").alias("chain"), "ord", F.lit(1.0).alias("score"))
+    entries = terms.select(F.lit(0).alias("query_id"), F.col("ord").alias("chain"), "ord", F.lit(1.0).alias("score"))
     paths = graph.chase_coverage(entries, _doc_edges(s, d), terms, idf, max_depth=2)
     return paths.select(F.col("chain").alias("entry"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -464,29 +459,45 @@ def _(s, d):
     return graph.reach(seeds, _doc_edges(s, d), 3, 2).select("query_id", "node", "hop")
 
 
-@query(
-    "min_cost_route",
-    f"""WITH RECURSIVE {_EDGES}, sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
-w(query_id, node, cost, hop) AS (SELECT query_id, node, CAST(0 AS DOUBLE), 0 FROM sd
-  UNION ALL SELECT query_id, dst, cost + CASE WHEN seq = 3 THEN -ln(0.6) ELSE -ln(0.8) END, hop + 1 FROM w JOIN ed ON ed.src = w.node WHERE hop < 3)
-SELECT query_id, node, round(exp(-min(cost)), 6) AS score FROM w GROUP BY query_id, node""",
+_ROUTES = f"""WITH {_EDGES}, sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
+st AS MATERIALIZED (SELECT src, dst, CASE WHEN seq = 3 THEN -ln(0.6) ELSE -ln(0.8) END AS step FROM ed), c0 AS MATERIALIZED (SELECT query_id, node, CAST(0 AS DOUBLE) AS cost FROM sd)""" + "".join(
+    f""", c{i + 1} AS MATERIALIZED (SELECT query_id, node, min(cost) AS cost FROM (SELECT * FROM c{i} UNION ALL SELECT query_id, dst, cost + step FROM c{i} JOIN st ON st.src = node) GROUP BY query_id, node)"""
+    for i in range(24)
 )
-def _(s, d):
+
+
+def _routes(s: SparkSession, d: str) -> DataFrame:
     seeds = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("node"))
     seeds = seeds.join(_t(s, d, "documents").select(F.col("doc_id").alias("node")), "node", "left_semi")
     edges = _doc_edges(s, d).withColumn("cost", F.when(F.col("seq") == 3, -F.ln(F.lit(0.6))).otherwise(-F.ln(F.lit(0.8))))
-    return graph.route(seeds, edges, 3).select("query_id", "node", F.round(F.exp(-F.col("cost")), 6).alias("score"))
+    return graph.route(seeds, edges)
+
+
+@query("min_cost_route", _ROUTES + " SELECT query_id, node, round(exp(-cost), 6) AS score FROM c24")
+def _(s, d):
+    return _routes(s, d).select("query_id", "node", F.round(F.exp(-F.col("cost")), 6).alias("score"))
+
+
+@query(
+    "routed_segments",
+    _ROUTES + """, p AS (SELECT query_id, node, round(cost, 9) AS cost, round(cost, 9) + CASE WHEN node % 7 = 0 THEN 0 ELSE 1 END AS far FROM c24 WHERE node % 3 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, node) AS place FROM p) SELECT query_id, node, round(exp(-cost), 6) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20""",
+)
+def _(s, d):
+    nodes = _t(s, d, "documents").select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") % 3 == 0, "symptom").otherwise("procedure").alias("kind"))
+    found = graph.routed_segments(_routes(s, d).withColumn("cost", F.round("cost", 9)), nodes, 20, nodes.where("node % 7 = 0"))
+    return found.select("query_id", "node", _r("score"), "place")
 
 
 _PR = "\n".join(
-    f""", k{i + 1} AS (SELECT nd.node, (0.15 + 0.85 * (SELECT coalesce(sum(rank) FILTER (WHERE node NOT IN (SELECT src FROM st)), 0) FROM k{i})) / (SELECT count(*) FROM nd) + 0.85 * coalesce(g.got, 0) AS rank
+    f""", k{i + 1} AS MATERIALIZED (SELECT nd.node, (0.15 + 0.85 * (SELECT coalesce(sum(rank) FILTER (WHERE node NOT IN (SELECT src FROM st)), 0) FROM k{i})) / (SELECT count(*) FROM nd) + 0.85 * coalesce(g.got, 0) AS rank
   FROM nd LEFT JOIN (SELECT st.dst AS node, sum(k.rank * st.p) AS got FROM st JOIN k{i} k ON k.node = st.src GROUP BY st.dst) g USING (node))"""
-    for i in range(5)
+    for i in range(120)
 )
 _PAGERANK = f"""WITH e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey % 40, 'n' || s_nationkey FROM supplier),
-nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 'lone'),
+nd AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 'lone'),
 b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), w AS (SELECT src, dst, count(*) AS w FROM b GROUP BY ALL),
-st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w), k0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nd) AS rank FROM nd){_PR}"""
+st AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w), k0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM nd) AS rank FROM nd){_PR}"""
 
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
@@ -494,17 +505,18 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
         _t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 40), F.concat(F.lit("n"), "s_nationkey"))
     )
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).union(s.range(1).select(F.lit("lone"))).distinct()
-    return graph.pagerank(nodes, e, 5)
+    return graph.pagerank(nodes, e, tol=1e-9)
 
 
-@query("pagerank", _PAGERANK + " SELECT node, round(rank, 6) AS rank FROM k5")
+@query("pagerank", _PAGERANK + " SELECT node, round(rank, 6) AS rank FROM k120")
 def _(s, d):
     return _ranks(s, d).select("node", _r("rank"))
 
 
-@query("minmax_prior", _PAGERANK + " SELECT node, round(0.1 * (rank - (SELECT min(rank) FROM k5)) / (SELECT max(rank) - min(rank) FROM k5), 6) AS prior FROM k5")
+@query("minmax_prior", _PAGERANK + " SELECT node, round(0.1 * (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 6) AS prior FROM k120 WHERE node LIKE 'n%'")
 def _(s, d):
-    return graph.scaled_prior(_ranks(s, d)).select("node", _r("prior"))
+    ranks = _ranks(s, d)
+    return graph.scaled_prior(ranks, ranks.where("node like 'n%'")).select("node", _r("prior"))
 
 
 # --- joins and sessions -------------------------------------------------------------------------
@@ -557,21 +569,12 @@ def _(s, d):
 @query(
     "positional_join",
     """WITH a AS (SELECT n_regionkey AS g, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation),
-b AS (SELECT s_suppkey % 7 AS g, s_name, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey) AS place FROM supplier WHERE s_suppkey < 20)
+b AS (SELECT s_suppkey % 7 AS g, s_name, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey) AS place FROM supplier)
 SELECT CAST(g AS BIGINT) AS g, n_name, s_name FROM a LEFT JOIN b USING (g, place)""",
 )
 def _(s, d):
-    return _suppliers_by_position(s, d, "s_suppkey < 20")
-
-
-@query("positional_join_all")
-def _(s, d):
-    return _suppliers_by_position(s, d, "true")
-
-
-def _suppliers_by_position(s: SparkSession, d: str, which: str) -> DataFrame:
     left = _t(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("g"), "n_name")
-    right = _t(s, d, "supplier").where(which).select((F.col("s_suppkey") % 7).alias("g"), "s_suppkey", "s_name")
+    right = _t(s, d, "supplier").select((F.col("s_suppkey") % 7).alias("g"), "s_suppkey", "s_name")
     return sessions.by_position(left, right, "g", "n_name", "s_suppkey").select("g", "n_name", "s_name")
 
 
@@ -869,7 +872,7 @@ idf AS (SELECT tok, ln((SELECT count(*) FROM ca) / (count(*) + 1)) AS idf FROM (
 @query(
     "component_parts",
     f"""WITH {_CA}, r AS (SELECT id, tok, idf FROM (SELECT id, unnest(terms) AS tok FROM ca) JOIN idf USING (tok) WHERE idf >= 1.0),
-p AS (SELECT id, idf, unnest(CASE WHEN contains(tok, '-') AND tok NOT IN ('o-ring', 'b-nut') THEN [x FOR x IN string_split(tok, '-') IF length(x) >= 4] ELSE [tok] END) AS part FROM r),
+p AS (SELECT id, idf, unnest(CASE WHEN contains(tok, '-') AND tok NOT IN ('o-ring', 'b-nut', 'dc-dc', 'quick-disconnect') THEN [x FOR x IN string_split(tok, '-') IF length(x) >= 4] ELSE [tok] END) AS part FROM r),
 q AS (SELECT id, part, max(idf) AS idf FROM p WHERE regexp_matches(part, {_q(analysis.PART)}) AND NOT regexp_matches(part, {_q(analysis.MECHANISM + '$')}) AND NOT regexp_matches(part, '(ing|ed)$') GROUP BY id, part)
 SELECT id, part, round(idf, 6) AS idf, CAST(row_number() OVER (PARTITION BY id ORDER BY round(idf, 9) DESC, part) AS INTEGER) AS place FROM q""",
 )
@@ -884,7 +887,7 @@ def _(s, d):
     "named_parts",
     f"""WITH {_CA}, e AS (SELECT id, decision, unnest(terms) AS part FROM ca), f AS (SELECT *, regexp_replace(part, 's$', '') AS stem FROM e)
 SELECT id, part, contains(decision, stem) OR contains(regexp_replace(decision, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) AS strict,
-  contains(decision, stem) OR contains(regexp_replace(decision, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) OR len([h FOR h IN string_split(part, '-') IF length(h) >= 4 AND contains(decision, h)]) > 0 AS loose FROM f""",
+  contains(decision, stem) OR contains(regexp_replace(decision, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) OR len([h FOR h IN regexp_split_to_array(lower(part), '[^a-z0-9]+') IF length(h) >= 4 AND (contains(decision, h) OR (ends_with(h, 's') AND contains(decision, h[:-2])))]) > 0 AS loose FROM f""",
 )
 def _(s, d):
     e = _causes(s, d).select("id", "decision", F.explode("terms").alias("part"))
@@ -927,9 +930,10 @@ def _(s, d):
     "symptom_graph",
     """WITH s AS (SELECT p_name AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS subsystem, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS component,
   ['low ' || p_size, 'hot ' || p_brand] AS symptoms, ['see ' || p_size] AS links FROM part),
-m AS (SELECT id, component, unnest(symptoms) AS y FROM s),
-e AS (SELECT subsystem AS src, id AS dst, 'has_procedure' AS kind FROM s WHERE subsystem <> '' UNION ALL SELECT subsystem, component, 'has_component' FROM s WHERE subsystem <> '' AND component <> ''
-  UNION ALL SELECT y, id, 'indicates' FROM m UNION ALL SELECT y, component, 'associated_with' FROM m WHERE component <> '' UNION ALL SELECT id, unnest(links), 'related_to' FROM s)
+m AS (SELECT id, subsystem, 'symptom::' || lower(unnest(symptoms)) AS y FROM s),
+e AS (SELECT subsystem AS src, id AS dst, 'has_procedure' AS kind FROM s WHERE subsystem <> '' UNION ALL SELECT component, id, 'has_procedure' FROM s WHERE component <> ''
+  UNION ALL SELECT subsystem, component, 'has_component' FROM s WHERE subsystem <> '' AND component <> ''
+  UNION ALL SELECT y, id, 'indicates' FROM m UNION ALL SELECT y, subsystem, 'associated_with' FROM m WHERE subsystem <> '' UNION ALL SELECT id, unnest(links), 'related_to' FROM s)
 SELECT kind, src, count(*) AS n, count(DISTINCT dst) AS targets FROM e GROUP BY kind, src""",
 )
 def _(s, d):

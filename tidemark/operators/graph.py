@@ -175,33 +175,31 @@ def routed_segments(costs: DataFrame, nodes: DataFrame, k: int | None = 20, boos
     return placed if k is None else placed.where(F.col("place") <= k)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_rounds: int = 200, stride: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_rounds: int = 300, stride: int = 10) -> DataFrame:
     """(node, rank) on the undirected view; parallel edges weigh more, rank of lone nodes is dealt to all.
 
     Rounds go on until the ranks of all nodes together move by less than ``tol`` a node,
-    which is looked at every ``stride`` rounds; only then is a round written.
+    which is looked at every ``stride`` rounds; only then is a round written.  What lone
+    nodes deal out is in the constant that every node gets, as it settles.
     """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     weighed = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     out = weighed.groupBy("src").agg(F.sum("w").alias("out"))
     steps = cut(weighed.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
-    lone = nodes.join(steps, nodes["node"] == steps["src"], "left_anti").select("node", F.lit(1).alias("lone"))
-    known = cut(nodes.select("node").distinct().join(lone, "node", "left"))
-    n = known.count()
-    rank = known.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    every = nodes.select("node").union(steps.select("src")).distinct()
+    lone = cut(every.join(steps.select(F.col("src").alias("node")), "node", "left_anti"))
+    n, alone = every.count(), lone.count()
+    base = (1 - alpha) / max(n - alpha * alone, 1e-9)
+    rank = steps.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(0, max_rounds, stride):
+        before = rank
         for _ in range(stride):
-            given = steps.join(rank, steps["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-            spare = rank.agg(F.coalesce(F.sum(F.when(F.col("lone") == 1, F.col("rank"))), F.lit(0.0)).alias("spare"))  # one row
-            rank = (
-                rank.select("node", "lone", F.col("rank").alias("before")).join(given, F.col("node") == given["dst"], "left").crossJoin(F.broadcast(spare))
-                .select("node", "lone", "before", ((1 - alpha + alpha * F.col("spare")) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-            )
+            rank = steps.join(rank, steps["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg((base + alpha * F.sum(F.col("rank") * F.col("p"))).alias("rank"))
         rank = cut(rank)
-        if (rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < n * tol:
+        moved = rank.join(before.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        if (moved or 0.0) < n * tol:
             break
-        rank = rank.drop("before")
-    return rank.select("node", "rank")
+    return rank.union(lone.select("node", F.lit(base)))
 
 
 def scaled_prior(ranks: DataFrame, segments: DataFrame | None = None, top: float = 0.1) -> DataFrame:

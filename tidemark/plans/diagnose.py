@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from ..operators import evals, filters, graph, index
 from .lineage import cut
 
 DECLINED = "no source matched; defer to the manual procedure"
+# Fixed value: how the answer of a model that could not be reached begins.
+UNAVAILABLE = "(generation unavailable:"
 LOCAL_PREFIXES = ("http://localhost", "http://127.", "http://[::1]", "https://localhost", "https://127.", "https://[::1]")
 
 Generator = Callable[[str, str], str]
@@ -31,15 +34,28 @@ def require_local(url: str, allow_remote: bool = False) -> str:
     return url
 
 
-def with_retries(generate: Generator, tries: int = 3) -> Generator:
+def with_retries(
+    generate: Generator, tries: int = 4, pause: float = 2.0, before_retry: Callable[[], None] | None = None, sleep: Callable[[float], None] = time.sleep
+) -> Generator:
+    """``generate``, asked again after an error or an empty answer; what is left after all tries is a sentinel.
+
+    The waits grow by ``pause`` each time; ``before_retry`` may load the model anew.
+    """
+
     def run(prompt: str, tag: str) -> str:
+        last = "unknown"
         for k in range(tries):
             try:
-                return generate(prompt, tag)
-            except (OSError, ValueError):
-                if k == tries - 1:
-                    raise
-        return ""
+                if text := (generate(prompt, tag) or "").strip():
+                    return text
+                last = "empty"
+            except (OSError, ValueError) as e:
+                last = type(e).__name__
+            if k < tries - 1:
+                if before_retry is not None:
+                    before_retry()
+                sleep(pause * (k + 1))
+        return f"{UNAVAILABLE} {last})"
 
     return run
 
@@ -110,14 +126,21 @@ def diagnose_chains(
 
 
 def diagnose_points(symptoms: DataFrame, segments: DataFrame, k: int = 6, generate: Generator = echo_generator) -> DataFrame:
-    """One lead for each retrieved source, with the dials: query_id, dials, n_grounded, n_inferred, diagnosis."""
+    """One lead for each retrieved source, with the dials: query_id, dials, n_grounded, n_inferred, diagnosis.
+
+    Every symptom has a row.  Without a lead it is ``declined``, and ``unavailable`` as well if a
+    model could not be reached, so that an outage isn't taken for a gap in the manuals.
+    """
     idx = index.build_index(filters.clean_corpus(segments), F.coalesce(F.nullif("signature", F.lit("")), "raw_text"))
     found = cut(index.search(idx, symptoms, k)).join(segments.select("ord", "raw_text", "source_doc"), "ord").join(symptoms, "query_id")
     tag = F.format_string("[S%d]", F.col("rank"))
     keyed = found.withColumns({"tag": tag, "key": F.concat_ws("/", F.col("query_id").cast("string"), tag)})
-    prompt = F.concat(F.lit("SYMPTOM: "), "symptom", F.lit("\nSOURCE:\n"), collapse(F.col("raw_text"), 600))
-    answers = generated(keyed.select("key", prompt.alias("prompt"), "tag"), generate).select("key", "answer")
-    leads = keyed.join(answers, "key").where(~filters.is_skip(F.col("answer"))).withColumn("grounded", F.contains("answer", F.col("tag")))
+    prompt = F.concat(F.lit("SYMPTOM: "), "symptom", F.lit("\nSOURCE:\n"), F.coalesce("raw_text", F.lit("")))
+    answers = cut(generated(keyed.select("key", prompt.alias("prompt"), "tag"), generate).select("key", "answer"))
+    answered = keyed.join(answers, "key")
+    failed = F.col("answer").startswith(UNAVAILABLE)
+    down = answered.where(failed).groupBy("query_id").agg(F.min("answer").alias("failure"))
+    leads = answered.where(~failed & ~filters.is_skip(F.col("answer"))).withColumn("grounded", F.contains("answer", F.col("tag")))
     leads = leads.withColumn("text", F.when(F.col("grounded"), F.col("answer")).otherwise(F.concat("answer", F.lit(" "), "tag")))
     terms = content_terms(F.regexp_replace("text", r"(?i)\[S\d+\]", ""))
     points = leads.select(
@@ -135,4 +158,11 @@ def diagnose_points(symptoms: DataFrame, segments: DataFrame, k: int = 6, genera
         F.array_sort(F.collect_list("l")).alias("ls"), F.count_if("grounded").alias("n_grounded"), F.count_if(~F.col("grounded")).alias("n_inferred")
     )
     numbered = F.array_join(F.transform("ls", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
-    return dials.join(text.select("query_id", "n_grounded", "n_inferred", numbered.alias("diagnosis")), "query_id")
+    told = dials.join(text.select("query_id", "n_grounded", "n_inferred", numbered.alias("diagnosis")), "query_id")
+    declined = F.col("n_points").isNull()
+    full = symptoms.select("query_id").join(told, "query_id", "left").join(down, "query_id", "left")
+    return full.withColumns({
+        "declined": declined, "unavailable": declined & F.col("failure").isNotNull(),
+        "diagnosis": F.coalesce("diagnosis", "failure", F.lit(DECLINED)),
+        **{c: F.coalesce(c, F.lit(0)) for c in ("n_points", "n_grounded", "n_inferred")},
+    }).drop("failure")

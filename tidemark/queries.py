@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import analysis, evals, filters, graph, index, pages, sessions
+from .operators import analysis, evals, filters, graph, index, pages, reports, sessions
 from .plans import diagnose
 from .plans.lineage import cut
 
@@ -449,14 +449,14 @@ def _coverage_paths(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "bfs_reach",
-    f"""WITH RECURSIVE {_EDGES}, f AS (SELECT src, dst FROM ed WHERE seq <= 2), sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
+    f"""WITH RECURSIVE {_EDGES}, f AS (SELECT src, dst FROM ed WHERE seq <= 5), sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
 w(query_id, node, hop) AS (SELECT query_id, node, 0 FROM sd UNION SELECT query_id, dst, hop + 1 FROM w JOIN f ON f.src = w.node WHERE hop < 3)
 SELECT query_id, node, min(hop) AS hop FROM w GROUP BY query_id, node""",
 )
 def _(s, d):
     seeds = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("node"))
     seeds = seeds.join(_t(s, d, "documents").select(F.col("doc_id").alias("node")), "node", "left_semi")
-    return graph.reach(seeds, _doc_edges(s, d), 3, 2).select("query_id", "node", "hop")
+    return graph.reach(seeds, _doc_edges(s, d), 3, 5).select("query_id", "node", "hop")
 
 
 _ROUTES = f"""WITH {_EDGES}, sd AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey IN (SELECT doc_id FROM documents)),
@@ -505,18 +505,18 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
         _t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey") % 40), F.concat(F.lit("n"), "s_nationkey"))
     )
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).union(s.range(1).select(F.lit("lone"))).distinct()
-    return graph.pagerank(nodes, e, tol=1e-9)
+    return graph.pagerank(nodes, e, tol=1e-8)
 
 
-@query("pagerank", _PAGERANK + " SELECT node, round(rank, 6) AS rank FROM k120")
+@query("pagerank", _PAGERANK + " SELECT node, round(rank, 5) AS rank FROM k120")
 def _(s, d):
-    return _ranks(s, d).select("node", _r("rank"))
+    return _ranks(s, d).select("node", _r("rank", 5))
 
 
-@query("minmax_prior", _PAGERANK + " SELECT node, round(0.1 * (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 6) AS prior FROM k120 WHERE node LIKE 'n%'")
+@query("minmax_prior", _PAGERANK + " SELECT node, round(0.1 * (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()), 4) AS prior FROM k120 WHERE node LIKE 'n%'")
 def _(s, d):
     ranks = _ranks(s, d)
-    return graph.scaled_prior(ranks, ranks.where("node like 'n%'")).select("node", _r("prior"))
+    return graph.scaled_prior(ranks, ranks.where("node like 'n%'")).select("node", _r("prior", 4))
 
 
 # --- joins and sessions -------------------------------------------------------------------------
@@ -746,13 +746,13 @@ def _(s, d):
     )
 
 
-_VOTE = f"""pt AS (SELECT source AS query_id, [t FOR t IN {CONTENT.format('text')} IF t NOT IN ('this', 'that', 'then', 'thth')] AS ts FROM documents WHERE lang = 'en'),
+_VOTE = f"""pt AS (SELECT source AS query_id, [t FOR t IN {CONTENT.format('text')} IF t NOT IN ('this', 'that', 'then', 'thth')] AS ts FROM documents),
 vt AS (SELECT query_id, term, count(*) AS votes FROM (SELECT query_id, unnest(ts) AS term FROM pt) GROUP BY ALL),
 tp AS (SELECT query_id, term, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, term) AS r FROM vt) WHERE r = 1)"""
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").where("lang = 'en'").select(
+    return _t(s, d, "documents").select(
         F.col("source").alias("query_id"), T.content_terms(F.col("text")).alias("terms"), F.array(*map(F.lit, ("this", "that", "then", "thth"))).alias("echo")
     )
 
@@ -764,16 +764,17 @@ def _(s, d):
 
 @query(
     "citation_dials",
-    f"""WITH {_VOTE}, g AS (SELECT source AS query_id, avg(CASE WHEN len(a) = 0 THEN 0.0 ELSE len([x FOR x IN a IF list_contains(b, x)]) / len(a) END) AS g, count(*) AS n_points
-  FROM (SELECT source, {CONTENT.format('text')} AS a, {CONTENT.format("left(text, 200)")} AS b FROM documents WHERE lang = 'en') GROUP BY source),
+    f"""WITH {_VOTE.replace("FROM documents),", "FROM documents WHERE doc_id + 20 IN (SELECT doc_id FROM documents)),", 1)}, g AS (SELECT source AS query_id, avg(CASE WHEN len(a) = 0 THEN 0.0 ELSE len([x FOR x IN a IF list_contains(b, x)]) / len(a) END) AS g, count(*) AS n_points
+  FROM (SELECT x.source, {CONTENT.format('x.text')} AS a, {CONTENT.format('y.text')} AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20) GROUP BY source),
 su AS (SELECT source AS query_id, count(*) FILTER (WHERE contains(lower(text), term)) AS support FROM documents JOIN tp ON tp.query_id = source GROUP BY source)
 SELECT query_id, n_points, round(g, 6) AS groundedness, support, term AS consensus_term, votes AS consensus,
   round((g - {L.CITE_MEAN_G}) / {L.CITE_SD_G} + (support - {L.CITE_MEAN_SUPPORT}) / {L.CITE_SD_SUPPORT}, 6) AS citation_score FROM g JOIN tp USING (query_id) JOIN su USING (query_id)""",
 )
 def _(s, d):
-    docs = _t(s, d, "documents").where("lang = 'en'")
+    docs = _t(s, d, "documents")
+    docs = docs.join(docs.select((F.col("doc_id") - 20).alias("doc_id"), F.col("text").alias("other")), "doc_id")
     points = docs.select(
-        F.col("source").alias("query_id"), T.content_terms(F.col("text")).alias("text_terms"), T.content_terms(F.left("text", F.lit(200))).alias("src_terms"),
+        F.col("source").alias("query_id"), T.content_terms(F.col("text")).alias("text_terms"), T.content_terms(F.col("other")).alias("src_terms"),
         F.array(*map(F.lit, ("this", "that", "then", "thth"))).alias("echo"),
     )
     out = evals.citation_dials(points, _t(s, d, "documents").select(F.col("source").alias("query_id"), F.col("text").alias("raw_text")))
@@ -782,7 +783,7 @@ def _(s, d):
 
 @query(
     "cause_scores",
-    f"""WITH w AS (SELECT item_id AS id, list_distinct({_SCORER}) AS ts, lower(CASE WHEN item_id % 5 = 0 THEN 'decline' WHEN item_id % 5 = 1 THEN text ELSE left(text, 60) END) AS t FROM benchmark),
+    f"""WITH w AS (SELECT item_id AS id, list_distinct({_SCORER}) AS ts, lower(CASE WHEN item_id % 5 = 0 THEN 'decline' WHEN item_id % 5 = 1 THEN text ELSE replace(text, 'e', '') END) AS t FROM benchmark),
 idf AS (SELECT tok, ln((SELECT count(*) FROM benchmark) / (count(*) + 1)) AS idf FROM (SELECT unnest(ts) AS tok FROM w) GROUP BY tok),
 n AS (SELECT id, sum(idf) AS m, count(*) FILTER (WHERE idf >= 2.5) AS k FROM (SELECT id, t, unnest(ts) AS tok FROM w WHERE t <> 'decline') JOIN idf USING (tok) WHERE contains(t, tok) GROUP BY id)
 SELECT id, t = 'decline' AS declined, round(coalesce(m, 0.0), 6) AS matched_idf, coalesce(k, 0) AS n_strong, coalesce(k, 0) >= 1 AS right_direction FROM w LEFT JOIN n USING (id)""",
@@ -790,7 +791,7 @@ SELECT id, t = 'decline' AS declined, round(coalesce(m, 0.0), 6) AS matched_idf,
 def _(s, d):
     m = F.col("item_id") % 5
     rows = _t(s, d, "benchmark").select(
-        F.col("item_id").alias("id"), "text", F.when(m == 0, "decline").when(m == 1, F.col("text")).otherwise(F.left("text", F.lit(60))).alias("diagnosis")
+        F.col("item_id").alias("id"), "text", F.when(m == 0, "decline").when(m == 1, F.col("text")).otherwise(F.replace("text", F.lit("e"), F.lit(""))).alias("diagnosis")
     )
     terms = T.scorer_words(F.col("text"))
     idf = evals.idf_table(rows, terms)
@@ -992,7 +993,7 @@ def _(s, d):
 
 @query("permutation_test")
 def _(s, d):
-    return evals.permutation_test(_labelled(s, d), "score", "label", replicates=100)
+    return evals.permutation_test(_labelled(s, d), "score", "label")
 
 
 @query("heading_offsets")
@@ -1023,7 +1024,9 @@ def _(s, d):
 def _(s, d):
     seg = filters.clean_corpus(_segments(s, d))
     asked = _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks"))
-    return analysis.index_comparison(seg, {"whole": F.col("raw_text"), "opening": F.left("raw_text", F.lit(400)), "source": F.concat_ws(" ", "source_doc", "lang")}, asked)
+    return analysis.index_comparison(seg, {
+        "whole": F.col("raw_text"), "terms": reports.term_source(F.col("raw_text"), F.col("source_doc"), F.col("lang")), "source": F.concat_ws(" ", "source_doc", "lang"),
+    }, asked)
 
 
 @query("walk_sweep")
@@ -1040,3 +1043,126 @@ def _(s, d):
     scores, edges = cut(_literal_scores(s, d)), _doc_edges(s, d)
     paths = cut(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3))
     return analysis.chain_profile(paths, _segments(s, d))
+
+
+# --- reports ------------------------------------------------------------------------------------
+
+
+@query(
+    "component_scores",
+    f"""WITH {_CA}, p AS (SELECT id, decision, tok AS part, row_number() OVER (PARTITION BY id ORDER BY round(idf, 9) DESC, tok) AS place FROM (SELECT id, decision, unnest(terms) AS tok FROM ca) JOIN idf USING (tok)),
+f AS (SELECT id, place, CASE WHEN id % 9 = 0 THEN '' ELSE decision END AS said, part, regexp_replace(part, 's$', '') AS stem FROM p),
+h AS (SELECT id, place, contains(said, stem) OR contains(regexp_replace(said, '[^a-z0-9]', '', 'g'), regexp_replace(stem, '[^a-z0-9]', '', 'g')) AS hit,
+  len([x FOR x IN regexp_split_to_array(lower(part), '[^a-z0-9]+') IF length(x) >= 4 AND (contains(said, x) OR (ends_with(x, 's') AND contains(said, x[:-2])))]) > 0 AS head FROM f)
+SELECT id, bool_or(hit AND place = 1) AS "primary", bool_or(hit) AS any_part, bool_or(hit OR head) AS any_loose, round(avg(CASE WHEN hit THEN 1 ELSE 0 END), 6) AS coverage FROM h GROUP BY id""",
+)
+def _(s, d):
+    rows = _causes(s, d).withColumn("declined", F.col("id") % 9 == 0)
+    idf = evals.idf_table(rows, F.col("terms")).withColumn("idf", F.round("idf", 9))
+    parts = rows.select("id", F.explode("terms").alias("part")).join(idf.select(F.col("tok").alias("part"), "idf"), "part")
+    parts = parts.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("idf"), "part")))
+    return analysis.component_scores(rows, parts).select("id", "primary", "any_part", "any_loose", _r("coverage"))
+
+
+@query(
+    "subset_report",
+    """WITH x AS (SELECT o_totalprice AS v, o_orderstatus AS st, o_orderpriority AS pr FROM orders)
+SELECT 'all' AS subset, count(*) AS n, round(avg(v), 4) AS price FROM x UNION ALL SELECT 'open', count(*), round(avg(v), 4) FROM x WHERE st = 'O'
+UNION ALL SELECT 'urgent', count(*), round(avg(v), 4) FROM x WHERE pr LIKE '1%' UNION ALL SELECT 'none', 0, NULL""",
+)
+def _(s, d):
+    subsets = {"all": F.lit(True), "open": F.col("o_orderstatus") == "O", "urgent": F.col("o_orderpriority").startswith("1"), "none": F.lit(None).cast("boolean")}
+    return analysis.subset_report(_t(s, d, "orders"), subsets, {"price": F.col("o_totalprice")}).select("subset", "n", _r("price", 4))
+
+
+@query(
+    "lookup_causes",
+    """WITH c AS (SELECT p_brand AS symptom, p_name AS cause, p_type AS sub FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS r FROM part) WHERE r = 1),
+q AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' ELSE 'Brand#' || CAST(s_suppkey % 60 AS VARCHAR) END AS symptom, s_name AS own FROM supplier)
+SELECT id, CASE WHEN c.symptom IS NULL THEN own ELSE cause END AS documented_cause, coalesce(sub, '?') AS subsystem FROM q LEFT JOIN c USING (symptom)""",
+)
+def _(s, d):
+    k = F.col("s_suppkey")
+    asked = F.when(k % 4 == 0, "unknown").otherwise(F.concat(F.lit("Brand#"), (k % 60).cast("string")))
+    decisions = _t(s, d, "supplier").select(k.alias("id"), asked.alias("symptom"), F.col("s_name").alias("documented_cause"))
+    causes = _t(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("symptom"), F.col("p_name").alias("documented_cause"), F.col("p_type").alias("subsystem"))
+    return reports.with_causes(decisions, causes).select("id", "documented_cause", "subsystem")
+
+
+@query(
+    "entity_occurrences",
+    """WITH e AS (SELECT l_orderkey AS seg, 'part ' || l_partkey % 50 AS name, 'component' AS type FROM lineitem UNION SELECT l_orderkey, 'supplier ' || l_suppkey % 50, 'subsystem' FROM lineitem)
+SELECT name, type, count(*) AS n, md5(string_agg(CAST(seg AS VARCHAR), ',' ORDER BY seg)) AS segments FROM e GROUP BY name, type""",
+)
+def _(s, d):
+    triples = _t(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("seg_id"), F.concat(F.lit("part "), F.col("l_partkey") % 50).alias("subject"), F.lit("component").alias("subject_type"),
+        F.concat(F.lit("supplier "), F.col("l_suppkey") % 50).alias("object"), F.lit("subsystem").alias("object_type"),
+    )
+    found = reports.entity_occurrences(triples)
+    return found.select("name", "type", F.size("segments").cast("long").alias("n"), F.md5(F.array_join(F.transform("segments", lambda x: x.cast("string")), ",")).alias("segments"))
+
+
+@query(
+    "fitted_constants",
+    "SELECT round(avg(l_discount), 9) AS mean_g, round(stddev_pop(l_discount), 9) AS sd_g, round(avg(l_quantity), 6) AS mean_support, round(stddev_pop(l_quantity), 6) AS sd_support FROM lineitem WHERE l_returnflag <> 'R'",
+)
+def _(s, d):
+    rows = _t(s, d, "lineitem").select(F.col("l_discount").alias("groundedness"), F.col("l_quantity").alias("support"), (F.col("l_returnflag") == "R").alias("declined"))
+    return reports.fitted_constants(rows).select(_r("mean_g", 9), _r("sd_g", 9), _r("mean_support"), _r("sd_support"))
+
+
+@query(
+    "coverage_accuracy",
+    """WITH x AS (SELECT round(o_totalprice, 2) AS v, o_orderstatus = 'F' AS ok, o_orderpriority LIKE '1%' AS inside FROM orders),
+y AS (SELECT 'all' AS scope, * FROM x UNION ALL SELECT 'inside', * FROM x WHERE inside),
+r AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY v) + (count(*) OVER (PARTITION BY scope, v) - 1) / 2 AS rk FROM y)
+SELECT scope, count(*) AS n, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(v) FILTER (WHERE ok), 4) AS coverage_right, round(avg(v) FILTER (WHERE NOT ok), 4) AS coverage_wrong,
+  round((sum(rk) FILTER (WHERE ok) - count(*) FILTER (WHERE ok) * (count(*) FILTER (WHERE ok) + 1) / 2) / (count(*) FILTER (WHERE ok) * count(*) FILTER (WHERE NOT ok)), 6) AS auc FROM r GROUP BY scope""",
+)
+def _(s, d):
+    rows = _t(s, d, "orders").select(F.round("o_totalprice", 2).alias("coverage"), (F.col("o_orderstatus") == "F").alias("right"), F.col("o_orderpriority").startswith("1").alias("inside"))
+    return reports.coverage_accuracy(rows).select("scope", "n", _r("accuracy"), _r("coverage_right", 4), _r("coverage_wrong", 4), _r("auc"))
+
+
+@query(
+    "latency_summary",
+    "WITH x AS (SELECT event_id - (SELECT min(event_id) FROM events) AS run, value FROM events), y AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM x WHERE run >= 2) "
+    "SELECT count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (WHERE r = greatest(1, CAST(floor(n * 0.95) AS BIGINT))) AS p95, min(value) AS least, max(value) AS most FROM y",
+)
+def _(s, d):
+    e = _t(s, d, "events")
+    runs = e.join(F.broadcast(e.agg(F.min("event_id").alias("first")))).select((F.col("event_id") - F.col("first")).alias("run"), F.col("value").alias("seconds"))
+    return reports.latency_summary(runs).select("n", _r("mean"), "p95", "least", "most")
+
+
+@query(
+    "segment_texts",
+    """SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS term_source, 'hot ' || p_brand || ' see ' || p_size || ' ' || p_type || ' ' || p_name || ' ' || p_brand AS graph_text,
+  'hot ' || p_brand || ' ' || p_name || ' ' || p_type || ' ' || p_brand AS structure, [t FOR t IN regexp_split_to_array(lower(p_name), '[^a-z0-9]+') IF t <> ''][1] AS first_token FROM part""",
+)
+def _(s, d):
+    c = F.col
+    hot, see = F.array(F.concat(F.lit("hot "), c("p_brand"))), F.array(F.concat(F.lit("see "), c("p_size")))
+    return _t(s, d, "part").select(
+        "p_partkey", reports.term_source(c("p_name"), c("p_type"), c("p_brand")).alias("term_source"),
+        reports.graph_text(hot, see, c("p_type"), c("p_name"), c("p_brand")).alias("graph_text"),
+        reports.segment_structure(hot, c("p_name"), c("p_type"), c("p_brand")).alias("structure"), F.get(T.alnum_tokens(c("p_name")), F.lit(0)).alias("first_token"),
+    )
+
+
+@query("half_even", "SELECT l_linenumber, round_even(CAST(sum(l_quantity) AS DECIMAL(18, 3)) / 8, 0)::DOUBLE AS eighths FROM lineitem GROUP BY l_linenumber")
+def _(s, d):
+    total = F.sum("l_quantity").cast("decimal(18,3)") / 8
+    return _t(s, d, "lineitem").groupBy("l_linenumber").agg(T.half_even(total).cast("double").alias("eighths"))
+
+
+@query(
+    "topk_with_zeros",
+    f"WITH {_BM25}, {_QL}, {_scores('sc', 'ql')}, z AS (SELECT item_id AS query_id, ord FROM benchmark, seg), r AS (SELECT query_id, ord, round(coalesce(score, 0.0), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0.0), 9) DESC, ord) AS rank "
+    "FROM z LEFT JOIN sc USING (query_id, ord)) SELECT query_id, ord, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 8",
+)
+def _(s, d):
+    segments = filters.clean_corpus(_segments(s, d))
+    scores = index.all_scores(_literal_scores(s, d), segments, _symptoms(s, d), 8)
+    return index.top_k(scores, 8, positive=False).select("query_id", "ord", "rank", _r("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -42,9 +42,17 @@ def read_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = Fal
 
 
 def read_atlas(spark: SparkSession, path: str) -> DataFrame:
-    """(mission, anomaly fields) of every anomaly of every mission; unknown counts (-1) are null."""
-    schema = f"missions array<struct<mission string, anomalies array<struct<{ANOMALY}>>>>"
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    """(mission, anomaly fields) of every anomaly of every mission; unknown counts (-1) are null.
+
+    The document is an object with ``missions`` or ``results``, one mission by itself, or a list of missions.
+    """
+    mission = f"struct<mission string, anomalies array<struct<{ANOMALY}>>>"
+    whole = spark.read.text(path, wholetext=True)
+    wrapped = F.from_json("value", f"missions array<{mission}>, results array<{mission}>")
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{mission}>"))
+    single = F.array(F.from_json("value", f"mission string, anomalies array<struct<{ANOMALY}>>"))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    doc = whole.select(F.coalesce(listed, some(wrapped["missions"]), some(wrapped["results"]), single).alias("missions"))
     rows = doc.select(F.explode("missions").alias("m")).select("m.mission", F.explode("m.anomalies").alias("a")).select("mission", "a.*")
     known = lambda c: F.when(F.col(c) >= 0, F.col(c))
     return rows.withColumns({c: known(c) for c in ("human_turns_to_diagnosis", "human_time_s")})
@@ -64,6 +72,50 @@ def read_episode(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(episode_id, report_end_get, wanted, name, get, delta) of an episode's human baseline."""
+    point = "struct<name string, get string, delta_from_report_end_s double>"
+    schema = f"episode_id string, human_baseline struct<report_end_get string, default_diagnosis_checkpoint string, checkpoints array<{point}>>"
+    doc = spark.read.schema(schema).json(path, multiLine=True)
+    return doc.select("episode_id", "human_baseline.*").select(
+        "episode_id", "report_end_get", F.col("default_diagnosis_checkpoint").alias("wanted"), F.explode("checkpoints").alias("c")
+    ).select("episode_id", "report_end_get", "wanted", "c.name", "c.get", F.col("c.delta_from_report_end_s").alias("delta"))
+
+
+def read_anchor(spark: SparkSession, path: str) -> DataFrame:
+    """(episode_id, symptom, component_terms, documented_cause) of an episode's resolution."""
+    schema = "episode_id string, resolution_anchor struct<symptom string, component_terms array<string>, documented_cause string>"
+    return spark.read.schema(schema).json(path, multiLine=True).select("episode_id", "resolution_anchor.*")
+
+
+def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """(place, mission, query, subsystem, scope, relevant, expect_decline) in the order of the document."""
+    schema = "scenarios array<struct<mission string, query string, subsystem string, scope string, relevant array<string>, expect_decline boolean>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("scenarios").alias("place", "s")).select("place", "s.*")
+
+
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """(mission, nth, component_terms) of every mission's anchors, numbered over all entries of a mission from 1."""
+    schema = "missions array<struct<mission string, anchors array<struct<component_terms array<string>>>>>"
+    each = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("missions").alias("p", "m")).select(
+        "p", "m.mission", F.posexplode("m.anchors").alias("q", "a")
+    )
+    nth = F.row_number().over(Window.partitionBy("mission").orderBy("p", "q"))
+    return each.select("mission", nth.alias("nth"), "a.component_terms")
+
+
+def with_anchors(scenarios: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``scenarios`` with the anchor of the same place among their mission's scenarios inside the scope; else null."""
+    inside = F.when(F.col("scope") == "in", 1)
+    nth = F.when(F.col("scope") == "in", F.sum(inside).over(Window.partitionBy("mission").orderBy("place")))
+    return scenarios.withColumn("nth", nth.cast("int")).join(anchors, ["mission", "nth"], "left").drop("nth")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, status) of the documents that an earlier run finished; none where there is no manifest or an empty one."""
+    return optional(spark, lambda: read_lines(spark, path, "doc string, status string", tolerant=True), "doc string, status string").where("doc is not null")
+
+
 def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
     """``read()``, or no rows of ``schema`` where the path doesn't exist."""
     try:

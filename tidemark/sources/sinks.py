@@ -33,5 +33,19 @@ def markdown(summary: DataFrame, limit: int = 200) -> str:
     return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in [*head, *rows])
 
 
+def console(summary: DataFrame, width: int = 24, limit: int = 200) -> str:
+    """A small result in columns of a fixed width; longer values are cut to it."""
+    rows = summary.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows are no report")
+    cell = lambda v: ("" if v is None else str(v))[:width].ljust(width)
+    return "\n".join(" ".join(map(cell, r)).rstrip() for r in [summary.columns, *rows])
+
+
+def write_manifest(documents: DataFrame, path: str) -> None:
+    """Append (doc, status) of finished documents, for ``readers.read_manifest``."""
+    documents.select("doc", "status").write.mode("append").json(path)
+
+
 def write_priors(priors: DataFrame, path: str) -> None:
     priors.select("node", F.col("prior").cast("double").alias("prior")).write.mode("overwrite").json(path)

@@ -117,7 +117,7 @@ def test_reach_and_route(spark):
 def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("lone",)], "node string")
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
-    got = dict(rows(graph.pagerank(nodes, e, 20)))
+    got = dict(rows(graph.pagerank(nodes, e, tol=1e-8)))
     assert sum(got.values()) == pytest.approx(1) and got["b"] > got["a"] == pytest.approx(got["c"]) and got["lone"] < got["a"]
     prior = dict(rows(graph.scaled_prior(spark.createDataFrame(list(got.items()), "node string, rank double"))))
     assert prior["b"] == pytest.approx(0.1) and prior["lone"] == 0

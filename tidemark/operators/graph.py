@@ -175,7 +175,7 @@ def routed_segments(costs: DataFrame, nodes: DataFrame, k: int | None = 20, boos
     return placed if k is None else placed.where(F.col("place") <= k)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_rounds: int = 300, stride: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, tol: float = 1e-6, max_rounds: int = 300, stride: int = 10) -> DataFrame:
     """(node, rank) on the undirected view; parallel edges weigh more, rank of lone nodes is dealt to all.
 
     Rounds go on until the ranks of all nodes together move by less than ``tol`` a node,

@@ -122,6 +122,9 @@ def test_splitting_tree_is_exact():
     q = mixing.split_quotas([100, 7, 0], 5, 3)
     assert q.sum(0).tolist() == [100, 7, 0] and max(q.sum(1)) - min(q.sum(1)) <= 2
     assert (q == mixing.split_quotas([100, 7, 0], 5, 3)).all()
+    many = [700_000_000, 900_000_000, 5, 0]  # more draws than numpy takes at once
+    q = mixing.split_quotas(many, 4, 3)
+    assert q.sum(0).tolist() == many and (q >= 0).all() and abs(q[0][0] / 175_000_000 - 1) < 0.01
 
 
 def test_mixing(spark, tables):

@@ -18,6 +18,8 @@ their shard by a second hash.  Reruns agree, as all draws come from ``seed``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,6 +73,29 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, max_repeat: fl
     return out
 
 
+#: Draws beyond which numpy draws no hypergeometric numbers.
+_MOST_DRAWS = 1_000_000_000
+
+
+def _drawn(rng: np.random.Generator, have: np.ndarray, draws: int) -> np.ndarray:
+    """How many of ``draws`` fall on each source, by one multivariate-hypergeometric draw.
+
+    So many draws that numpy takes none (some 81,000 sources and more) are first split
+    between two halves of the sources by the normal limit of the distribution.
+    """
+    total = int(have.sum())
+    if not draws:
+        return np.zeros_like(have)
+    if total < _MOST_DRAWS:
+        return rng.multivariate_hypergeometric(have, draws, method="marginals")
+    half = max(1, len(have) // 2)
+    left = int(have[:half].sum())
+    share = left / total
+    spread = math.sqrt(draws * share * (1 - share) * (total - draws) / (total - 1))
+    taken = int(min(left, draws, max(0, draws - (total - left), round(rng.normal(draws * share, spread)))))
+    return np.concatenate([_drawn(rng, have[:half], taken), _drawn(rng, have[half:], draws - taken)])
+
+
 def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
     """(shard, source) block draws; each tree node splits its draws by one hypergeometric draw."""
     rng = np.random.default_rng(seed)
@@ -83,11 +108,7 @@ def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
             continue
         left_n = n // 2
         draws = int(have.sum()) * left_n // n
-        left = (
-            rng.multivariate_hypergeometric(have, draws, method="marginals")
-            if draws
-            else np.zeros_like(have)
-        )
+        left = _drawn(rng, have, draws)
         stack.append((first + left_n, n - left_n, have - left))
         stack.append((first, left_n, left))
     return out
@@ -166,8 +187,9 @@ def with_copies(rows: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str, n_shards: int = 40, seed: int = 17) -> DataFrame:
     """Words that the mix takes of each document.
 
-    Null and empty texts have size 0 and add nothing; a source of size 0 has target 0.
-    Rows alike in id and text fall into one block and are taken alike.
+    Null and empty texts have size 0 and add nothing; a source of size 0 has target 0; a
+    null source is a source, the last.  Rows alike in id and text fall into one block and are
+    taken alike; null ids are ids like others.  An empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
     rows = checkpointed(

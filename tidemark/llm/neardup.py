@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import ship_by_value
 from ._bytes import buffers
-from ._spark import checkpointed, table
+from ._spark import checkpointed, sent, table
 from .components import connected_components, least_roots
 
 RADIUS = 4
@@ -140,9 +140,13 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
         "c1", "left", (F.col("hi") + F.col("step.h")).alias("hi"), (F.col("lo") + F.col("step.w")).alias("lo"),
         ((F.col("step.h") == 0) & (F.col("step.w") == 0)).alias("same"),
     )
+    # A class and number for each tile.  Pairs fetch their right side by tile, so a large class is dealt out too.
+    named = sent(tiles.select("hi", "lo", F.col("chunk").alias("c2")), most // tile + 33 * 33)
+    pairs = left.join(named, ["hi", "lo"]).where("not same or c1 <= c2")
+    pairs = pairs.select("hi", "lo", "c2", "left", F.expr("same and c1 = c2").alias("own"))
     right = tiles.select("hi", "lo", F.col("chunk").alias("c2"), F.col("fps").alias("right"))
-    pairs = left.join(right, ["hi", "lo"]).where("not same or c1 <= c2")
-    meet = pairs.select("left", F.when(F.expr("same and c1 = c2"), F.array().cast("array<long>")).otherwise(F.col("right")).alias("right"), F.expr("same and c1 = c2").alias("own"))
+    meet = pairs.join(right, ["hi", "lo", "c2"])
+    meet = meet.select("left", F.when(F.col("own"), F.array().cast("array<long>")).otherwise(F.col("right")).alias("right"), "own")
     return meet.mapInArrow(_meet(radius), "a long, b long")
 
 
@@ -163,7 +167,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document.
 
     Null ids are members without being a component's name; a component of null ids
-    only has a null name.  Repeated rows stay repeated.
+    only has a null name.  Null, empty and blank texts have fingerprint zero.  Repeated rows
+    stay repeated; an empty table gives an empty result.
     """
     marks = checkpointed(fingerprints(table(spark, sf_dir, "documents")))
     groups = components(marks)

@@ -86,6 +86,8 @@ def _drawn(rng: np.random.Generator, have: np.ndarray, draws: int) -> np.ndarray
     total = int(have.sum())
     if not draws:
         return np.zeros_like(have)
+    if len(have) == 1:
+        return np.array([draws], np.int64)
     if total < _MOST_DRAWS:
         return rng.multivariate_hypergeometric(have, draws, method="marginals")
     half = max(1, len(have) // 2)

@@ -192,10 +192,14 @@ def structural_match(queries: DataFrame, seg_terms: DataFrame, idf: DataFrame) -
 
 
 def index_comparison(segments: DataFrame, projections: dict[str, Column], queries: DataFrame, k: int = 8) -> DataFrame:
-    """(variant, query_id, ord, rank): the same queries over an index of each projection of the segments."""
+    """(variant, query_id, ord, rank): the same queries over an index of each projection of the segments.
+
+    Scores are compared to 9 places, so that ties don't hang on the order of a sum.
+    """
     out = None
     for name, text in projections.items():
-        got = index.top_k(index.score(index.build_index(segments, text), queries), k).select(F.lit(name).alias("variant"), "query_id", "ord", "rank")
+        scores = index.score(index.build_index(segments, text), queries).withColumn("score", F.round("score", 9))
+        got = index.top_k(scores, k).select(F.lit(name).alias("variant"), "query_id", "ord", "rank")
         out = got if out is None else out.unionByName(got)
     return out
 

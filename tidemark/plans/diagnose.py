@@ -107,7 +107,8 @@ def diagnose_chains(
     term = filters.out_of_domain(F.col("symptom"))
     asked = symptoms.where(term.isNull()) if gate else symptoms
     idx = index.build_index(filters.clean_corpus(segments), F.coalesce(F.nullif("signature", F.lit("")), "raw_text"))
-    scores = cut(index.effective_scores(idx, asked))  # read by the entries and by every step of the walks
+    # Read by the entries and by every step of the walks; to 9 places, so that ties don't hang on the order of a sum.
+    scores = cut(index.effective_scores(idx, asked).withColumn("score", F.round("score", 9)))
     chosen = graph.pick_entries(index.top_k(scores, pool), edges, entries)
     paths = cut(graph.chase(chosen, edges, scores, rel, depth))
     blocks = render_chains(paths, segments).join(paths.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chains")), "query_id")

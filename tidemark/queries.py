@@ -79,19 +79,23 @@ SALIENT = (
 )
 SALIENCE = "array_to_string([t FOR t, i IN {0} IF list_position([lower(x) FOR x IN {0}], lower(t)) = i], ' ')"
 CONTENT = "list_distinct([t FOR t IN regexp_extract_all(lower({0}), '[a-z][a-z\\-]{{3,}}') IF NOT list_contains(" + _list(L.GENERAL_WORDS) + ", t)])"
-_BM25 = f"""
-seg AS (SELECT doc_id AS ord, {TOK.format('text')} AS toks FROM documents WHERE NOT {BOIL.format('text')}),
-st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM seg),
-po AS (SELECT ord, any_value(dl) AS dl, tok, count(*) AS tf FROM (SELECT ord, len(toks) AS dl, unnest(toks) AS tok FROM seg) GROUP BY ord, tok),
-dfr AS (SELECT tok, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY tok, n),
-vo AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM dfr) ELSE raw END AS idf FROM dfr)"""
+def _index_sql(text: str = "text", tag: str = "") -> str:
+    return f"""
+seg{tag} AS (SELECT doc_id AS ord, {TOK.format(text)} AS toks FROM documents WHERE NOT {BOIL.format('text')}),
+st{tag} AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM seg{tag}),
+po{tag} AS (SELECT ord, any_value(dl) AS dl, tok, count(*) AS tf FROM (SELECT ord, len(toks) AS dl, unnest(toks) AS tok FROM seg{tag}) GROUP BY ord, tok),
+dfr{tag} AS (SELECT tok, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po{tag}, st{tag} GROUP BY tok, n),
+vo{tag} AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM dfr{tag}) ELSE raw END AS idf FROM dfr{tag})"""
 
 
-def _scores(name: str, source: str) -> str:
+_BM25 = _index_sql()
+
+
+def _scores(name: str, source: str, tag: str = "") -> str:
     return f"""{name} AS (
   SELECT query_id, ord, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS tok FROM {source}) GROUP BY ALL) q
-  JOIN vo USING (tok) JOIN po USING (tok), st GROUP BY query_id, ord)"""
+  JOIN vo{tag} USING (tok) JOIN po{tag} USING (tok), st{tag} GROUP BY query_id, ord)"""
 
 
 _QL = f"ql AS (SELECT item_id AS query_id, {TOK.format('text')} AS toks FROM benchmark)"
@@ -393,24 +397,29 @@ ed AS (SELECT src, dst, min(seq) AS seq FROM (SELECT doc_id AS src, unnest([(doc
   WHERE src <> dst GROUP BY src, dst)"""
 
 
-def _chase_sql(depth: int) -> str:
+def _chase_sql(depth: int, rel: float = 0.5, tag: str = "") -> str:
+    """Walks from w0, as ``fin``; ``tag`` keeps the steps of several settings apart."""
+    w = ["w0"] + [f"w{tag}{i + 1}" for i in range(depth)]
     parts, done = [], []
     for i in range(depth):
         parts.append(f"""
-o{i} AS (SELECT w.query_id, w.chain, w.path, w.base, e.dst, coalesce(round(s.score, 9), 0.0) AS s, row_number() OVER (PARTITION BY w.query_id, w.chain ORDER BY coalesce(round(s.score, 9), 0.0) DESC, e.seq) AS r
-  FROM w{i} w JOIN ed e ON e.src = w.cur LEFT JOIN sc s ON s.query_id = w.query_id AND s.ord = e.dst WHERE NOT list_contains(w.path, e.dst)),
-w{i + 1} AS (SELECT query_id, chain, dst AS cur, path || [dst] AS path, base FROM o{i} WHERE r = 1 AND s >= 0.5 * base),
-d{i} AS (SELECT query_id, chain, path FROM w{i} w WHERE NOT EXISTS (SELECT 1 FROM w{i + 1} x WHERE x.query_id = w.query_id AND x.chain = w.chain))""")
-        done.append(f"SELECT * FROM d{i}")
-    return ",".join(parts) + f", fin AS ({' UNION ALL '.join(done)} UNION ALL SELECT query_id, chain, path FROM w{depth})"
+o{tag}{i} AS (SELECT w.query_id, w.chain, w.path, w.base, e.dst, coalesce(round(s.score, 9), 0.0) AS s, row_number() OVER (PARTITION BY w.query_id, w.chain ORDER BY coalesce(round(s.score, 9), 0.0) DESC, e.seq) AS r
+  FROM {w[i]} w JOIN ed e ON e.src = w.cur LEFT JOIN sc s ON s.query_id = w.query_id AND s.ord = e.dst WHERE NOT list_contains(w.path, e.dst)),
+{w[i + 1]} AS (SELECT query_id, chain, dst AS cur, path || [dst] AS path, base FROM o{tag}{i} WHERE r = 1 AND s >= {rel}::DOUBLE * base),
+d{tag}{i} AS (SELECT query_id, chain, path FROM {w[i]} w WHERE NOT EXISTS (SELECT 1 FROM {w[i + 1]} x WHERE x.query_id = w.query_id AND x.chain = w.chain))""")
+        done.append(f"SELECT * FROM d{tag}{i}")
+    return ",".join(parts) + f", fin{tag} AS ({' UNION ALL '.join(done)} UNION ALL SELECT query_id, chain, path FROM {w[depth]})"
+
+
+_ENTRIES = """r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM sc WHERE score > 0),
+p AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ord IN (SELECT src FROM ed) THEN 1 ELSE 0 END DESC, rank) AS chain FROM r WHERE rank <= 16),
+w0 AS (SELECT query_id, chain, ord AS cur, [ord] AS path, round(score, 9) AS base FROM p WHERE chain <= 8)"""
 
 
 @query(
     "chase_bm25",
     f"""WITH {_BM25}, {_QL}, {_scores('sc', 'ql')}, {_EDGES},
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM sc WHERE score > 0),
-p AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ord IN (SELECT src FROM ed) THEN 1 ELSE 0 END DESC, rank) AS chain FROM r WHERE rank <= 16),
-w0 AS (SELECT query_id, chain, ord AS cur, [ord] AS path, round(score, 9) AS base FROM p WHERE chain <= 8), {_chase_sql(3)}
+{_ENTRIES}, {_chase_sql(3)}
 SELECT query_id, CAST(chain AS INTEGER) AS chain, array_to_string(path, '>') AS path FROM fin""",
 )
 def _(s, d):
@@ -996,53 +1005,116 @@ def _(s, d):
     return evals.permutation_test(_labelled(s, d), "score", "label")
 
 
-@query("heading_offsets")
+@query("pointwise_diagnosis")
+def _(s, d):
+    return diagnose.diagnose_points(_symptoms(s, d), _segments(s, d))
+
+
+# --- walks shown and measured -------------------------------------------------------------------
+
+
+_HEADING = _q(pages.HEADING)
+
+
+@query(
+    "heading_offsets",
+    rf"""WITH d AS (SELECT n_name AS doc, concat_ws(chr(10), '2.4.1 ' || n_name, 'text', 'Procedure 7-2 end', 'MP-ABC-014.3 x') AS text FROM nation),
+h AS (SELECT doc, regexp_extract_all(text, {_HEADING}) AS hits, string_split_regex(text, {_HEADING}) AS gaps FROM d),
+j AS (SELECT doc, hits, gaps, unnest(range(1, len(hits) + 1)) AS j FROM h)
+SELECT doc, CAST(list_sum([length(g) FOR g IN gaps[1:j]]) + coalesce(list_sum([length(x) FOR x IN hits[1:j - 1]]), 0) AS BIGINT) AS start, regexp_extract(hits[j], {_HEADING}, 1) AS heading FROM j""",
+)
 def _(s, d):
-    docs = _t(s, d, "nation").select(F.col("n_name").alias("doc"), F.concat(F.lit("2.4.1 "), "n_name", F.lit("\ntext\nProcedure 7-2 end\nMP-ABC-014.3 x")).alias("text"))
-    return pages.headings(docs)
+    lines = F.concat_ws("\n", F.concat(F.lit("2.4.1 "), "n_name"), F.lit("text"), F.lit("Procedure 7-2 end"), F.lit("MP-ABC-014.3 x"))
+    return pages.headings(_t(s, d, "nation").select(F.col("n_name").alias("doc"), lines.alias("text")))
 
 
-@query("chain_diagnosis")
+_LINES = r"""sp AS (SELECT query_id, chain, unnest(path) AS ord, unnest(range(len(path))) AS p FROM fin),
+ll AS (SELECT query_id, chain, p, source, CASE WHEN p = 0 THEN '  ' ELSE '    -> ' END || '[C' || chain || '.' || (p + 1) || '] (section) :: ' || left(trim(regexp_replace(text, '\s+', ' ', 'g')), 180) AS line
+  FROM sp JOIN documents ON doc_id = ord)"""
+
+
+@query(
+    "chain_diagnosis",
+    f"""WITH {_BM25}, gt AS (SELECT item_id AS query_id, text, nullif(regexp_extract(text, {_q("(?i)" + "|".join(L.OUT_OF_DOMAIN))}), '') AS gate_term FROM benchmark),
+sl AS (SELECT query_id, text, {SALIENT.format('text')} AS ts FROM gt WHERE gate_term IS NULL), s2 AS (SELECT query_id, text, {SALIENCE.format('ts')} AS sal FROM sl),
+qs AS (SELECT query_id, {TOK.format('sal')} AS toks FROM s2), {_scores('sa', 'qs')}, ok AS (SELECT query_id FROM sa GROUP BY query_id HAVING max(score) > 0),
+qf AS (SELECT query_id, {_FALL} AS toks FROM s2 WHERE query_id NOT IN (SELECT query_id FROM ok)), {_scores('sb', 'qf')},
+sc AS (SELECT * FROM sa WHERE query_id IN (SELECT query_id FROM ok) UNION ALL SELECT * FROM sb), {_EDGES}, {_ENTRIES}, {_chase_sql(3, 0.4)}, {_LINES},
+an AS (SELECT query_id, count(DISTINCT chain) AS n_chains, trim(arg_max(line, chain * 10 + p)) AS answer FROM ll GROUP BY query_id),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS tok FROM documents),
+qt AS (SELECT query_id, unnest(CASE WHEN len(ts) = 0 THEN [NULL] ELSE ts END) AS tok FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS ts FROM gt)),
+cv AS (SELECT query_id, coalesce(count(v.tok) / nullif(count(qt.tok), 0), 0.0)::DOUBLE AS coverage FROM qt LEFT JOIN v USING (tok) GROUP BY query_id)
+SELECT query_id, answer IS NULL AS declined, gate_term, coalesce(n_chains, 0) AS n_chains, round(coverage, 6) AS coverage, coverage < {L.COVERAGE_CUT} AS coverage_flag,
+  coalesce(answer, {_q(diagnose.DECLINED)}) AS answer FROM gt LEFT JOIN an USING (query_id) LEFT JOIN cv USING (query_id)""",
+)
 def _(s, d):
     seg = _segments(s, d).withColumn("symptoms", F.array("raw_text"))
-    return diagnose.diagnose_chains(_symptoms(s, d), seg, _doc_edges(s, d))
+    return diagnose.diagnose_chains(_symptoms(s, d), seg, _doc_edges(s, d)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("pointwise_diagnosis")
-def _(s, d):
-    return diagnose.diagnose_points(_symptoms(s, d), _segments(s, d))
+_WALKS = f"WITH {_BM25}, {_QL}, {_scores('sc', 'ql')}, {_EDGES}, {_ENTRIES}"
+
 
+def _walked(s: SparkSession, d: str) -> DataFrame:
+    scores, edges = cut(_literal_scores(s, d)), cut(_doc_edges(s, d))
+    return cut(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3))
 
-@query("chain_render")
+
+@query(
+    "chain_render",
+    f"""{_WALKS}, {_chase_sql(3, 0.4)}, {_LINES},
+cs AS (SELECT query_id, chain, 'CHAIN ' || chain || ' of ' || coalesce(max(source) FILTER (WHERE p = 0), '') || chr(10) || string_agg(line, chr(10) ORDER BY p) AS t FROM ll GROUP BY query_id, chain)
+SELECT query_id, string_agg(t, chr(10) ORDER BY chain) AS block FROM cs GROUP BY query_id""",
+)
 def _(s, d):
-    scores = cut(_literal_scores(s, d))
-    edges = _doc_edges(s, d)
-    return diagnose.render_chains(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3), _segments(s, d))
+    return diagnose.render_chains(_walked(s, d), _segments(s, d))
 
 
-@query("index_comparison")
+@query(
+    "chain_profile",
+    f"""{_WALKS}, {_chase_sql(3, 0.4)}, vs AS (SELECT query_id, unnest(path) AS ord FROM fin),
+a AS (SELECT query_id, count(*) AS visits, count(DISTINCT ord) AS segments, count(DISTINCT source) AS docs FROM vs JOIN documents ON doc_id = ord GROUP BY query_id),
+b AS (SELECT query_id, count(*) AS chains, round(avg(len(path)), 6) AS mean_length, round(avg(CASE WHEN len(path) = 1 THEN 1 ELSE 0 END), 6) AS single FROM fin GROUP BY query_id)
+SELECT query_id, chains, mean_length, single, visits, segments, docs, round(visits / segments, 6) AS redundancy FROM b JOIN a USING (query_id)""",
+)
 def _(s, d):
-    seg = filters.clean_corpus(_segments(s, d))
-    asked = _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks"))
-    return analysis.index_comparison(seg, {
-        "whole": F.col("raw_text"), "terms": reports.term_source(F.col("raw_text"), F.col("source_doc"), F.col("lang")), "source": F.concat_ws(" ", "source_doc", "lang"),
-    }, asked)
+    return analysis.chain_profile(_walked(s, d), _segments(s, d)).withColumns({c: F.round(c, 6) for c in ("mean_length", "single", "redundancy")})
+
 
+_SWEEP = tuple((rel, depth, f"x{i}{j}_") for i, rel in enumerate((0.4, 0.6)) for j, depth in enumerate((1, 2)))
 
-@query("walk_sweep")
+
+@query(
+    "walk_sweep",
+    f"{_WALKS}, tg AS (SELECT item_id AS query_id, {CONTENT.format('text')} AS terms FROM benchmark), tm AS (SELECT doc_id AS ord, {CONTENT.format('text')} AS terms FROM documents)"
+    + "".join(f""", {_chase_sql(depth, rel, tag)}, h{tag} AS (SELECT query_id, list_distinct(flatten(list(terms))) AS have FROM (SELECT DISTINCT query_id, unnest(path) AS ord FROM fin{tag}) JOIN tm USING (ord) GROUP BY query_id),
+c{tag} AS (SELECT len(list_intersect(terms, coalesce(have, []::VARCHAR[]))) / nullif(len(terms), 0) AS cov FROM tg LEFT JOIN h{tag} USING (query_id))""" for rel, depth, tag in _SWEEP)
+    + " UNION ALL ".join(f" SELECT {rel}::DOUBLE AS rel, CAST({depth} AS INTEGER) AS depth, round(avg(cov), 6) AS mean_coverage, count(cov) AS n FROM c{tag}" for rel, depth, tag in _SWEEP),
+)
 def _(s, d):
     scores, edges = cut(_literal_scores(s, d)), cut(_doc_edges(s, d))
     entries = cut(graph.pick_entries(index.top_k(scores, 16), edges, 8))
     terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
     targets = _symptoms(s, d).select("query_id", T.content_terms(F.col("symptom")).alias("terms"))
-    return analysis.walk_sweep(entries, edges, scores, targets, terms, (0.4, 0.6), (1, 2))
+    return analysis.walk_sweep(entries, edges, scores, targets, terms, (0.4, 0.6), (1, 2)).withColumn("mean_coverage", F.round("mean_coverage", 6))
 
 
-@query("chain_profile")
+_VARIANTS = {"whole": "text", "terms": "concat_ws(' ', text, source, lang)", "source": "concat_ws(' ', source, lang)"}
+
+
+@query(
+    "index_comparison",
+    f"WITH {_QL}" + "".join(f", {_index_sql(text, '_' + v)}, {_scores('sc_' + v, 'ql', '_' + v)}" for v, text in _VARIANTS.items())
+    + ", u AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM sc_{v}" for v in _VARIANTS)
+    + "), q AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM u WHERE round(score, 9) > 0) "
+    "SELECT variant, query_id, ord, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 8",
+)
 def _(s, d):
-    scores, edges = cut(_literal_scores(s, d)), _doc_edges(s, d)
-    paths = cut(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3))
-    return analysis.chain_profile(paths, _segments(s, d))
+    seg = filters.clean_corpus(_segments(s, d))
+    asked = _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks"))
+    return analysis.index_comparison(seg, {
+        "whole": F.col("raw_text"), "terms": reports.term_source(F.col("raw_text"), F.col("source_doc"), F.col("lang")), "source": F.concat_ws(" ", "source_doc", "lang"),
+    }, asked)
 
 
 # --- reports ------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture
 def tables(spark, tmp_path):
-    """Writes tables to a folder that queries take as sf_dir; ``extra`` adds columns with clashing names."""
+    """Writes tables to a folder that queries take as sf_dir."""
 
     def write(folder="t", **named):
         base = tmp_path / folder

@@ -467,3 +467,86 @@ def test_stages_take_clashing_columns_and_empty_tables(spark, tables, tmp_path):
         assert (cur.count() == 0) == (name == "none")
     d = tables("nothing", documents=([], SCHEMA), labels=([], LABELS), benchmark=([], BENCH))
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_net_against_a_plain_forward_pass():
+    net = toxicity.Net(5)
+    net.bias += np.linspace(-0.2, 0.2, len(net.bias), dtype=np.float32)
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, 1 + len(toxicity.PREFIXES))) for n in (1, 0, 2, 7, 40)]
+    want = []
+    for ids in docs:
+        x = [sum(net.emb[i].astype(float) for i in word) for word in ids]
+        logit = float(net.shift)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = k * toxicity.FILTERS + f
+                # A filter may run over the end, where words are zero.
+                sums = [sum(float(x[i + j] @ net.filters[k][j][:, f]) for j in range(width) if i + j < len(x)) for i in range(len(x))]
+                logit += max(0.0, max(sums, default=0.0) + float(net.bias[at])) * float(net.out[at])
+        want.append(logit)
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    assert net.logits(np.concatenate(docs), rows, len(docs)) == pytest.approx(want, abs=1e-4)
+
+
+def test_leader_updates_one_by_one():
+    """Every weight by the closed form of follow-the-regularised-leader, from plain sums over all updates."""
+    rng = np.random.default_rng(9)
+    texts = [(sorted(rng.choice(30, 6, replace=False).tolist()), rng.uniform(0.5, 3, 6).astype(np.float32).tolist()) for _ in range(25)]
+    labels = [int(3 in k) for k, _ in texts]
+    alpha, beta, l1, l2, passes, seed = 0.3, 1.0, 0.02, 0.5, 3, 5
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(passes):
+        for i in order.permutation(len(texts)):
+            x = dict(zip(*texts[i])) | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - labels[i]) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    got, bias = quality.train(
+        np.concatenate([k for k, _ in texts]), np.concatenate([np.float32(v) for _, v in texts]), np.arange(0, 6 * len(texts) + 1, 6), labels
+    )
+    assert got[:30] == pytest.approx([weight(k) for k in range(30)], abs=1e-9) and not got[30:].any()
+    assert bias == pytest.approx(weight("bias"), abs=1e-9) and got[3] == max(got)
+
+
+def test_scores_against_features_one_by_one():
+    """A score is the bias and each feature's weight times its share, whatever else is in the batch."""
+    texts = ["Plain words, plain words!", "x", "", None, "ÉTÉ && 42 -- a"]
+    weights = np.random.default_rng(2).normal(size=quality.BUCKETS)
+    want = []
+    for t in texts:
+        k, _ = quality.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+        shares = {b: 20.0 * c / len(k) for b, c in Counter(k.tolist()).items()}
+        want.append(1 / (1 + math.exp(-(sum(weights[b] * s for b, s in shares.items()) + 0.3))))
+    assert quality.scores(pa.array(texts), weights, 0.3) == pytest.approx(want)
+    assert want[2] == want[3] == pytest.approx(1 / (1 + math.exp(-0.3)))
+
+
+CLASHING = ("row", "size", "h", "words", "skey", "fp", "node", "at", "label", "shard", "slot", "copy", "order", "hash", "pos", "template", "row_", "n")
+
+
+@pytest.mark.parametrize("op", ["op1_sharding", "op2_secrets", "op4_toxicity", "op5_mixing", "op6_licenses", "op7_decontamination", "op8_simhash", "op9_quality"])
+def test_columns_with_clashing_names_change_no_result(spark, tables, op):
+    from tidemark.llm.queries import QUERIES
+
+    docs = documents() + [(70, "released under the mit license token=abcdefgh", "en", "s", 1)]
+    rng = random.Random(3)
+    named = dict(labels=([(i, i % 2, i % 3 // 2) for i in range(40)], LABELS), benchmark=([(1, sentence(rng, 9)), (2, docs[11][1] or "none")], BENCH))
+    extra = [d + tuple(range(len(CLASHING))) for d in docs]
+    wide = SCHEMA + "".join(f", {c} int" for c in CLASHING)
+    plain = QUERIES[op](spark, tables("plain", documents=(docs, SCHEMA), **named))
+    more = QUERIES[op](spark, tables("wide", documents=(extra, wide), **named))
+    assert plain.columns == more.columns
+    # Which of two alike rows gets which slot is open.
+    shown = [c for c in plain.columns if op != "op1_sharding" or c not in ("shard", "slot")]
+    assert Counter(map(str, plain.select(shown).collect())) == Counter(map(str, more.select(shown).collect()))

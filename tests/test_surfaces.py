@@ -110,3 +110,7 @@ def test_resume_sink(spark, tmp_path):
     write(spark.createDataFrame([("a", 1), ("a", 1)], "k string, v int"), 0)
     write(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), 1)
     assert sorted(rows(spark.read.json(str(tmp_path / "out")).select("k"))) == [("a",), ("b",)]
+    nested = resume_sink(str(tmp_path / "nested"), ["k"])
+    for n in range(2):
+        nested(spark.createDataFrame([("a", [("x", n)])], "k string, v array<struct<name: string, n: int>>"), n)
+    assert rows(spark.read.json(str(tmp_path / "nested")).selectExpr("k", "v[0].n")) == [("a", 0)]

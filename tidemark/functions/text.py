@@ -147,6 +147,7 @@ def crew_lines(exchange: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)^.*?crew report[^:]*:", "")
     pieces = F.transform(F.split(text, r"\d{2,3}:\d{2}:\d{2}|\(\d+\)|\||->| / "), strip)
     speaker = r"^[A-Za-z()/ .]+?:\s*"
+    # Fixed value: who speaks from the ground.
     ground = r"(?i)\b(CC|CAPCOM|CAP\s*COM|HOUSTON)\b|\(cap ?com\)"
     crew = F.filter(
         pieces, lambda p: (F.length(p) >= 5) & ~F.regexp_extract(p, r"^([A-Za-z()/ .]+?):", 1).rlike(ground)

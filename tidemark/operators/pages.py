@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: what counts as a numbered heading.
 HEADING = r"(?m)^\s*((?:MP|FR|AR)-[A-Z]+-\d+(?:\.\d+)?|\d+(?:\.\d+){1,3}|Procedure\s+\d+-\d+)\b"
 
 
@@ -20,7 +21,7 @@ def page_offsets(pages: DataFrame, doc: str = "doc", page: str = "page", text: s
 def headings(docs: DataFrame) -> DataFrame:
     """(doc, start, heading) of every heading line; docs: doc, text.
 
-    Positions of all matches have no built-in, so texts pass through Arrow batches.
+    Texts pass through Arrow batches, as lines and blanks are told as Python's patterns tell them.
     """
     pattern = HEADING
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
 
 SEGMENT = (
     "id string, raw_text string, signature string, subsystem string, source_doc string, "
@@ -116,7 +117,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return optional(spark, lambda: read_lines(spark, path, "doc string, status string", tolerant=True), "doc string, status string").where("doc is not null")
 
 
-def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+def optional(spark: SparkSession, read: Callable[[], DataFrame], schema: str | StructType) -> DataFrame:
     """``read()``, or no rows of ``schema`` where the path doesn't exist."""
     try:
         return read()

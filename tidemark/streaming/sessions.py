@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions import lexicons as L
 
@@ -18,7 +19,11 @@ OUTPUT = "session string, turn long, transcript string, gate_term string"
 
 
 def session_stream(utterances: DataFrame, idle: str | None = None) -> DataFrame:
-    """utterances: session, turn, text, as a stream.  One output row for each input row."""
+    """utterances: session, turn, text, as a stream.  One output row for each input row.
+
+    Turns are put in order within a micro-batch; one that comes a batch late is read where it
+    comes.  The state of a session is its transcript; ``idle`` says when it is dropped.
+    """
     pattern = "|".join(L.OUT_OF_DOMAIN)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,7 +57,9 @@ def resume_sink(path: str, keys: list[str]):
         from ..sources.readers import optional
 
         spark = batch.sparkSession
-        have = optional(spark, lambda: spark.read.schema(batch.schema).json(path), batch.schema.simpleString()[7:-1].replace(":", " "))
+        # Of what the sink holds only the keys are read.
+        known = StructType([batch.schema[k] for k in keys])
+        have = optional(spark, lambda: spark.read.schema(known).json(path), known)
         not_done(batch.dropDuplicates(keys), have, keys).write.mode("append").json(path)
 
     return write

@@ -157,6 +157,16 @@ def test_permutation_p_value(spark):
     assert auc == 1.0 and p == pytest.approx(1 / 51)
 
 
+def test_held_out_draws(spark):
+    df = spark.createDataFrame([(i, float(i), i >= 50) for i in range(100)], "id int, score double, label boolean")
+    got = rows(evals.held_out_auc(df, "score", "label", replicates=30).select("rep", "auc"))
+    assert len(got) == 30 and all(a == 1.0 for _, a in got)
+    noise = df.withColumn("label", F.col("id") % 2 == 0)
+    again = [sorted(rows(evals.held_out_auc(noise, "score", "label", replicates=30).select("rep", "auc"))) for _ in range(2)]
+    assert again[0] == again[1] and len({a for _, a in again[0]}) > 20
+    assert abs(sum(a for _, a in again[0]) / 30 - 0.5) < 0.1
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "HIT"), (1, 3, "c"), (2, 1, "x")], "s int, t int, w string")
     assert rows(sessions.cumulative(df, "s", "t", "w").orderBy("s", "t").select("transcript")) == [("a",), ("a HIT",), ("a HIT c",), ("x",)]

@@ -1,10 +1,15 @@
 import math
+import re
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import evals, filters, graph, index, pages, sessions
+from tidemark.plans import diagnose
 
 
 def column(spark, values, f):
@@ -190,6 +195,20 @@ def test_headings(spark):
     assert [tuple(r)[1:] for r in pages.headings(docs).orderBy("start").collect()] == [(0, "2.4.1"), (12, "Procedure 7-2"), (46, "FR-ECLSS-014.3")]
 
 
+def test_headings_as_python_tells_lines_and_digits(spark):
+    text = "1.2²\n1.2é\n3.4_\n\x1c5.6\u2028 7.8\r9.1\n\n \u00a0٣.٤ x\nProcedure\n7-2\nAR-X-1.5.6"
+    got = pages.headings(spark.createDataFrame([("d", text)], "doc string, text string"))
+    assert [tuple(r)[1:] for r in got.orderBy("start").collect()] == [(m.start(), m.group(1)) for m in re.finditer(pages.HEADING, text)]
+
+
+def test_functions_travel_without_the_package():
+    """What runs on executors loads in a process that can't import the package."""
+    for module, function in ((diagnose, diagnose.echo_generator), (diagnose, diagnose.with_retries(diagnose.echo_generator))):
+        code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); print(f('a\\nb', '[S1]'), 'tidemark' in sys.modules)"
+        sent = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(function), capture_output=True, cwd="/", env={})
+        assert sent.stdout.decode().strip() == "b [S1] False", sent.stderr.decode()
+
+
 def test_triples(spark):
     good = '{"triples":[{"subject":"pump","subject_type":"Component","relation":"locatedIn","object":"loop","object_type":"Subsystem"},{"subject":"x","subject_type":"Odd","relation":"causes","object":"y","object_type":"Fault"}]}'
     t = filters.closed_schema(pages.parsed_triples(spark.createDataFrame([(1, good), (2, "no json")], "seg_id int, payload string")))

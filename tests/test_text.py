@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -55,3 +57,11 @@ def test_normal_forms(spark):
     assert one(spark, "  Tank-2,  O2! ", T.normalized) == "tank 2 o2"
     assert one(spark, "O-ring B", T.squeezed) == "oringb"
     assert rows(spark.range(1).select(T.collapse(F.lit(" a \n b "), 3))) == [("a b",)]
+
+
+def test_match_spans_against_re(spark):
+    long = "".join(f"{'é' * (i % 3)}a{i}😀 " for i in range(2000))
+    for text in (long, "a1", "xa1", "a1x", "none", "", None):
+        got = one(spark, text, lambda c: T.match_spans(c, "a[0-9]+"))
+        want = None if text is None else [(m.start(), m.end(), m.group()) for m in re.finditer("a[0-9]+", text)]
+        assert (None if got is None else [tuple(m) for m in got]) == want

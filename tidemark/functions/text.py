@@ -167,6 +167,42 @@ def crew_lines(exchange: Column) -> Column:
     return collapse(F.array_join(clean, " "))
 
 
+#: Matches that one step of ``match_spans`` adds up; appending more to one array copies it each time.
+_SPAN_BLOCK = 256
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """Array of (start, end, hit) of the leftmost non-overlapping matches, in characters; null for null.
+
+    The text between matches and the matches themselves, in turn, add up to the positions:
+    first within blocks of matches, then over the blocks, so time grows with the matches.
+    """
+    parts = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("hit"))
+    block = "struct<at:int,out:array<struct<start:int,end:int,hit:string>>>"
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + F.length(p["gap"])
+        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit")))
+        # Behind the last match stands a gap alone.
+        return F.struct(end.alias("at"), F.when(p["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], span)).alias("out")).cast(block)
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(block)
+    blocks = lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(p), F.lit(_SPAN_BLOCK)), lambda first: F.aggregate(F.slice(p, first, _SPAN_BLOCK), empty, step)
+    )
+    starts = lambda b: F.aggregate(
+        b, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"]))
+    )
+    shifted = lambda b, at: F.transform(
+        b["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit"))
+    )
+    placed = lambda b: F.flatten(F.transform(F.arrays_zip(b.alias("b"), F.slice(starts(b), 1, F.size(b)).alias("at")), lambda x: shifted(x["b"], x["at"])))
+    # A transform of one element names what is used twice.
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return F.when(c.isNotNull(), let(parts, lambda p: let(blocks(p), placed)))
+
+
 def elapsed_seconds(c: Column) -> Column:
     """Seconds of ``H:M:S``; null unless there are three whole numbers."""
     p = F.split(c, ":")

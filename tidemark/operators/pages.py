@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import match_spans
+
 # Fixed value: what counts as a numbered heading.
 HEADING = r"(?m)^\s*((?:MP|FR|AR)-[A-Z]+-\d+(?:\.\d+)?|\d+(?:\.\d+){1,3}|Procedure\s+\d+-\d+)\b"
 
@@ -18,22 +17,16 @@ def page_offsets(pages: DataFrame, doc: str = "doc", page: str = "page", text: s
     return pages.withColumn("off", F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0))).withColumn("len", F.length(text))
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """(doc, start, heading) of every heading line; docs: doc, text.
+# The same in Java's terms: lines end at \n, and blanks, digits and letters are those of Unicode.
+_HEADING = (
+    r"(?mdU)^[\s\x1c-\x1f]*((?:MP|FR|AR)-[A-Z]+-\p{Nd}+(?:\.\p{Nd}+)?|\p{Nd}+(?:\.\p{Nd}+){1,3}|Procedure[\s\x1c-\x1f]+\p{Nd}+-\p{Nd}+)(?![\p{L}\p{N}_])"
+)
 
-    Texts pass through Arrow batches, as lines and blanks are told as Python's patterns tell them.
-    """
-    pattern = HEADING
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        rx = re.compile(pattern)
-        for pdf in batches:
-            rows = [(d, m.start(), m.group(1)) for d, t in zip(pdf["doc"], pdf["text"]) for m in rx.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=["doc", "start", "heading"])
-
-    return docs.select("doc", "text").mapInPandas(find, "doc string, start long, heading string")
+def headings(docs: DataFrame) -> DataFrame:
+    """(doc, start, heading) of every heading line; docs: doc, text.  A null text has none."""
+    found = docs.select("doc", F.explode(match_spans(F.col("text"), _HEADING)).alias("m"))
+    return found.select("doc", F.col("m.start").cast("long").alias("start"), F.regexp_extract("m.hit", _HEADING, 1).alias("heading"))
 
 
 def heading_segments(marks: DataFrame, lengths: DataFrame, least: int = 20) -> DataFrame:

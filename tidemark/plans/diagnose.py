@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ship_by_value
 from ..functions import lexicons as L
 from ..functions.text import collapse, content_terms, salience, short_terms
 from ..operators import evals, filters, graph, index
@@ -167,3 +168,6 @@ def diagnose_points(symptoms: DataFrame, segments: DataFrame, k: int = 6, genera
         "diagnosis": F.coalesce("diagnosis", "failure", F.lit(DECLINED)),
         **{c: F.coalesce(c, F.lit(0)) for c in ("n_points", "n_grounded", "n_inferred")},
     }).drop("failure")
+
+
+ship_by_value(__name__)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from .. import ship_by_value
 from ..functions import lexicons as L
 
 OUTPUT = "session string, turn long, transcript string, gate_term string"
@@ -63,3 +64,6 @@ def resume_sink(path: str, keys: list[str]):
         not_done(batch.dropDuplicates(keys), have, keys).write.mode("append").json(path)
 
     return write
+
+
+ship_by_value(__name__)

@@ -82,6 +82,7 @@ def test_secrets_against_brute_force(spark, tables):
         docs[30 + i] = (30 + i, t, "en", f"src{i % 5}", 0)
     copied = "copy Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8 end"
     docs += [(200 + i, copied, "en", f"own{i}", 0) for i in range(4)] + [(210, None, "en", "own0", 0)]
+    docs.append((211, " ".join(f"token={i:06d}x é api_key: '{i}abcdef'" for i in range(3000)), "en", "many", 0))
     got = secrets.op2_secrets(spark, tables(documents=(docs, SCHEMA))).collect()
     want = []
     for d in docs:

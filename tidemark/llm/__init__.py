@@ -4,11 +4,4 @@ Nothing else in the library imports this subpackage.  Functions that run on the
 executors are pickled by value, so a cluster needs no installed copy of it.
 """
 
-import sys
-
-from pyspark import cloudpickle
-
-
-def ship_by_value(module_name: str) -> None:
-    """Have functions of this module travel with the task instead of being imported there."""
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+from .. import ship_by_value  # noqa: F401

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import match_spans
 from ._spark import checkpointed, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,25 +36,13 @@ _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def spans(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
-    """Spans of leftmost non-overlapping matches whose value has ``least`` characters or more.
+    """Spans of leftmost non-overlapping matches whose value has ``least`` characters or more."""
 
-    The text between matches and the matches themselves, in turn, add up to the positions.
-    """
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
-    )
-    acc = f"struct<at:int,out:array<{_SPAN}>>"
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        value = F.regexp_extract(p["hit"], pattern, value_group) if value_group else p["hit"]
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")))
-        good = F.coalesce(F.length(value) >= least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], span)).otherwise(a["out"]).alias("out")).cast(acc)
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")).cast(acc)
-    return F.aggregate(parts, first, step)["out"]
+    def span(m: Column) -> Column:
+        value = F.regexp_extract(m["hit"], pattern, value_group) if value_group else m["hit"]
+        return F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), value.alias("value"))
+
+    return F.filter(F.transform(match_spans(text, pattern), span), lambda s: F.length(s["value"]) >= least)
 
 
 def _joined(spans_: Column) -> Column:

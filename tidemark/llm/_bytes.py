@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import ship_by_value
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 _TABLES: dict[str, np.ndarray] = {}

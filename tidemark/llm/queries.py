@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets, topk, urls
+from . import collocations, licenses, secrets, topk, urls
+from .collocations import op13_collocations
 from .decontamination import op7_decontamination
 from .licenses import op6_licenses
 from .mixing import op5_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op3_topk": topk.ORACLE,
     "op6_licenses": licenses.ORACLE,
     "op10_urls": urls.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -9,6 +9,7 @@ from .licenses import op6_licenses
 from .mixing import op5_mixing
 from .neardup import op8_simhash
 from .quality import op9_quality
+from .rules import op12_rules
 from .secrets import op2_secrets
 from .sharding import op1_sharding
 from .topk import op3_topk
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op12_rules": op12_rules,
     "op13_collocations": op13_collocations,
 }
 

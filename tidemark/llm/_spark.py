@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,15 @@ def checkpointed(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared checkpoint folder, for rows that several steps read."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-tables-")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def packed(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` in a partition for each ``FILE_ROWS`` of ``most_rows``; steps over one alone need no shuffle."""
     return df.coalesce(max(1, -(-most_rows // FILE_ROWS)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import collocations, licenses, secrets, topk, urls
+from .alignment import op11_alignment
 from .collocations import op13_collocations
 from .decontamination import op7_decontamination
 from .licenses import op6_licenses
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op11_alignment": op11_alignment,
     "op12_rules": op12_rules,
     "op13_collocations": op13_collocations,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import analysis, evals, filters, graph, index, pages, reports, sessions
+from .operators import analysis, evals, filters, graph, index, pages, reports, routing, sessions
 from .plans import diagnose
 from .plans.lineage import cut
 
@@ -498,6 +498,16 @@ def _(s, d):
     return found.select("query_id", "node", _r("score"), "place")
 
 
+@query("best_first_route")
+def _(s, d):
+    docs = _t(s, d, "documents")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") % 3 == 0, "symptom").otherwise("procedure").alias("kind"))
+    seeds = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("node"))
+    edges = _doc_edges(s, d).withColumn("cost", F.when(F.col("seq") == 3, -F.ln(F.lit(0.6))).otherwise(-F.ln(F.lit(0.8))))
+    found = routing.best_first(seeds, nodes, edges, boosted=nodes.where("node % 7 = 0"))
+    return found.select("query_id", "node", _r("score"), "place")
+
+
 _PR = "\n".join(
     f""", k{i + 1} AS MATERIALIZED (SELECT nd.node, (0.15 + 0.85 * (SELECT coalesce(sum(rank) FILTER (WHERE node NOT IN (SELECT src FROM st)), 0) FROM k{i})) / (SELECT count(*) FROM nd) + 0.85 * coalesce(g.got, 0) AS rank
   FROM nd LEFT JOIN (SELECT st.dst AS node, sum(k.rank * st.p) AS got FROM st JOIN k{i} k ON k.node = st.src GROUP BY st.dst) g USING (node))"""

@@ -49,12 +49,16 @@ class OrderedSession(StatefulProcessor):
         due = sorted(w for w in waiting if w[0] <= now)
         last_at, gate = self.last.get() if self.last.exists() else (None, None)
         if not due:
-            if self.idle_ms is not None and not waiting and last_at is not None and last_at + self.idle_ms <= now:
-                for state in (self.waiting, self.said, self.last):
-                    state.clear()
+            if self.idle_ms is not None and last_at is not None and last_at + self.idle_ms <= now:
+                self.said.clear()
+                self.last.clear()
             return
         transcript = " ".join(s[0] for s in self.said.get()) if self.said.exists() else ""
         for at, turn, text in due:
+            if self.idle_ms is not None and last_at is not None and at - last_at >= self.idle_ms:
+                self.said.clear()
+                transcript, gate = "", None
+            last_at = at
             transcript = f"{transcript} {text}".strip() if transcript else text
             if gate is None:
                 found = self.rx.search(transcript)
@@ -67,9 +71,9 @@ class OrderedSession(StatefulProcessor):
             self.waiting.put(left)
         else:
             self.waiting.clear()
-        self.last.update((due[-1][0], gate))
+        self.last.update((last_at, gate))
         if self.idle_ms is not None:
-            self.handle.registerTimer(due[-1][0] + self.idle_ms)
+            self.handle.registerTimer(last_at + self.idle_ms)
 
 
 def ordered_sessions(utterances: DataFrame, delay: str = "10 seconds", idle_ms: int | None = None) -> DataFrame:
@@ -77,8 +81,8 @@ def ordered_sessions(utterances: DataFrame, delay: str = "10 seconds", idle_ms:
 
     An utterance is read once the watermark, the latest ``at`` less ``delay``, has reached it, so
     arrival in any order within ``delay`` gives what one ordered pass would.  One that comes
-    when the watermark has reached it already is dropped.  A session without utterances for ``idle_ms`` of event time is
-    dropped and would begin anew.  Null texts say nothing; a repeated utterance is read twice.
+    when the watermark has reached it already is dropped.  After ``idle_ms`` of event time without an
+    utterance a session's state goes, and it begins anew.  Null texts say nothing; a repeated utterance is read twice.
     """
     if utterances.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STORE}")

@@ -5,11 +5,12 @@ up by language and phrase.  Candidates meet the counts of what each cut leaves o
 side, are scored in exact decimals, give way to one-word extensions that hold half of
 their occurrences, and are ranked within their language.
 
-Most n-grams are too rare to matter.  A first pass adds up occurrences by hash alone and
-notes the hashes that reach ``least`` in a bitmap of fixed size; the second pass makes
-rows of the n-grams whose bit is set.  Every n-gram that occurs ``least`` times has its
-bit set, whatever else shares it, so nothing is lost: a fuller bitmap only lets more rare
-ones through to the exact counts.
+Most n-grams are too rare to matter.  Passes ahead add up occurrences by hash alone and
+note the hashes that reach ``least`` in a bitmap of fixed size: words and pairs first, then
+each longer kind, of which only those are counted whose two parts, one word shorter, have
+their bits set.  The last pass makes rows of the n-grams whose bit is set.  Every n-gram
+that occurs ``least`` times has its bit set, whatever else shares it, as its parts occur as
+often, so nothing is lost: a fuller bitmap only lets more rare ones through to the exact counts.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SIEVE_BITS = 1 << 27
 HASH_BITS = 48
 #: Words that a kernel gathers before it adds up what is alike.
 BUFFER_WORDS = 1 << 19
+#: Rows of a batch that a kernel hands back.
+OUT_ROWS = 1 << 16
 #: Parts of a language that are ranked apart before the last ranking.
 PARTS = 64
 
@@ -108,24 +111,42 @@ def _texts(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[
             yield Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hashes[a:b], max_words), names, codes[a:b]
 
 
-def _hash_counts(max_words: int, buffer_words: int):
-    """Kernel: (h, n) of n-gram hashes, alike ones of a buffer added up."""
+def _set(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    slot = hashes & np.uint64(bits - 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
-    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+
+def _hash_counts(lengths: tuple[int, ...], buffer_words: int, sieve: Broadcast | None, bits: int):
+    """Kernel: (h, n) of the hashes of n-grams of these lengths, alike ones of a buffer added up.
+
+    With ``sieve`` only n-grams take part whose first and last n - 1 words have their bits set.
+    """
+
+    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["h", "n"])
+        for a in range(0, len(h), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + OUT_ROWS].astype(np.int64)), pa.array(n[a : a + OUT_ROWS])], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sieve.value, np.uint64) if sieve is not None else None
         held: list[np.ndarray] = []
-        words = 0
-        for grams, _, _ in _texts(batches, max_words):
-            held += grams.hash
-            words += len(grams.rows)
-            if words >= buffer_words:
-                yield emit(held)
-                held, words = [], 0
+        size = 0
+        for grams, _, _ in _texts(batches, max(lengths)):
+            for n in lengths:
+                hashes = grams.hash[n - 1]
+                if bitmap is not None:
+                    often = np.zeros(len(grams.rows), bool)
+                    often[grams.first[n - 2]] = _set(bitmap, grams.hash[n - 2], bits)
+                    first = grams.first[n - 1]
+                    hashes = hashes[often[first] & often[np.minimum(first + 1, max(len(often) - 1, 0))]]
+                held.append(hashes)
+                size += len(hashes)
+            if size >= 2 * buffer_words:
+                yield from emit(held)
+                held, size = [], 0
         if held:
-            yield emit(held)
+            yield from emit(held)
 
     return run
 
@@ -143,12 +164,12 @@ def _phrase_counts(max_words: int, buffer_words: int, sieve: Broadcast, bits: in
             place = {name: i for i, name in enumerate(names)}
             lang = np.concatenate([np.array([place[name] for name in x[3]])[x[2]] for x in some])
             keys, n = np.unique(coded.indices.to_numpy() * np.int64(len(names)) + lang, return_counts=True)
-            for a in range(0, len(keys), 1 << 16):
-                part = keys[a : a + (1 << 16)]
+            for a in range(0, len(keys), OUT_ROWS):
+                part = keys[a : a + OUT_ROWS]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names).take(pa.array(part % len(names))),
                     coded.dictionary.take(pa.array(part // len(names))).cast(pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(part), words, np.int32)), pa.array(n[a : a + (1 << 16)]),
+                    pa.array(np.full(len(part), words, np.int32)), pa.array(n[a : a + OUT_ROWS]),
                 ], ["lang", "phrase", "words", "n"])
         yield pa.RecordBatch.from_arrays([
             pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()),
@@ -165,8 +186,7 @@ def _phrase_counts(max_words: int, buffer_words: int, sieve: Broadcast, bits: in
                 if n:
                     totals[name] = totals.get(name, 0) + n
             for k in range(max_words):
-                slot = grams.hash[k] & np.uint64(bits - 1)
-                first = grams.first[k][(bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0]
+                first = grams.first[k][_set(bitmap, grams.hash[k], bits)]
                 held.append((k + 1, grams.phrases(k + 1, first), codes[grams.rows[first]], names))
             words += len(grams.rows)
             if words >= buffer_words:
@@ -177,21 +197,22 @@ def _phrase_counts(max_words: int, buffer_words: int, sieve: Broadcast, bits: in
     return run
 
 
-def sieve_of(docs: DataFrame, least: int, max_words: int, bits: int = SIEVE_BITS, buffer_words: int = BUFFER_WORDS) -> bytes:
+def sieve_of(docs: DataFrame, least: int, max_words: int, bits: int = SIEVE_BITS, buffer_words: int = BUFFER_WORDS) -> Broadcast:
     """Bitmap with a set bit for the hash of every n-gram that occurs ``least`` times; ``bits`` is a power of two.
 
-    The driver gets its words of 64 bits that aren't zero, ``bits`` / 64 at most.
+    The driver gets its cells of 64 bits that aren't zero, ``bits`` / 64 at most.
     """
-    counts = docs.mapInArrow(_hash_counts(max_words, buffer_words), "h long, n long")
-    often = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.col("h").bitwiseAND(F.lit(bits - 1))
-    cells = often.groupBy(F.shiftright(slot, 6).cast("int").alias("cell")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("set")
-    )
-    got = cells.toArrow()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[got.column("cell").to_numpy()] = got.column("set").to_numpy()
-    return bitmap.tobytes()
+    sieve = None
+    for lengths in [tuple(range(1, min(max_words, 2) + 1)), *((n,) for n in range(3, max_words + 1))]:
+        counts = docs.mapInArrow(_hash_counts(lengths, buffer_words, sieve, bits), "h long, n long")
+        often = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        got = often.groupBy(F.shiftright(slot, 6).cast("int").alias("cell")).agg(F.bit_or(bit).alias("set")).toArrow()
+        bitmap[got.column("cell").to_numpy()] |= got.column("set").to_numpy()
+        sieve = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    return sieve
 
 
 def phrase_counts(
@@ -202,7 +223,7 @@ def phrase_counts(
     A row of ``words`` 0 holds the count of all words of the language.
     """
     texts = docs.select("text", "lang")
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(texts, least, max_words, bits, buffer_words))
+    sieve = sieve_of(texts, least, max_words, bits, buffer_words)
     rows = texts.mapInArrow(
         _phrase_counts(max_words, buffer_words, sieve, bits), "lang string, phrase string, words int, n long"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from . import ranks
 
 
 def idf_table(docs: DataFrame, toks: Column, distinct: bool = True) -> DataFrame:
@@ -50,36 +51,22 @@ def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, em
 
 
 def permutation_test(rows: DataFrame, score: str, label: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
-    """(auc, p_value): labels are dealt anew ``replicates`` times by a seeded hash order of ``id``."""
+    """(auc, p_value): labels are dealt anew ``replicates`` times, over the counts of equal scores; draws follow from the seed."""
     real = auc(rows, score, label).select("auc")
-    kept = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("id", score, label)
-    positives = kept.agg(F.count_if(F.col(label)).alias("np"))
-    reps = rows.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    dealt = (
-        kept.crossJoin(reps).crossJoin(F.broadcast(positives))
-        .withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "id"), "id")))
-        .withColumn("dealt", F.col("place") <= F.col("np"))
-    )
-    null = auc(dealt, score, "dealt", ["rep"]).select(F.col("auc").alias("null_auc"))
+    null = ranks.permuted_areas(rows, score, label, replicates, seed).select(F.col("auc").alias("null_auc"))
     return null.crossJoin(F.broadcast(real)).groupBy("auc").agg(
         ((F.count_if(F.col("null_auc") >= F.col("auc")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value")
     )
 
 
 def held_out_auc(rows: DataFrame, score: str, label: str, replicates: int = 200, share: float = 0.3, seed: int = 20260711) -> DataFrame:
-    """(rep, auc) over seeded random subsets of about ``share`` of the rows."""
-    reps = rows.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    drawn = rows.crossJoin(reps).where(F.pmod(F.xxhash64(F.lit(seed), "rep", "id"), F.lit(1000)) < int(share * 1000))
-    return auc(drawn, score, label, ["rep"])
+    """(rep, auc) over seeded random subsets of about ``share`` of the rows; ``ranks.held_out_summary`` tells their spread."""
+    return ranks.held_out_areas(rows, score, label, replicates, share, seed)
 
 
 def bins_last_wide(rows: DataFrame, value: str, key: str, n: int = 5) -> DataFrame:
-    """``bin`` 0 to n-1 by rank of value, then key; the remainder goes to the last bin.
-
-    For evaluation sets: the ranks need one ordered pass over the rows.
-    """
-    ranked = rows.withColumn("rn", F.row_number().over(Window.orderBy(value, key)))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    """``bin`` 0 to n-1 by rank of value, then key; the remainder goes to the last bin."""
+    ranked, total = ranks.numbered(rows, [value, key])
     q = F.floor(F.col("total") / n)
     return ranked.crossJoin(F.broadcast(total)).withColumn(
         "bin", F.when(q == 0, n - 1).otherwise(F.least(F.floor(F.try_divide(F.col("rn") - 1, q)), F.lit(n - 1))).cast("int")
@@ -88,26 +75,15 @@ def bins_last_wide(rows: DataFrame, value: str, key: str, n: int = 5) -> DataFra
 
 def systematic_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Every step-th row in key order, ``size`` at most."""
-    total = rows.agg(F.greatest(F.floor(F.count(F.lit(1)) / size), F.lit(1)).alias("step"))
-    numbered = rows.withColumn("rn", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(F.broadcast(total))
-    return numbered.where((F.col("rn") % F.col("step") == 0) & (F.col("rn") < F.col("step") * size)).drop("rn", "step")
+    ranked, total = ranks.numbered(rows, [key])
+    step = F.greatest(F.floor(F.col("total") / size), F.lit(1))
+    at = F.col("rn") - 1
+    return ranked.crossJoin(F.broadcast(total)).where((at % step == 0) & (at < step * size)).drop("rn", "total")
 
 
 def order_statistic(values: Column, form: str) -> Column:
-    """One of the percentile forms in use, over a group's collected values.
-
-    p95_low: place max(0, int(.95 n) - 1); p95_high: min(n - 1, int(.95 n)); p05: int(.05 n);
-    upper_median: n // 2.
-    """
-    a = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    place = {
-        "p95_low": F.greatest(F.floor(n * 0.95) - 1, F.lit(0)),
-        "p95_high": F.least(F.floor(n * 0.95), n - 1),
-        "p05": F.floor(n * 0.05),
-        "upper_median": F.floor(n / 2),
-    }[form]
-    return F.get(a, place.cast("int"))
+    """One of the percentile forms over a small group's collected values; ``ranks.order_statistics`` takes groups of any size."""
+    return F.get(F.sort_array(F.collect_list(values)), ranks.place_of(form, F.count(values)).cast("int"))
 
 
 def group_rates(rows: DataFrame, by: str, hit: Column, least: int = 3) -> DataFrame:

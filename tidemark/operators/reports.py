@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import evals
+from . import evals, ranks
 
 
 def convergence(rows: DataFrame, n_bins: int = 5) -> dict[str, DataFrame]:
@@ -45,22 +45,18 @@ def fitted_constants(rows: DataFrame) -> DataFrame:
 
 
 def cycled(symptoms: DataFrame, n: int, key: str) -> DataFrame:
-    """(run, symptom columns): ``n`` runs that take the symptoms in key order again and again.
-
-    For lists of bench symptoms: the places need one ordered pass.
-    """
-    placed = symptoms.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
-    total = symptoms.agg(F.count(F.lit(1)).alias("total"))
+    """(run, symptom columns): ``n`` runs that take the symptoms in key order again and again."""
+    placed, total = ranks.numbered(symptoms, [key])
     runs = symptoms.sparkSession.range(n).select(F.col("id").alias("run")).join(F.broadcast(total))
-    return runs.withColumn("place", (F.col("run") % F.col("total")).cast("int")).join(placed, "place").drop("place", "total")
+    return runs.withColumn("rn", F.col("run") % F.col("total") + 1).join(placed, "rn").drop("rn", "total")
 
 
 def latency_summary(runs: DataFrame, warm_up: int = 2) -> DataFrame:
     """Mean, 95th percentile, least and most of ``seconds``, the first ``warm_up`` runs left out; runs: run from 0."""
-    return runs.where(F.col("run") >= warm_up).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), evals.order_statistic(F.col("seconds"), "p95_low").alias("p95"),
-        F.min("seconds").alias("least"), F.max("seconds").alias("most"),
-    )
+    timed = runs.where(F.col("run") >= warm_up)
+    means = timed.agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+    p95 = ranks.order_statistics(timed, "seconds", ("p95_low",)).withColumnRenamed("p95_low", "p95")
+    return means.join(F.broadcast(p95)).select("n", "mean", "p95", "least", "most")
 
 
 def entity_occurrences(triples: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import analysis, evals, filters, graph, index, pages, reports, routing, sessions
+from .operators import analysis, evals, filters, graph, index, pages, ranks, reports, routing, sessions
 from .plans import diagnose
 from .plans.lineage import cut
 
@@ -689,8 +689,7 @@ SELECT event_type, v[CAST(greatest(floor(n * 0.95) - 1, 0) AS BIGINT) + 1] AS p9
   v[CAST(floor(n * 0.05) AS BIGINT) + 1] AS p05, v[n // 2 + 1] AS upper_median FROM a""",
 )
 def _(s, d):
-    forms = ("p95_low", "p95_high", "p05", "upper_median")
-    return _t(s, d, "events").groupBy("event_type").agg(*[evals.order_statistic(F.col("value"), f).alias(f) for f in forms])
+    return ranks.order_statistics(_t(s, d, "events"), "value", by=["event_type"])
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:

@@ -98,6 +98,7 @@ def test_alignment_in_slices_and_whole_texts(spark, pair, monkeypatch):
     once = Counter(tuple(r) for r in alignment.digests(tokens, pair).collect())
     assert Counter(tuple(r) for r in alignment.digests(tokens, pair, slice_pairs=300).collect()) == once
     monkeypatch.setattr(alignment, "_cuttable", lambda *_: False)
+    monkeypatch.setattr(alignment, "ranks", lambda _: None)
     assert Counter(tuple(r) for r in alignment.digests(alignment.encoded(df, pair), pair).collect()) == once
 
 
@@ -123,6 +124,12 @@ def test_alignment_of_nothing(spark, tables):
     assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")], key=str)
 
 
+def test_engines_agree_on_every_character(pair):
+    a, _ = encoders(pair)
+    texts = [f"x{chr(c)}x {chr(c)}1 {chr(c)} ,{chr(c)}" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    assert alignment.encoder_a(pair.definition)(texts) == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_vocabulary_holds_every_byte_and_the_other_file_agrees(pair):
     a, _ = encoders(pair)
     words, _ = token_bytes(pair)

@@ -153,6 +153,32 @@ def test_windows_against_brute_force():
         assert got == want
 
 
+@pytest.mark.parametrize("length", [15, 60, 100, 200, 400, 800, 1500])
+def test_no_passage_alike_in_eight_tenths_is_missed(length):
+    """Items of distinct words with a run replaced, about the edge of 0.8, alone and within a text."""
+    rng = random.Random(length)
+    fresh = iter(range(10**7))
+    items = [(i, " ".join(f"w{next(fresh)}" for _ in range(length))) for i in range(12)]
+    index = decontamination.Index(items)
+    tried = 0
+    for i, text in items:
+        words = text.split()
+        for share in (0.04, 0.1, 0.14, 0.16, 0.18, 0.195, 0.2):
+            run = max(1, round(length * share))
+            at = rng.randrange(length - run + 1)
+            changed = words[:at] + [f"x{next(fresh)}" for _ in range(run)] + words[at + run :]
+            around = [f"y{next(fresh)}" for _ in range(80)]
+            for whole, first in ((changed, 0), (around + changed + around, 80)):
+                got, _ = decontamination.words_of(*decontamination.folded(pa.array([" ".join(whole)])))
+                best = max(index.similarity(got[s : s + length], i) for s in range(max(0, first - 5), min(first + 5, len(got) - length) + 1))
+                found = {item for _, found in index.search(pa.array([" ".join(whole)])) for item, _, sim in found}
+                if best >= 0.8:
+                    assert i in found
+                    tried += 1
+                assert found <= {i}
+    assert tried > (15 if length < 60 else 40)
+
+
 def test_slices_of_the_benchmark_change_nothing(spark):
     rng = random.Random(12)
     common = sentence(rng, 8)
@@ -270,6 +296,33 @@ def test_blocks_lose_no_link(spark):
     assert [got.get(p, p) for p in part] == [want[p] for p in part] and len(set(want)) > 12
 
 
+def test_pages_of_one_template_do_not_meet(spark):
+    """2,000 half-alike sets, one group of candidates: no two share a rare shingle, so none is copied; alike ones still meet."""
+    rng = random.Random(33)
+    template = list(range(10**7, 10**7 + 100))
+    sets = [(k, sorted(template + [2 * 10**7 + 60 * k + j for j in range(50)])) for k in range(2000)]
+    twins = [(5000 + k, sorted(sets[k][1][:-8] + [3 * 10**7 + 10 * k + j for j in range(8)])) for k in range(30)]
+    held = spark.createDataFrame(sets + twins, "node long, shingles array<long>")
+    groups = defaultdict(list)
+    for r in similar.rare_groups(held).collect():
+        groups[r["group"]].append(r["node"])
+    assert sorted(sorted(g) for g in groups.values()) == [[k, 5000 + k] for k in range(30)]
+    links = spark.createDataFrame([(0, k) for k, _ in (sets + twins)[1:]], "a long, b long")
+    none = spark.createDataFrame([], "node long, root long")
+    more = similar.missed_links(links, none, held.selectExpr("node", "size(shingles) AS size"), held)
+    assert sorted(tuple(sorted(r)) for r in more.collect()) == [(k, 5000 + k) for k in range(30)]
+
+
+def test_rare_shingles_part_no_alike_sets(spark):
+    rng = random.Random(34)
+    bases = [rng.sample(range(300), 30) for _ in range(8)]
+    sets = [sorted({1000 + x for x in bases[k % 8] if rng.random() < 0.93} | {1000 + x for x in rng.sample(range(300), rng.randrange(4))}) for k in range(200)]
+    held = spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>")
+    group = dict(map(tuple, similar.rare_groups(held).collect()))
+    alike = [(i, j) for i in range(200) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    assert all(group[i] == group[j] for i, j in alike) and len(alike) > 50
+
+
 def test_whole_parts_are_not_compared(spark):
     links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long")

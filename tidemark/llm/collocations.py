@@ -6,9 +6,9 @@ side, are scored in exact decimals, give way to one-word extensions that hold ha
 their occurrences, and are ranked within their language.
 
 Most n-grams are too rare to matter.  Passes ahead add up occurrences by hash alone and
-note the hashes that reach ``least`` in a bitmap of fixed size: words and pairs first, then
-each longer kind, of which only those are counted whose two parts, one word shorter, have
-their bits set.  The last pass makes rows of the n-grams whose bit is set.  Every n-gram
+note the hashes that reach ``least`` in a bitmap of fixed size: words first, then each
+longer kind, of which only those are counted whose two parts, one word shorter, have their
+bits set.  The last pass makes rows of the n-grams whose bit is set.  Every n-gram
 that occurs ``least`` times has its bit set, whatever else shares it, as its parts occur as
 often, so nothing is lost: a fuller bitmap only lets more rare ones through to the exact counts.
 """
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ TOP = 2000
 UNKNOWN = "und"
 #: Bits of the bitmap, 16 MB, and of the hashes that are added up for it.
 SIEVE_BITS = 1 << 27
-HASH_BITS = 48
+HASH_BITS = 40
 #: Words that a kernel gathers before it adds up what is alike.
 BUFFER_WORDS = 1 << 19
 #: Rows of a batch that a kernel hands back.
@@ -117,8 +118,8 @@ def _set(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _hash_counts(lengths: tuple[int, ...], buffer_words: int, sieve: Broadcast | None, bits: int):
-    """Kernel: (h, n) of the hashes of n-grams of these lengths, alike ones of a buffer added up.
+def _hash_counts(length: int, buffer_words: int, sieve: Broadcast | None, bits: int):
+    """Kernel: (h, n) of the hashes of n-grams of this length, alike ones of a buffer added up.
 
     With ``sieve`` only n-grams take part whose first and last n - 1 words have their bits set.
     """
@@ -132,17 +133,16 @@ def _hash_counts(lengths: tuple[int, ...], buffer_words: int, sieve: Broadcast |
         bitmap = np.frombuffer(sieve.value, np.uint64) if sieve is not None else None
         held: list[np.ndarray] = []
         size = 0
-        for grams, _, _ in _texts(batches, max(lengths)):
-            for n in lengths:
-                hashes = grams.hash[n - 1]
-                if bitmap is not None:
-                    often = np.zeros(len(grams.rows), bool)
-                    often[grams.first[n - 2]] = _set(bitmap, grams.hash[n - 2], bits)
-                    first = grams.first[n - 1]
-                    hashes = hashes[often[first] & often[np.minimum(first + 1, max(len(often) - 1, 0))]]
-                held.append(hashes)
-                size += len(hashes)
-            if size >= 2 * buffer_words:
+        for grams, _, _ in _texts(batches, length):
+            hashes = grams.hash[-1]
+            if bitmap is not None:
+                often = np.zeros(len(grams.rows), bool)
+                often[grams.first[-2]] = _set(bitmap, grams.hash[-2], bits)
+                first = grams.first[-1]
+                hashes = hashes[often[first] & often[np.minimum(first + 1, max(len(often) - 1, 0))]]
+            held.append(hashes)
+            size += len(hashes)
+            if size >= buffer_words:
                 yield from emit(held)
                 held, size = [], 0
         if held:
@@ -152,7 +152,7 @@ def _hash_counts(lengths: tuple[int, ...], buffer_words: int, sieve: Broadcast |
 
 
 def _phrase_counts(max_words: int, buffer_words: int, sieve: Broadcast, bits: int):
-    """Kernel: (lang, phrase, words, n) of n-grams whose bit is set; words 0 counts all words of a language."""
+    """Kernel: (key, n) of n-grams whose bit is set, by phrase, tab and language; an empty phrase counts all words of a language."""
 
     def emit(held: list, totals: dict[str, int]) -> Iterator[pa.RecordBatch]:
         for words in range(1, max_words + 1):
@@ -166,15 +166,12 @@ def _phrase_counts(max_words: int, buffer_words: int, sieve: Broadcast, bits: in
             keys, n = np.unique(coded.indices.to_numpy() * np.int64(len(names)) + lang, return_counts=True)
             for a in range(0, len(keys), OUT_ROWS):
                 part = keys[a : a + OUT_ROWS]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(names).take(pa.array(part % len(names))),
-                    coded.dictionary.take(pa.array(part // len(names))).cast(pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(part), words, np.int32)), pa.array(n[a : a + OUT_ROWS]),
-                ], ["lang", "phrase", "words", "n"])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()),
-            pa.array([0] * len(totals), pa.int32()), pa.array(list(totals.values()), pa.int64()),
-        ], ["lang", "phrase", "words", "n"])
+                phrase = coded.dictionary.take(pa.array(part // len(names))).cast(pa.binary()).cast(pa.string())
+                key = pc.binary_join_element_wise(phrase, pa.array(names).take(pa.array(part % len(names))), "\t")
+                yield pa.RecordBatch.from_arrays([key, pa.array(n[a : a + OUT_ROWS])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["\t" + name for name in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], ["key", "n"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sieve.value, np.uint64)
@@ -206,8 +203,8 @@ def sieve_of(docs: DataFrame, least: int, max_words: int, bits: int = SIEVE_BITS
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     bitmap = np.zeros(bits // 64, np.int64)
     sieve = None
-    for lengths in [tuple(range(1, min(max_words, 2) + 1)), *((n,) for n in range(3, max_words + 1))]:
-        counts = docs.mapInArrow(_hash_counts(lengths, buffer_words, sieve, bits), "h long, n long")
+    for length in range(1, max_words + 1):
+        counts = docs.mapInArrow(_hash_counts(length, buffer_words, sieve, bits), "h long, n long")
         often = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         got = often.groupBy(F.shiftright(slot, 6).cast("int").alias("cell")).agg(F.bit_or(bit).alias("set")).toArrow()
         bitmap[got.column("cell").to_numpy()] |= got.column("set").to_numpy()
@@ -224,10 +221,12 @@ def phrase_counts(
     """
     texts = docs.select("text", "lang")
     sieve = sieve_of(texts, least, max_words, bits, buffer_words)
-    rows = texts.mapInArrow(
-        _phrase_counts(max_words, buffer_words, sieve, bits), "lang string, phrase string, words int, n long"
+    rows = texts.mapInArrow(_phrase_counts(max_words, buffer_words, sieve, bits), "key string, n long")
+    counts = rows.groupBy("key").agg(F.sum("n").alias("f")).withColumn("phrase", F.substring_index("key", "\t", 1))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return counts.select(F.expr("substring(key, length(phrase) + 2)").alias("lang"), "phrase", words.alias("words"), "f").where(
+        (F.col("words") == 0) | (F.col("f") >= least)
     )
-    return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 
 
 def scored(counts: DataFrame) -> DataFrame:

@@ -9,23 +9,42 @@ from ..functions.text import short_terms
 from ..plans.lineage import cut
 
 
-def resolve_links(segments: DataFrame, always_two: bool = False) -> DataFrame:
-    """(src, dst, seq): segments that share enough tokens with a link's text.
+def link_candidates(segments: DataFrame, always_two: bool = False) -> DataFrame:
+    """(src, link, need, toks, dst): segments that hold one of a link's rarest tokens.
 
-    segments: ord, links array<string>, label string.  A link of one or two tokens needs
-    one shared token, a longer one half of its tokens and two at least (``always_two``:
-    two for every link).  Targets are numbered by link and then ``ord``.
+    A target shares ``need`` of the link's n tokens, so it holds one of any n - need + 1 of
+    them; the ones that fewest labels hold are asked for.  A token that is everywhere is
+    asked for only by links that one token is enough for.
     """
     links = segments.select(F.col("ord").alias("src"), F.posexplode("links").alias("link", "text")).select(
         "src", "link", F.array_distinct(short_terms(F.col("text"))).alias("toks")
     )
     n = F.size("toks")
     half = F.greatest(F.lit(2), F.floor(n / 2)).cast("int")
-    need = half if always_two else F.when(n <= 2, 1).otherwise(half)
-    asked = links.select("src", "link", need.alias("need"), F.explode("toks").alias("tok"))
+    need = F.lit(2) if always_two else F.when(n <= 2, 1).otherwise(half)
     held = segments.select(F.col("ord").alias("dst"), F.explode(F.array_distinct(short_terms(F.col("label")))).alias("tok"))
-    met = asked.join(held, "tok").where("src <> dst").groupBy("src", "link", "need", "dst").agg(F.count(F.lit(1)).alias("n"))
-    edges = met.where("n >= need").groupBy("src", "dst").agg(F.min("link").alias("link"))
+    often = held.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # A token that no label holds is the rarest; it takes a place and finds nothing.
+    ranked = links.withColumn("need", need).select("src", "link", "need", "toks", F.explode("toks").alias("tok")).join(often, "tok", "left")
+    first = ranked.groupBy("src", "link").agg(
+        F.first("need").alias("need"), F.first("toks").alias("toks"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("all")
+    )
+    some = F.slice("all", 1, F.greatest(F.size("toks") - F.col("need") + 1, F.lit(0)))
+    asked = first.select("src", "link", "need", "toks", F.explode(F.filter(some, lambda t: t["df"] > 0)).alias("t")).select("src", "link", "need", "toks", "t.tok")
+    return asked.join(held, "tok").where("src <> dst").select("src", "link", "need", "toks", "dst").distinct()
+
+
+def resolve_links(segments: DataFrame, always_two: bool = False) -> DataFrame:
+    """(src, dst, seq): segments that share enough tokens with a link's text.
+
+    segments: ord, links array<string>, label string.  A link of one or two tokens needs
+    one shared token, a longer one half of its tokens and two at least (``always_two``:
+    two for every link).  Targets are numbered by link and then ``ord``.  Only candidates by
+    rare tokens are counted exactly.
+    """
+    labels = segments.select(F.col("ord").alias("dst"), F.array_distinct(short_terms(F.col("label"))).alias("own"))
+    met = link_candidates(segments, always_two).join(labels, "dst").where(F.size(F.array_intersect("toks", "own")) >= F.col("need"))
+    edges = met.groupBy("src", "dst").agg(F.min("link").alias("link"))
     return edges.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("link", "dst")).alias("seq"))
 
 

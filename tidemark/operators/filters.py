@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -22,6 +24,31 @@ def clean_corpus(segments: DataFrame, raw: str = "raw_text") -> DataFrame:
     return segments.where(~is_boilerplate(F.col(raw)))
 
 
+def counted_corpus(segments: DataFrame, raw: str = "raw_text", low: float = 70.0, reasons: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[], dict]]:
+    """(the segments that ``clean_corpus`` keeps, what tells the ingest's figures once they were read).
+
+    The figures are gathered in the pass that filters: n_segments, n_kept, n_dropped, n_subsystem, n_symptoms,
+    mean_confidence (null without any), n_low (confidence below ``low``) and, with a column
+    ``failure``, n_failures and a count of each of ``reasons`` before the first colon; ``failures_other``
+    counts the rest.  The second value waits for a read of the first, whole, and gives that read's figures.
+    """
+    seen = Observation()
+    dropped = is_boilerplate(F.col(raw))
+    held = lambda c, test: F.count_if(test if c in segments.columns else F.lit(False))
+    figures = [
+        F.count(F.lit(1)).alias("n_segments"), F.count_if(~dropped).alias("n_kept"), F.count_if(dropped).alias("n_dropped"),
+        held("subsystem", F.col("subsystem") != "").alias("n_subsystem"), held("symptoms", F.size("symptoms") > 0).alias("n_symptoms"),
+    ]
+    if "ocr_confidence" in segments.columns:
+        figures += [F.avg("ocr_confidence").alias("mean_confidence"), F.count_if(F.col("ocr_confidence") < low).alias("n_low")]
+    if "failure" in segments.columns:
+        reason = F.split("failure", ":")[0]
+        figures.append(F.count("failure").alias("n_failures"))
+        figures += [F.count_if(reason == r).alias(f"failures_{r}") for r in reasons]
+        figures.append(F.count_if(reason.isNotNull() & ~reason.isin(*reasons)).alias("failures_other"))
+    return segments.observe(seen, *figures).where(~dropped), lambda: seen.get
+
+
 def out_of_domain(symptom: Column) -> Column:
     """The leftmost term of equipment that no manual covers, as written; null within the domain."""
     found = F.regexp_extract(F.coalesce(symptom, F.lit("")), "(?i)" + "|".join(L.OUT_OF_DOMAIN), 0)

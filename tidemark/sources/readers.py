@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructType
@@ -28,6 +28,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     rows = whole.select(
         F.coalesce(F.from_json("value", f"array<struct<{SEGMENT}>>"), F.from_json("value", f"segments array<struct<{SEGMENT}>>")["segments"]).alias("s")
     ).select(F.posexplode("s").alias("ord", "s")).select("ord", "s.*")
+    return _with_defaults(rows)
+
+
+def _with_defaults(rows: DataFrame) -> DataFrame:
     texts = [c for c, t in rows.dtypes if t == "string" and c != "id"]
     lists = [c for c, t in rows.dtypes if t == "array<string>"]
     return rows.withColumns(
@@ -37,6 +41,56 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What parts a file of a JSON array: the end of an object that another value follows.
+_SEPARATOR = "},"
+
+
+def read_array(spark: SparkSession, path: str, schema: str = SEGMENT) -> DataFrame:
+    """(ord, fields): the objects of one file's JSON array, read by as many tasks as the file has splits.
+
+    The file is cut wherever an object ends before a comma, be that within an object or a
+    string.  Quotes and brackets are added up over the pieces, within a split and over the
+    splits before it, which tells where elements end; their pieces are put together
+    again.  ``ord`` is the place in the array however the file is split.  Elements that aren't
+    objects of ``schema`` have nulls; an element lies within two splits at most if it is no longer than one.
+    """
+    pieces = spark.read.text(path, lineSep=_SEPARATOR).select(
+        "value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
+    )
+    order = Window.partitionBy("split").orderBy("id")
+    # Escapes stand in strings only, so quotes that are left open and close strings in turn.
+    bare = pieces.select("split", "id", "value", F.regexp_replace(F.concat("value", F.lit(_SEPARATOR)), r"(?s)\\.", "").alias("bare"))
+
+    def summed(rows: DataFrame, of: Column, name: str) -> DataFrame:
+        """``rows`` with the sum of ``of`` over all pieces before."""
+        rows = rows.withColumn("__x", of)
+        # A row for each split.
+        splits = rows.groupBy("split").agg(F.sum("__x").alias("__all"))
+        splits = splits.select("split", (F.sum("__all").over(Window.orderBy("split")) - F.col("__all")).alias("__before"))
+        here = F.sum("__x").over(order) - F.col("__x")
+        return rows.withColumn(name, here).join(F.broadcast(splits), "split").withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+
+    quoted = summed(bare, F.regexp_count("bare", F.lit('"')), "quotes").drop("__x")
+    outside = F.regexp_replace(F.concat(F.when(F.col("quotes") % 2 == 1, '"').otherwise(""), "bare"), '"[^"]*("|$)', "")
+    turns = F.regexp_count(outside, F.lit(r"[\[{]")) - F.regexp_count(outside, F.lit(r"[\]}]"))
+    deep = summed(quoted, turns, "depth").withColumn("after", F.col("depth") + F.col("__x")).drop("__x", "bare")
+    closed = (F.col("after") == 1).cast("int")
+    numbered = summed(deep, closed, "ord").drop("__x")
+    joined = numbered.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("split", "id", "value"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["value"]), _SEPARATOR)
+    last = F.broadcast(numbered.agg(F.max("ord").alias("last")))
+    # The first element opens with the array and the last one closes it; all others lost their end.
+    text = F.regexp_replace(text, r"^\s*\[", "")
+    whole = F.when(F.col("ord") == F.col("last"), F.regexp_replace(text, r"\s*\]\s*$", "")).otherwise(F.concat(text, F.lit("}")))
+    elements = joined.join(last).select(F.col("ord").cast("long").alias("ord"), whole.alias("text")).where(F.trim("text") != "")
+    return elements.select("ord", F.from_json("text", schema).alias("s")).select("ord", "s.*")
+
+
+def read_corpus_split(spark: SparkSession, path: str) -> DataFrame:
+    """``read_corpus`` of a file that is one array, by many tasks."""
+    return _with_defaults(read_array(spark, path))
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
     """One JSON object a line; a bad line fails the read, or is left out if ``tolerant``."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")

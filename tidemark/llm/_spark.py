@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -43,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that shuffle files of DataFrames that are gone leave the disks now.
+
+    Spark removes them when the driver's JVM happens to do so, half an hour apart by default;
+    between two passes over a corpus that is a whole shuffle too late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` in a partition for each ``FILE_ROWS`` of ``most_rows``; steps over one alone need no shuffle."""
     return df.coalesce(max(1, -(-most_rows // FILE_ROWS)))

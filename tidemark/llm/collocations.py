@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 from . import ship_by_value
 from ._bytes import LOWER, SpanHash, buffers, kind_table, mix, pieces, runs
-from ._spark import checkpointed, table
+from ._spark import checkpointed, release, table
 
 MAX_WORDS = 3
 LEAST = 10
@@ -209,6 +209,8 @@ def sieve_of(docs: DataFrame, least: int, max_words: int, bits: int = SIEVE_BITS
         got = often.groupBy(F.shiftright(slot, 6).cast("int").alias("cell")).agg(F.bit_or(bit).alias("set")).toArrow()
         bitmap[got.column("cell").to_numpy()] |= got.column("set").to_numpy()
         sieve = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+        del counts, often, got
+        release(docs.sparkSession)
     return sieve
 
 
@@ -235,13 +237,14 @@ def scored(counts: DataFrame) -> DataFrame:
     Products are decimals of 38 digits, exact up to 1e16 occurrences of a phrase.
     """
     known = counts.select("lang", "phrase", "f")
+    # A cut is its two parts, so that no phrase travels twice.
     cut = counts.where("words >= 2").select(
-        "lang", "phrase", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
+        "lang", "words", F.col("f").alias("a"), "phrase", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
     ).withColumn("head", F.expr("substring_index(phrase, ' ', k)"))
-    cut = cut.withColumn("rest", F.expr("substring(phrase, length(head) + 2)"))
+    cut = cut.select("lang", "words", "a", "k", "head", F.expr("substring(phrase, length(head) + 2)").alias("rest"))
     met = cut.join(known.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(
         known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]
-    )
+    ).select("lang", F.concat_ws(" ", "head", "rest").alias("phrase"), "words", "a", "k", "l", "r")
     exact = F.expr("(cast(1000000 as decimal(7, 0)) * (cast(a as decimal(19, 0)) * cast(a as decimal(19, 0)))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     least = F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("least")
     return met.groupBy("lang", "phrase", "words", "a").agg(least).select(
@@ -265,9 +268,13 @@ def unextended(candidates: DataFrame, counts: DataFrame, share: int = SHARE) ->
 
 
 def ranked(candidates: DataFrame, top: int = TOP, parts: int = PARTS) -> DataFrame:
-    """The first ``top`` of each language, with ``rank``; parts of a language are ranked first, so no task sorts a whole one."""
+    """The first ``top`` of each language, with ``rank``.
+
+    Each task's rows are of one of ``parts``, which are ranked first: what leaves a task, and
+    what meets in the last ranking, is ``top`` rows of a language at most.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
     first = candidates.withColumn("part", part).withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
     ).where(F.col("rank") <= top).drop("rank", "part")

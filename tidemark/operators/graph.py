@@ -161,6 +161,37 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3, fanout: int = 5) ->
     return seen
 
 
+#: What a walk goes by: the best score; the weight of new terms; new terms, above a fifth of the entry's score.
+CRITERIA = {"bm25": None, "coverage": 0.0, "coverage_guarded": 0.2}
+
+
+def chase_by(
+    criterion: str, entries: DataFrame, edges: DataFrame, scores: DataFrame, seg_terms: DataFrame, idf: DataFrame, rel: float = 0.5, max_depth: int = 4
+) -> DataFrame:
+    """(query_id, chain, path) by one of ``CRITERIA``; ``rel`` bounds the walk by score alone."""
+    floor = CRITERIA[criterion]
+    if floor is None:
+        return chase(entries, edges, scores, rel, max_depth)
+    return chase_coverage(entries, edges, seg_terms, idf, scores, floor, max_depth)
+
+
+def symptom_seeds(segments: DataFrame, queries: DataFrame, text: str, entries: int = 3) -> DataFrame:
+    """(query_id, node): the ``entries`` segments with symptoms that share most terms with a query, one at least; ties by ``ord``.
+
+    segments: ord, symptoms and ``text``; queries: query_id, symptom.
+    """
+    own = segments.where(F.size("symptoms") > 0).select("ord", F.explode(F.array_distinct(short_terms(F.col(text)))).alias("tok"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(short_terms(F.col("symptom")))).alias("tok"))
+    met = own.join(asked, "tok").groupBy("query_id", "ord").agg(F.count(F.lit(1)).alias("overlap"))
+    placed = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "ord")))
+    return placed.where(F.col("r") <= entries).select("query_id", F.col("ord").alias("node"))
+
+
+def chain_reach(segments: DataFrame, edges: DataFrame, queries: DataFrame, text: str, hops: int = 3, entries: int = 3, fanout: int = 5) -> DataFrame:
+    """(query_id, node, hop): segments within ``hops`` of a query's best symptom segments; a query that matches none has no row."""
+    return reach(symptom_seeds(segments, queries, text, entries), edges, hops, fanout)
+
+
 def route(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(query_id, node, cost): least sum of edge costs from the seeds, to every node in reach.
 

@@ -97,6 +97,23 @@ def render_chains(paths: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def nested_chains(paths: DataFrame, segments: DataFrame) -> DataFrame:
+    """(query_id, chains): the same chains as ``render_chains`` as nested rows, in chain order.
+
+    A chain has its number, entry_doc, n_steps and steps (tag, label, doc, snippet of 120 characters, id);
+    segments: ord, id, source_doc, component, signature, raw_text.
+    """
+    steps = paths.select("query_id", "chain", F.posexplode("path").alias("p", "ord")).join(segments, "ord")
+    step = F.struct(
+        F.format_string("[C%d.%d]", F.col("chain"), F.col("p") + 1).alias("tag"), step_label(F.col("component"), F.col("signature")).alias("label"),
+        F.col("source_doc").alias("doc"), F.substring(collapse(F.col("raw_text"), 180), 1, 120).alias("snippet"), F.col("id"),
+    )
+    each = steps.groupBy("query_id", "chain").agg(F.array_sort(F.collect_list(F.struct("p", step.alias("step")))).alias("s"))
+    listed = F.transform("s", lambda x: x["step"])
+    chain = F.struct("chain", F.get(listed, F.lit(0))["doc"].alias("entry_doc"), F.size("s").alias("n_steps"), listed.alias("steps"))
+    return each.groupBy("query_id").agg(F.array_sort(F.collect_list(chain)).alias("chains"))
+
+
 def diagnose_chains(
     symptoms: DataFrame, segments: DataFrame, edges: DataFrame, entries: int = 8, pool: int = 16, rel: float = 0.4, depth: int = 3,
     gate: bool = True, generate: Generator = echo_generator,

@@ -133,7 +133,8 @@ def places(words: Column, phrase: str) -> Column:
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and voted templates of every document.
 
-    Null and empty texts have no word and no label.  Repeated rows stay repeated.
+    Null and empty texts have no word and no label.  Null ids are kept, repeated rows stay
+    repeated, an empty table gives an empty result.
     """
     marked = checkpointed(scanned(table(spark, sf_dir, "documents")))
     found = matches(marked.where("template is not null")).groupBy("row").agg(

@@ -107,7 +107,9 @@ def judge(pages: DataFrame, trie: Trie) -> DataFrame:
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page; pages that no rule fits are allowed.
 
-    A null url or one without ``://`` has an empty host and path, which no rule fits.
+    A null url or one without ``://`` has an empty host and path, which no rule fits.  Null
+    ids are kept, repeated rows are judged as often as they stand, an empty table gives an
+    empty result; columns beside page_id and url are not read.
     """
     return judge(table(spark, sf_dir, "pages"), Trie(RULES))
 

@@ -1,6 +1,8 @@
 """The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
-Each stage works on all rows its predecessor kept and reads them from Parquet.
+Each stage works on all rows its predecessor kept and reads them from Parquet.  Null ids
+and null texts are rows like any other, an empty table stays empty, columns may have any
+names and all but the last stage return them as they were.
 """
 
 from __future__ import annotations
@@ -17,28 +19,41 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps (score of 0.3 or more)."""
+    """Documents that the quality classifier keeps (score of 0.3 or more).
+
+    Null and empty texts are scored by the bias alone; repeated rows stay or go together;
+    without labels all stay.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the smallest doc_id."""
+    """One document of each group of near duplicates, the smallest doc_id (null ids last).
+
+    Texts without a word are alike; repeated rows are one.
+    """
     return similar.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; texts without a word hold none, an empty benchmark keeps all."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shuffled within output shards."""
+    """Documents as often as the mix takes them, shuffled within output shards.
+
+    A null source is one of its own; texts without a word have size 0 and go with their block of the source.
+    """
     return mixing.mix_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot; slots keep the order of the mix."""
+    """Documents with their shard and slot; slots keep the order of the mix.
+
+    Repeated rows are dealt like others; columns of those names are renamed.
+    """
     return sharding.shard_documents(docs)
 
 

@@ -5,9 +5,12 @@ read in, into blocks of at most ``BLOCK`` rows that hold one posting list per
 component: places and weights of the rows where it isn't zero.  Queries are packed into
 blocks of sparse rows.  Every query block meets every candidate block once, in a grid of
 stripes of candidate blocks and groups of query blocks: a candidate block goes out once
-for each ``GROUP`` query blocks and a query block ``STRIPES`` times at most.  There, term by term, a query's weight scatters the weighted postings
-into a dense integer score array, a partition selects the block's best, and a window
-merges the blocks' lists.  Scores are exact integers.
+for each ``GROUP`` query blocks and a query block once for each stripe.  A stripe holds
+``STRIPE`` candidate blocks at most, so there are as many tasks as the grid has cells
+however large it grows; fewer blocks are dealt to ``STRIPES`` stripes.  There, term by
+term, a query's weight scatters the weighted postings into a dense integer score array,
+a partition selects the block's best, and a window merges the blocks' lists.  Scores are
+exact integers.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ SCALE = 1024.0
 QUERY_MODULUS = 100
 BLOCK = 4096
 QUERY_BLOCK = 1024
-STRIPES = 64
+#: Stripes that a small table is dealt to, and candidate blocks of one stripe of a large one.
+STRIPES, STRIPE = 64, 64
 #: Query blocks that meet a stripe of candidates together, some 32 MB.
 GROUP = 64
 _PACKED = "block long, n int, ids binary, values binary"
@@ -108,11 +112,15 @@ def best_of_block(query: np.ndarray, own: int, lists: list, ids: np.ndarray, k:
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for k_row in range(batch.num_rows):
+                r = batch.slice(k_row, 1).to_pylist()[0]
                 qid, qlen, qval = _unpack(r["qn"], r["qids"], r["qvalues"])
-                ids, lengths, values = _unpack(r["n"], r["ids"], r["values"])
-                lists = postings(lengths, values)
+                # The query blocks that a candidate block meets follow each other.
+                if r["block"] != block:
+                    block, (ids, lengths, values) = r["block"], _unpack(r["n"], r["ids"], r["values"])
+                    lists = postings(lengths, values)
                 ends = np.cumsum(qlen)
                 cols: list[list[np.ndarray]] = [[], [], [], []]
                 for q in range(len(qid)):
@@ -134,7 +142,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     n_queries = queries.count()
     asked = queries.repartition(max(1, math.ceil(n_queries / query_block))).mapInArrow(_packer(query_block), _PACKED)
     asked = checkpointed(asked.toDF("qblock", "qn", "qids", "qvalues"))
-    stripes, groups = max(1, min(packed.count(), STRIPES)), max(1, math.ceil(asked.count() / GROUP))
+    blocks = packed.count()
+    stripes, groups = max(1, min(blocks, STRIPES), math.ceil(blocks / STRIPE)), max(1, math.ceil(asked.count() / GROUP))
     left = packed.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int")).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )

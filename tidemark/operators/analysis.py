@@ -41,13 +41,13 @@ def strong_terms(rows: DataFrame, terms: Column, idf: DataFrame, cut: float = L.
     return own.join(idf.select("tok", "idf"), "tok").where(F.col("idf") >= cut).select("id", "tok", "idf")
 
 
-def components(rows: DataFrame, terms: Column, idf: DataFrame) -> DataFrame:
-    """(id, part, idf, place): rare part nouns of a cause, the rarest first.
+def components(rows: DataFrame, terms: Column, idf: DataFrame, cut: float = L.STRONG_IDF) -> DataFrame:
+    """(id, part, idf, place): part nouns of a cause with an idf of ``cut`` or more, the rarest first.
 
     Hyphenated terms fall into their pieces of four letters or more, but for whole part
     names; mechanisms and words in -ing or -ed are no parts.
     """
-    rare = strong_terms(rows, terms, idf)
+    rare = strong_terms(rows, terms, idf, cut)
     pieces = F.when(
         F.contains("tok", F.lit("-")) & ~F.col("tok").isin(*WHOLE_PARTS),
         F.filter(F.split("tok", "-"), lambda p: F.length(p) >= 4),

@@ -249,6 +249,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, alpha: float = 0.85, tol: fl
         moved = rank.join(before.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         if (moved or 0.0) < n * tol:
             break
+    else:
+        raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
     return rank.union(lone.select("node", F.lit(base)))
 
 

@@ -898,8 +898,8 @@ SELECT id, part, round(idf, 6) AS idf, CAST(row_number() OVER (PARTITION BY id O
 def _(s, d):
     rows = _causes(s, d)
     idf = evals.idf_table(rows, F.col("terms")).withColumn("idf", F.round("idf", 9))
-    strong = idf.where("idf >= 1.0").withColumn("idf", F.col("idf") + L.STRONG_IDF)  # small tables have no idf of 2.5
-    return analysis.components(rows, F.col("terms"), strong).select("id", "part", F.round(F.col("idf") - L.STRONG_IDF, 6).alias("idf"), "place")
+    # Few suppliers give no idf of 2.5.
+    return analysis.components(rows, F.col("terms"), idf, cut=1.0).select("id", "part", _r("idf"), "place")
 
 
 @query(
@@ -916,9 +916,13 @@ def _(s, d):
 _KIND = f"CASE WHEN regexp_matches(w, {_q('(?i)' + L.WHERE)}) AND regexp_matches(w, {_q('(?i)' + L.WHY)}) THEN 'both' WHEN regexp_matches(w, {_q('(?i)' + L.WHERE)}) THEN 'where' WHEN regexp_matches(w, {_q('(?i)' + L.WHY)}) THEN 'why' ELSE 'other' END"
 
 
-@query("term_kinds", f"WITH p AS (SELECT unnest({_PARTS} || ['short circuit', 'bus']) AS w) SELECT w AS term, {_KIND} AS kind FROM p")
+@query(
+    "term_kinds",
+    f"WITH t AS (SELECT w, count(*) AS n FROM (SELECT unnest({CONTENT.format('text')}) AS w FROM documents) GROUP BY w) SELECT w AS term, {_KIND} AS kind, n FROM t",
+)
 def _(s, d):
-    return s.range(1).select(F.explode(T.words((*_PART_WORDS, "short circuit", "bus"))).alias("term")).select("term", analysis.term_kind(F.col("term")).alias("kind"))
+    terms = _t(s, d, "documents").select(F.explode(T.content_terms(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", analysis.term_kind(F.col("term")).alias("kind"), "n")
 
 
 @query(

@@ -215,3 +215,28 @@ AFTERMATH_LOCATION = (
     r"teardown|closed\b|no hardware|warranted|redesign|modif|relocated|improved|corrective|recommend|"
     r"powered down|lifeboat|recycl"
 )
+
+# Parts of symptoms and the subsystem each belongs to, in order, of two studies.
+MISSION_SUBSYSTEMS = (
+    ("FDAI attitude jumped", "GNC"), ("docking probe would not extend", "structures"),
+    ("cabin pressure dropped rapidly after LM jettison", "structures"),
+    ("docking probe will not capture", "structures"), ("landing radar will not lock", "GNC"),
+    ("water leaking from the chlorine", "ECLSS"),
+    ("AC bus 2 and DC bus B undervolt", "EPS"), ("SPS secondary yaw gimbal servo", "SPS"),
+    ("erroneous gimbal-lock indication", "GNC"), ("spurious master alarms with no caution", "EPS"),
+    ("EMS accelerometer null-bias shift", "GNC"),
+)
+SIGNAL_SUBSYSTEMS = (
+    ("FDAI attitude jumped", "GNC"), ("docking probe would not extend", "structures"),
+    ("cabin pressure dropped rapidly after LM jettison", "structures"), ("1202 and 1201 program alarms", "GNC"),
+    ("lightning strike at launch", "EPS"), ("docking probe will not capture", "structures"),
+    ("landing radar will not lock", "GNC"), ("SPS thrust light on the EMS", "SPS"),
+    ("water leaking from the chlorine", "ECLSS"), ("AC bus 2 and DC bus B undervolt", "EPS"),
+    ("SPS secondary yaw gimbal servo", "SPS"), ("erroneous gimbal-lock indication", "GNC"),
+    ("spurious master alarms with no caution", "EPS"), ("EMS accelerometer null-bias shift", "GNC"),
+)
+
+# What a diagnosis says that powers the command module down or uses the lander as a lifeboat.
+POWER_DOWN = ("power down", "powerdown", "power-down", "conserve", "preserve reentry")
+LANDER = ("lunar module", "lm ", "lifeboat")
+LANDER_USE = ("lifeboat", "power up", "power-up", "descent batter", "aquarius")

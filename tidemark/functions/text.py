@@ -97,6 +97,22 @@ def alnum_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def long_tokens(c: Column, least: int = 3) -> Column:
+    """``alnum_tokens`` of ``least`` characters or more."""
+    return F.filter(alnum_tokens(c), lambda t: F.length(t) >= least)
+
+
+def chain_text(component: Column, signature: Column, raw: Column) -> Column:
+    """A node's description within a chain: the first of the three that isn't empty, collapsed to 200 characters."""
+    first = F.coalesce(F.nullif(component, F.lit("")), F.nullif(signature, F.lit("")), raw)
+    return collapse(first, 200)
+
+
+def response_text(body: Column) -> Column:
+    """What a chat model's JSON answer says, ``message.content``; null without it."""
+    return F.get_json_object(body, "$.message.content")
+
+
 def half_even(c: Column, places: int = 0) -> Column:
     """Rounded with ties to the even neighbour."""
     return F.bround(c, places)
@@ -110,10 +126,11 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]", "")
 
 
-def turns(c: Column, least: int = 12) -> Column:
-    """Clauses after ``.`` or ``;`` and space, of ``least`` characters or more; else the whole text."""
+def turns(c: Column, least: int = 12, most: int | None = None) -> Column:
+    """Clauses after ``.`` or ``;`` and space, of ``least`` characters or more, the first ``most`` of them; else the whole text."""
     cut = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"([.;])\s+", "$1\u0001"), "\u0001")
     kept = F.filter(F.transform(cut, strip), lambda s: F.length(s) >= least)
+    kept = kept if most is None else F.slice(kept, 1, most)
     return F.get(F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(strip(F.coalesce(c, F.lit("")))))), F.lit(0))
 
 

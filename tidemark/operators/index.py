@@ -114,3 +114,19 @@ def fuse_rankings(ranked: DataFrame, weights: dict[str, float], k: int = 60) ->
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     used = ranked.where(F.col("list").isin(*weights))
     return used.groupBy("query_id", "id").agg(F.sum(F.try_element_at(weight, F.col("list")) / (k + F.col("pos") + 1)).alias("score"))
+
+
+def fuse_lists(ranked: DataFrame, weights: list[float] | None = None, k: int = 60) -> DataFrame:
+    """(query_id, id, score, place): fusion of rows (query_id, list from 0, pos from 0, id) by their lists' order.
+
+    With ``weights`` only as many lists count as there are weights; without, each counts 1.  An id that stands
+    twice in a list counts twice; ties go to the one seen first, by list and place.
+    """
+    if weights is None:
+        used, weight = ranked, F.lit(1.0)
+    else:
+        used = ranked.where(F.col("list") < len(weights))
+        weight = F.get(F.array(*map(F.lit, weights)) if weights else F.array().cast("array<double>"), F.col("list").cast("int"))
+    scored = used.groupBy("query_id", "id").agg(F.sum(weight / (k + F.col("pos") + 1)).alias("score"), F.min(F.struct("list", "pos")).alias("seen"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
+    return scored.select("query_id", "id", "score", F.row_number().over(order).alias("place"))

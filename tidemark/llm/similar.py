@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import ship_by_value
 from ._bytes import LOWER, SpanHash, buffers, kind_table, mix, pieces, runs
-from ._spark import checkpointed, packed, sent
+from ._spark import BROADCAST_ROWS, checkpointed, packed, sent
 from .components import connected_components, least_roots
 from .neardup import row_key
 
@@ -346,28 +346,30 @@ def _meet_exactly(similarity: float):
     return run
 
 
-def rare_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def rare_groups(sets: DataFrame, similarity: float = SIMILARITY, n_sets: int = 1 << 40, volume: int = 1 << 40) -> DataFrame:
     """(node, group): sets (node, shingles) that hang together by shared rare shingles; sets that share none have no row.
 
     Two sets alike in ``similarity`` share at least that part of either, so each has one of
     the shared ones among the first (1 - similarity) of its shingles and one more, in any
     order that is the same for all sets.  By rarity, few sets meet in a shingle.  Shingles of
-    one set are shared by none and stay out, though they count as first ones.
+    one set are shared by none and stay out, though they count as first ones.  ``n_sets`` and
+    ``volume`` tell how many sets and shingles there are at most; small tables are packed.
     """
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = each.join(common, "shingle", "left").select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
+    marked = each.join(sent(common, volume // 2), "shingle", "left").select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
     held = marked.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("all"))
     size = F.size("all")
     first = F.slice("all", 1, (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
     edges = held.select(F.col("node").alias("a"), F.explode(F.filter(first, lambda s: s["n"] > 1)).alias("s")).select("a", F.col("s.shingle").alias("b"))
+    edges = checkpointed(edges, volume) if volume <= BROADCAST_ROWS else checkpointed(edges)
     # A shingle stands for those that share it; one that happens to equal a node's number only joins two groups.
-    return connected_components(checkpointed(edges)).toDF("node", "group").join(sets.select("node"), "node", "left_semi")
+    return connected_components(edges).toDF("node", "group").join(sent(sets.select("node"), n_sets), "node", "left_semi")
 
 
 def _in_several(members: DataFrame, n: int) -> DataFrame:
     """The rows of ``members`` (node, group, part, size), ``n`` at most, whose group has several parts."""
-    several = members.groupBy("group").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("group")
+    several = members.groupBy("group").agg((F.min("part") != F.max("part")).alias("several")).where("several").select("group")
     return members.join(sent(several, n), "group", "left_semi").select("node", "group", "part", "size")
 
 
@@ -388,11 +390,11 @@ def missed_links(
     part = sent(roots.toDF("node", "part"), n)
     members = group.join(part, "node", "left").select("node", "group", F.coalesce("part", "node").alias("part"))
     members = packed(checkpointed(sizes.join(sent(members, n), "node").select("node", "group", "part", "size"), n), n)
-    torn = _in_several(members, n)
-    n_torn = torn.count()
+    torn = packed(checkpointed(_in_several(members, n), n), n)
+    n_torn, volume = torn.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not n_torn:
         return None
-    near = rare_groups(torn.select("node").join(sets, "node"), similarity).withColumnRenamed("group", "near")
+    near = rare_groups(sets.join(sent(torn.select("node"), n_torn), "node"), similarity, n_torn, volume).withColumnRenamed("group", "near")
     # Two groups that happen to get one number are compared as one.
     members = torn.join(sent(near, n_torn), "node").select("node", F.xxhash64("group", "near").alias("group"), "part", "size")
     members = packed(checkpointed(members, n_torn), n_torn)

@@ -17,6 +17,8 @@ from ..plans.lineage import cut
 FORMS = ("p95_low", "p95_high", "p05", "upper_median")
 #: numpy draws from urns of fewer than this.
 _URN = 10**9
+#: Different scores that one task draws for.
+BINS = 10_000
 
 
 def _ranged(rows: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
@@ -82,6 +84,15 @@ def histogram(rows: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def _binned(rows: DataFrame, score: str, label: str, ranges: int | None) -> DataFrame:
+    """``histogram`` with ``part``: ranges of about ``BINS`` scores, so that replicates make a row for each of few ranges."""
+    bins = cut(histogram(rows, score, label))
+    n = ranges or max(1, -(-bins.count() // BINS))
+    if n == 1:
+        return bins.withColumn("part", F.lit(0))
+    return _ranged(bins, ["score"], n).withColumnRenamed("__part", "part")
+
+
 def _areas(partial: DataFrame) -> DataFrame:
     """(rep, auc) from (rep, part, wins, p, q): wins within parts, and each part's positives over the negatives before it."""
     # A row for each replicate and range.
@@ -108,7 +119,7 @@ def held_out_areas(rows: DataFrame, score: str, label: str, replicates: int = 20
     from the seed, the replicate and the range.  A subset without a row of
     either label gives 0.5.
     """
-    parts = _ranged(histogram(rows, score, label), ["score"], ranges).withColumnRenamed("__part", "part")
+    parts = _binned(rows, score, label, ranges)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score")
@@ -137,7 +148,7 @@ def permuted_areas(rows: DataFrame, score: str, label: str, replicates: int = 20
     How many positives a bin gets is multivariate hypergeometric.  Each range first has its
     share drawn, alike in every task, and then deals it among its own bins.
     """
-    parts = cut(_ranged(histogram(rows, score, label), ["score"], ranges).withColumnRenamed("__part", "part"))
+    parts = _binned(rows, score, label, ranges)
     sizes = parts.groupBy("part").agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.sum("p").alias("p")).orderBy("part").collect()  # a row a range
     totals, positives = np.array([r["n"] for r in sizes], np.int64), sum(r["p"] for r in sizes)
     if totals.sum() >= _URN:

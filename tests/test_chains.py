@@ -75,3 +75,27 @@ def test_nested_chains_hold_what_the_block_shows(spark):
     assert steps[0]["snippet"] == ("first text " + "x" * 200)[:120] and chains[1]["steps"][0]["label"] == "(section)"
     (_, block), = rows(diagnose.render_chains(paths, segments))
     assert all(s["tag"] in block and s["label"] in block for c in chains for s in c["steps"])
+
+
+@pytest.mark.parametrize("often", [0, 3, 500])
+def test_coverage_walks_meet_on_numbers(spark, monkeypatch, often):
+    """However many terms count as common, sets are numbers, and walks are those over the terms themselves."""
+    monkeypatch.setattr(graph, "_OFTEN", often)
+    rng = random.Random(8)
+    terms = {i: {f"t{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.randrange(12))} for i in range(30)}
+    held = [t for s in terms.values() for t in s]
+    idf = {t: round(5 / held.count(t), 3) for t in set(held)}
+    seg_terms = spark.createDataFrame([(o, sorted(t)) for o, t in terms.items()], "ord long, terms array<string>")
+    weights = spark.createDataFrame(list(idf.items()), "tok string, idf double")
+    coded, first, weight = graph.coded_terms(seg_terms, weights)
+    shared = {t for t in idf if held.count(t) > 1}
+    got = {r["ord"]: r for r in coded.collect()}
+    assert set(got) == set(terms) and list(first) == sorted(first) and len(set(weight)) == len(weight)
+    for o, own in terms.items():
+        assert len(got[o]["ids"]) == len(own & shared) and got[o]["alone"] == pytest.approx(sum(idf[t] for t in own - shared))
+    edges = {i: [(k + 1, d) for k, d in enumerate(rng.sample(range(30), 4)) if d != i] for i in range(30)}
+    walks = graph.chase_coverage(
+        spark.createDataFrame([(1, i, i, 1.0) for i in range(30)], "query_id long, chain int, ord long, score double"),
+        spark.createDataFrame([(s, d, q) for s, out in edges.items() for q, d in out], "src long, dst long, seq int"), seg_terms, weights, max_depth=2,
+    )
+    assert {r["chain"]: r["path"] for r in walks.collect()} == {i: walked_plainly(i, 1.0, edges, terms, idf, {}, 0.0, 0.4, 2) for i in range(30)}

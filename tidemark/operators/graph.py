@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .. import ship_by_value
 from ..functions.text import short_terms
-from ..plans.lineage import cut
+from ..plans.lineage import cut, written
+from . import ranks
 
 
 def link_candidates(segments: DataFrame, always_two: bool = False) -> DataFrame:
@@ -99,6 +106,55 @@ def chase(entries: DataFrame, edges: DataFrame, scores: DataFrame, rel: float =
     return rest if done is None else done.unionByName(rest)
 
 
+#: Terms whose numbers are broadcast, those of most segments.
+_OFTEN = 500_000
+
+
+def coded_terms(seg_terms: DataFrame, idf: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((ord, ids, alone) of every segment, first id and weight of each class of terms that weigh alike).
+
+    A term held by several segments is a number, the commonest first by their weight; ``alone`` is the weight
+    of the terms that no other segment holds, which can't be covered by any.
+    """
+    each = seg_terms.select("ord", F.explode(F.array_distinct("terms")).alias("tok"))
+    held = each.groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).join(idf.select("tok", "idf"), "tok")
+    held = written(held, "held")
+    alone = held.where("n = 1").groupBy("ord").agg(F.sum("idf").alias("alone"))
+    ids, _ = ranks.numbered(held.where("n > 1").select("tok", "idf"), ["idf", "tok"])
+    ids = written(ids.select("tok", "idf", F.col("rn").cast("int").alias("id")), "ids")
+    # A row for each different weight: as many as there are different counts of holders.
+    classes = ids.groupBy("idf").agg(F.min("id").alias("id")).orderBy("id").toArrow()
+    common, rare = F.broadcast(ids.where(F.col("id") <= _OFTEN).select("tok", "id")), ids.where(F.col("id") > _OFTEN)
+    # The common terms of a segment are together again before anything is shuffled.
+    own = seg_terms.select("ord", F.explode_outer(F.array_distinct("terms")).alias("tok")).join(common, "tok", "left").select("ord", "id")
+    rest = each.join(common, "tok", "left_anti").join(rare, "tok").select("ord", "id")
+    sets = own.unionByName(rest).groupBy("ord").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    coded = sets.join(alone, "ord", "left").select("ord", "ids", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+    return written(coded, "coded"), classes.column("id").to_numpy(), classes.column("idf").to_numpy()
+
+
+def _gains(first: np.ndarray, weight: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kernel: the last three columns (ids, alone, covered) become the weight of the ids that aren't covered, and what is alone."""
+
+    def parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int64), lists.value_lengths().to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                ids, rows = parts(batch.column("ids"))
+                known, theirs = parts(batch.column("covered"))
+                asked, held = rows << 32 | ids, np.append(np.sort(theirs << 32 | known), np.int64(-1))
+                fresh = held[np.searchsorted(held[:-1], asked)] != asked
+                w = weight[np.searchsorted(first, ids[fresh], side="right") - 1]
+                gain = np.bincount(rows[fresh], weights=w, minlength=len(batch)) + batch.column("alone").to_numpy()
+                names = batch.schema.names[:-3]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(gain)], [*names, "gain"])
+
+    return run
+
+
 def chase_coverage(
     entries: DataFrame, edges: DataFrame, seg_terms: DataFrame, idf: DataFrame, scores: DataFrame | None = None,
     rel_floor: float = 0.0, max_depth: int = 3,
@@ -106,43 +162,40 @@ def chase_coverage(
     """(query_id, chain, path): from each entry, on to the neighbour whose new terms weigh most.
 
     seg_terms: (ord, terms array); idf: (tok, idf).  A step needs a gain above 0 and, with
-    ``rel_floor``, a score of that share of the entry's.
+    ``rel_floor``, a score of that share of the entry's.  Walks carry their path only; the terms that
+    meet at a step are numbers.
     """
-    state = entries.join(seg_terms.select("ord", "terms"), "ord").select(
-        "query_id", "chain", F.col("ord").alias("cur"), F.array("ord").alias("path"), F.col("terms").alias("covered"),
+    coded, first, weight = coded_terms(seg_terms, idf)
+    state = entries.join(coded.select("ord"), "ord").select(
+        "query_id", "chain", F.col("ord").alias("cur"), F.array("ord").alias("path"),
         F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(1e-9)).alias("base"),
     )
-    theirs = seg_terms.select(F.col("ord").alias("dst"), F.col("terms").alias("new_terms"))
-    best = Window.partitionBy("query_id", "chain").orderBy(F.desc("gain"), "seq")
     done, state = None, cut(state)
     for _ in range(max_depth):
         options = (
-            state.join(edges.select(F.col("src").alias("cur"), "dst", "seq"), "cur")
-            .where(~F.array_contains("path", F.col("dst")))
-            .join(theirs, "dst")
-            .withColumn("fresh", F.array_except("new_terms", "covered"))
+            state.join(edges.select(F.col("src").alias("cur"), "dst", "seq"), "cur").where(~F.array_contains("path", F.col("dst")))
         )
         if scores is not None and rel_floor > 0:
             s = scores.select("query_id", F.col("ord").alias("dst"), F.col("score").alias("s"))
             options = options.join(s, ["query_id", "dst"], "left").where(F.coalesce("s", F.lit(0.0)) >= rel_floor * F.col("base"))
-        gains = (
-            options.select("query_id", "chain", "dst", "seq", F.explode("fresh").alias("tok"))
-            .join(idf, "tok")
-            .groupBy("query_id", "chain", "dst", "seq")
-            .agg(F.round(F.sum("idf"), 9).alias("gain"))
-            .withColumn("r", F.row_number().over(best))
-            .where("r = 1 and gain > 0")
-            .select("query_id", "chain", "dst")
+        offered = options.select("query_id", "chain", "seq", F.col("dst").alias("ord")).join(coded, "ord")
+        # A path's few sets, as its kernel row needs them.
+        covered = state.select("query_id", "chain", F.explode("path").alias("ord")).join(coded.select("ord", "ids"), "ord").groupBy("query_id", "chain").agg(
+            F.flatten(F.collect_list("ids")).alias("covered")
         )
+        met = offered.join(covered, ["query_id", "chain"]).select("query_id", "chain", "seq", F.col("ord").alias("dst"), "ids", "alone", "covered")
+        schema = StructType([*met.select("query_id", "chain", "seq", "dst").schema.fields, StructField("gain", DoubleType())])
+        gains = met.mapInArrow(_gains(first, weight), schema).withColumn("gain", F.round("gain", 9)).where("gain > 0")
+        best = gains.groupBy("query_id", "chain").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "seq", "dst"))["dst"].alias("dst"))
         onward = cut(
-            options.join(gains, ["query_id", "chain", "dst"])
-            .select("query_id", "chain", F.col("dst").alias("cur"), F.concat("path", F.array("dst")).alias("path"),
-                    F.array_union("covered", "new_terms").alias("covered"), "base")
+            state.join(best, ["query_id", "chain"])
+            .select("query_id", "chain", F.col("dst").alias("cur"), F.concat("path", F.array("dst")).alias("path"), "base")
         )
         ended = state.join(onward.select("query_id", "chain"), ["query_id", "chain"], "left_anti").select("query_id", "chain", "path")
         done = ended if done is None else done.unionByName(ended)
         state = onward
-    return done.unionByName(state.select("query_id", "chain", "path"))
+    rest = state.select("query_id", "chain", "path")
+    return rest if done is None else done.unionByName(rest)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3, fanout: int = 5) -> DataFrame:
@@ -261,3 +314,6 @@ def scaled_prior(ranks: DataFrame, segments: DataFrame | None = None, top: float
     ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     span = F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
     return ranks.crossJoin(F.broadcast(ends)).select("node", (top * (F.col("rank") - F.col("lo")) / span).alias("prior"))
+
+
+ship_by_value(__name__)

@@ -14,7 +14,7 @@ from .functions import lexicons as L
 from .functions import text as T
 from .operators import analysis, evals, filters, graph, index, pages, ranks, reports, routing, sessions
 from .plans import diagnose
-from .plans.lineage import cut
+from .plans.lineage import cut, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -449,7 +449,7 @@ def _(s, d):
 
 
 def _coverage_paths(s: SparkSession, d: str) -> DataFrame:
-    terms = cut(_t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms")))
+    terms = written(_t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms")), "terms")
     idf = evals.idf_table(terms, F.col("terms")).select("tok", "idf")
     entries = terms.select(F.lit(0).alias("query_id"), F.col("ord").alias("chain"), "ord", F.lit(1.0).alias("score"))
     paths = graph.chase_coverage(entries, _doc_edges(s, d), terms, idf, max_depth=2)

@@ -66,6 +66,26 @@ def test_bm25_by_hand(spark):
     assert [r["ord"] for r in top.orderBy("rank").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("positive", [True, False])
+def test_best_segments_are_those_of_all_scores(spark, monkeypatch, positive):
+    """Each task keeps its best: no row for every query and segment, ties by key, and blocks of queries and segments don't show."""
+    monkeypatch.setattr(index, "_QUERIES", 3)
+    monkeypatch.setattr(index, "_SEGMENTS", 4)
+    texts = [(o, " ".join(f"w{(o * k) % 13}" for k in range(o % 7))) for o in range(40)] + [(99, None), (50, "w1 w2"), (51, "w1 w2")]
+    seg = spark.createDataFrame(texts, "ord long, t string")
+    queries = spark.createDataFrame([(q, [f"w{q}", f"w{q + 2}", "w0"] if q else ["none"]) for q in range(8)], "query_id int, toks array<string>")
+    idx = index.build_index(seg, F.col("t"))
+    scores = index.score(idx, queries).withColumn("score", F.round("score", 9))
+    want = index.top_k(scores if positive else index.all_scores(scores, seg, queries, 5), 5, positive=positive)
+    got = index.best(idx, queries, 5, positive)
+    key = lambda df: sorted(rows(df.select("query_id", "rank", "ord", F.round("score", 8))))
+    assert key(got) == key(want) and len({r[0] for r in key(got)}) == (7 if positive else 8)
+    pairs = spark.createDataFrame([(1, 50), (1, 39), (2, 50), (5, 99)], "query_id int, ord long")
+    some = {(r[0], r[1]): r[2] for r in rows(index.score(idx, queries, pairs=pairs))}
+    every = {(r[0], r[1]): r[2] for r in rows(index.score(idx, queries))}
+    assert some == pytest.approx({p: every[p] for p in ((1, 50), (1, 39), (2, 50), (5, 99)) if p in every})
+
+
 def test_fallback_serves_what_salience_cannot(spark):
     idx = index.build_index(spark.createDataFrame(DOCS, "ord long, t string"), F.col("t"))
     asked = spark.createDataFrame([(1, "the pump valve rattled"), (2, "BUS noise"), (3, "nothing known")], "query_id int, symptom string")

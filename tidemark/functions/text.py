@@ -38,7 +38,8 @@ def collapse(c: Column, width: int | None = None) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Tokens in order; lower case unless they hold a digit."""
-    return F.transform(_all(c, TOKEN), lambda t: F.when(t.rlike("[0-9]"), t).otherwise(F.lower(t)))
+    # Most are in lower case already and aren't searched for a digit.
+    return F.transform(_all(c, TOKEN), lambda t: F.when((F.lower(t) == t) | t.rlike("[0-9]"), t).otherwise(F.lower(t)))
 
 
 def distinct_ignoring_case(terms: Column) -> Column:

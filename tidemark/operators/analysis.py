@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import contains_any, short_terms, squeezed
+from ..plans.lineage import written
 from . import graph, index
 
 # Hyphenated part names that stay whole, and words for parts and for mechanisms alone.
@@ -124,7 +125,8 @@ def chain_profile(paths: DataFrame, segments: DataFrame) -> DataFrame:
 
     paths: query_id, chain, path; segments: ord, source_doc.
     """
-    steps = paths.select("query_id", "chain", F.size("path").alias("len"), F.explode("path").alias("ord")).join(segments.select("ord", "source_doc"), "ord")
+    visits = index.sent(paths.select("query_id", "chain", F.size("path").alias("len"), F.explode("path").alias("ord")))
+    steps = visits.join(segments.select("ord", "source_doc"), "ord")
     per = steps.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("visits"), F.count_distinct("ord").alias("segments"), F.count_distinct("source_doc").alias("docs")
     )
@@ -196,10 +198,11 @@ def index_comparison(segments: DataFrame, projections: dict[str, Column], querie
 
     Scores are compared to 9 places, so that ties don't hang on the order of a sum.
     """
+    # Cleaned once for all projections.
+    segments = written(segments.select("ord", *[text.alias(name) for name, text in projections.items()]), "projections")
     out = None
-    for name, text in projections.items():
-        scores = index.score(index.build_index(segments, text), queries).withColumn("score", F.round("score", 9))
-        got = index.top_k(scores, k).select(F.lit(name).alias("variant"), "query_id", "ord", "rank")
+    for name in projections:
+        got = index.best(index.build_index(segments, F.col(name)), queries, k).select(F.lit(name).alias("variant"), "query_id", "ord", "rank")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -210,17 +213,20 @@ def walk_sweep(entries: DataFrame, edges: DataFrame, scores: DataFrame, targets:
 
     targets: query_id, terms; seg_terms: ord, terms.  Queries without terms don't count.
     """
-    out = None
+    seen = None
     for rel in rels:
         for depth in depths:
-            seen = graph.chase(entries, edges, scores, rel, depth).select("query_id", F.explode("path").alias("ord")).distinct()
-            held = seen.join(seg_terms, "ord").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("have"))
-            cov = F.try_divide(F.size(F.array_intersect("terms", F.coalesce("have", F.array().cast("array<string>")))), F.size(F.array_distinct("terms")))
-            row = targets.join(held, "query_id", "left").agg(F.avg(cov).alias("mean_coverage"), F.count(cov).alias("n")).select(
-                F.lit(rel).alias("rel"), F.lit(depth).alias("depth"), "mean_coverage", "n"
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+            paths = graph.chase(entries, edges, scores, rel, depth).select(F.lit(rel).alias("rel"), F.lit(depth).alias("depth"), "query_id", F.explode("path").alias("ord"))
+            seen = paths if seen is None else seen.unionByName(paths)
+    seen = index.sent(seen.distinct())
+    # The terms of segments that no walk met are never taken.
+    own = seg_terms.join(index.sent(seen.select("ord").distinct()), "ord", "left_semi")
+    held = own.join(seen, "ord").groupBy("rel", "depth", "query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("have"))
+    settings = targets.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(r).alias("rel"), F.lit(d).alias("depth")) for r in rels for d in depths])).alias("x")).select("x.*")
+    cov = F.try_divide(F.size(F.array_intersect("terms", F.coalesce("have", F.array().cast("array<string>")))), F.size(F.array_distinct("terms")))
+    asked = targets.crossJoin(F.broadcast(settings)).join(held, ["rel", "depth", "query_id"], "left")
+    measured = asked.groupBy("rel", "depth").agg(F.avg(cov).alias("mean_coverage"), F.count(cov).alias("n"))
+    return settings.join(measured, ["rel", "depth"], "left").select("rel", "depth", "mean_coverage", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def operating_point(rows: DataFrame, flag: str, bad: str) -> DataFrame:

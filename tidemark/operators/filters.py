@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,7 +19,9 @@ def is_boilerplate(raw: Column) -> Column:
     n = F.size(terms(raw, "[a-z]{3,}"))
     pages = F.regexp_count(t, F.lit("figure")) + F.regexp_count(t, F.lit(" page "))
     revised = F.contains(t, F.lit("basic date")) | F.contains(t, F.lit("changed"))
-    return (n < 6) | contains_any(t, L.BOILERPLATE_MARKERS) | ((pages >= 3) & (n < 50)) | (revised & (n < 12))
+    # One by one, so that the text is lowered once, not for each marker.
+    marked = reduce(or_, [F.contains(t, F.lit(m)) for m in L.BOILERPLATE_MARKERS])
+    return (n < 6) | marked | ((pages >= 3) & (n < 50)) | (revised & (n < 12))
 
 
 def clean_corpus(segments: DataFrame, raw: str = "raw_text") -> DataFrame:

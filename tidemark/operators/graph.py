@@ -198,9 +198,15 @@ def chase_coverage(
     return rest if done is None else done.unionByName(rest)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3, fanout: int = 5) -> DataFrame:
-    """(query_id, node, hop) of all nodes within ``hops``; each node goes on to its first ``fanout`` edges."""
-    first = edges.where(F.col("seq") <= fanout).select(F.col("src").alias("node"), F.col("dst"))
+def within(entries: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
+    """(query_id, ord): all segments that walks of so many steps from the entries could meet, the pairs whose scores they need."""
+    met = reach(entries.select("query_id", F.col("ord").alias("node")), edges, steps, None)
+    return met.select("query_id", F.col("node").alias("ord"))
+
+
+def reach(seeds: DataFrame, edges: DataFrame, hops: int = 3, fanout: int | None = 5) -> DataFrame:
+    """(query_id, node, hop) of all nodes within ``hops``; each node goes on to its first ``fanout`` edges, None: to all."""
+    first = (edges if fanout is None else edges.where(F.col("seq") <= fanout)).select(F.col("src").alias("node"), F.col("dst"))
     seen = seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):

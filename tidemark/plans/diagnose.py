@@ -81,7 +81,8 @@ def render_chains(paths: DataFrame, segments: DataFrame) -> DataFrame:
 
     segments: ord, source_doc, component, signature, raw_text.
     """
-    steps = paths.select("query_id", "chain", F.posexplode("path").alias("p", "ord")).join(segments, "ord")
+    steps = paths.select("query_id", "chain", F.posexplode("path").alias("p", "ord"))
+    steps = index.sent(steps).join(segments, "ord")
     tag = F.format_string("[C%d.%d]", F.col("chain"), F.col("p") + 1)
     line = F.concat(
         F.when(F.col("p") == 0, "  ").otherwise("    -> "), tag, F.lit(" "),
@@ -103,7 +104,8 @@ def nested_chains(paths: DataFrame, segments: DataFrame) -> DataFrame:
     A chain has its number, entry_doc, n_steps and steps (tag, label, doc, snippet of 120 characters, id);
     segments: ord, id, source_doc, component, signature, raw_text.
     """
-    steps = paths.select("query_id", "chain", F.posexplode("path").alias("p", "ord")).join(segments, "ord")
+    steps = paths.select("query_id", "chain", F.posexplode("path").alias("p", "ord"))
+    steps = index.sent(steps).join(segments, "ord")
     step = F.struct(
         F.format_string("[C%d.%d]", F.col("chain"), F.col("p") + 1).alias("tag"), step_label(F.col("component"), F.col("signature")).alias("label"),
         F.col("source_doc").alias("doc"), F.substring(collapse(F.col("raw_text"), 180), 1, 120).alias("snippet"), F.col("id"),
@@ -125,9 +127,11 @@ def diagnose_chains(
     term = filters.out_of_domain(F.col("symptom"))
     asked = symptoms.where(term.isNull()) if gate else symptoms
     idx = index.build_index(filters.clean_corpus(segments), F.coalesce(F.nullif("signature", F.lit("")), "raw_text"))
-    # Read by the entries and by every step of the walks; to 9 places, so that ties don't hang on the order of a sum.
-    scores = cut(index.effective_scores(idx, asked).withColumn("score", F.round("score", 9)))
-    chosen = graph.pick_entries(index.top_k(scores, pool), edges, entries)
+    edges = cut(edges)
+    found, asked_by = index.effective_best(idx, asked, pool)
+    chosen = cut(graph.pick_entries(found, edges, entries))
+    # Read by every step of the walks; to 9 places, so that ties don't hang on the order of a sum.
+    scores = cut(index.score(idx, asked_by, pairs=graph.within(chosen, edges, depth)).withColumn("score", F.round("score", 9)))
     paths = cut(graph.chase(chosen, edges, scores, rel, depth))
     blocks = render_chains(paths, segments).join(paths.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chains")), "query_id")
     vocabulary = segments.select(F.explode("symptoms").alias("s")).select(F.explode(short_terms(F.col("s"))).alias("tok"))
@@ -151,7 +155,7 @@ def diagnose_points(symptoms: DataFrame, segments: DataFrame, k: int = 6, genera
     model could not be reached, so that an outage isn't taken for a gap in the manuals.
     """
     idx = index.build_index(filters.clean_corpus(segments), F.coalesce(F.nullif("signature", F.lit("")), "raw_text"))
-    found = cut(index.search(idx, symptoms, k)).join(segments.select("ord", "raw_text", "source_doc"), "ord").join(symptoms, "query_id")
+    found = index.sent(index.search(idx, symptoms, k)).join(segments.select("ord", "raw_text", "source_doc"), "ord").join(symptoms, "query_id")
     tag = F.format_string("[S%d]", F.col("rank"))
     keyed = found.withColumns({"tag": tag, "key": F.concat_ws("/", F.col("query_id").cast("string"), tag)})
     prompt = F.concat(F.lit("SYMPTOM: "), "symptom", F.lit("\nSOURCE:\n"), F.coalesce("raw_text", F.lit("")))

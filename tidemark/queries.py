@@ -101,10 +101,17 @@ def _scores(name: str, source: str, tag: str = "") -> str:
 _QL = f"ql AS (SELECT item_id AS query_id, {TOK.format('text')} AS toks FROM benchmark)"
 
 
-def _literal_scores(s: SparkSession, d: str) -> DataFrame:
+def _literal(s: SparkSession, d: str) -> tuple[index.Index, DataFrame]:
     idx = index.build_index(filters.clean_corpus(_segments(s, d)), F.col("raw_text"))
-    scored = index.score(idx, _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks")))
-    return scored.withColumn("score", F.round("score", 9))
+    return idx, _symptoms(s, d).select("query_id", T.tokenize(F.col("symptom")).alias("toks"))
+
+
+def _entered(s: SparkSession, d: str, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, edges, scores): each query's eight entries and the scores that walks of ``depth`` steps from them can ask for."""
+    (idx, asked), edges = _literal(s, d), cut(_doc_edges(s, d))
+    entries = cut(graph.pick_entries(index.best(idx, asked, 16), edges, 8))
+    scores = index.score(idx, asked, pairs=graph.within(entries, edges, depth)).withColumn("score", F.round("score", 9))
+    return entries, edges, cut(scores)
 
 
 # --- text and filters ---------------------------------------------------------------------------
@@ -304,7 +311,7 @@ def _(s, d):
     "SELECT query_id, ord, CAST(rank AS INTEGER) AS rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= 6",
 )
 def _(s, d):
-    return index.top_k(_literal_scores(s, d), 6).select("query_id", "ord", "rank", _r("score"))
+    return index.best(*_literal(s, d), 6).select("query_id", "ord", "rank", _r("score"))
 
 
 _FALL = f"[t FOR t IN {TOK.format('text')} IF length(t) >= 3 AND NOT list_contains({_list(L.FALLBACK_STOP)}, t)]"
@@ -322,8 +329,7 @@ SELECT query_id, ord, variant, CAST(rank AS INTEGER) AS rank, round(round(score,
 )
 def _(s, d):
     idx = index.build_index(filters.clean_corpus(_segments(s, d)), F.col("raw_text"))
-    scored = index.effective_scores(idx, _symptoms(s, d)).withColumn("score", F.round("score", 9))
-    return index.top_k(scored, 6).select("query_id", "ord", "variant", "rank", _r("score"))
+    return index.search(idx, _symptoms(s, d), 6).select("query_id", "ord", "variant", "rank", _r("score"))
 
 
 @query(
@@ -423,9 +429,7 @@ w0 AS (SELECT query_id, chain, ord AS cur, [ord] AS path, round(score, 9) AS bas
 SELECT query_id, CAST(chain AS INTEGER) AS chain, array_to_string(path, '>') AS path FROM fin""",
 )
 def _(s, d):
-    scores = cut(_literal_scores(s, d))
-    edges = _doc_edges(s, d)
-    entries = graph.pick_entries(index.top_k(scores, 16), edges, 8)
+    entries, edges, scores = _entered(s, d, 3)
     paths = graph.chase(entries, edges, scores, 0.5, 3)
     return paths.select("query_id", "chain", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -1069,8 +1073,8 @@ _WALKS = f"WITH {_BM25}, {_QL}, {_scores('sc', 'ql')}, {_EDGES}, {_ENTRIES}"
 
 
 def _walked(s: SparkSession, d: str) -> DataFrame:
-    scores, edges = cut(_literal_scores(s, d)), cut(_doc_edges(s, d))
-    return cut(graph.chase(graph.pick_entries(index.top_k(scores, 16), edges, 8), edges, scores, 0.4, 3))
+    entries, edges, scores = _entered(s, d, 3)
+    return cut(graph.chase(entries, edges, scores, 0.4, 3))
 
 
 @query(
@@ -1105,8 +1109,7 @@ c{tag} AS (SELECT len(list_intersect(terms, coalesce(have, []::VARCHAR[]))) / nu
     + " UNION ALL ".join(f" SELECT {rel}::DOUBLE AS rel, CAST({depth} AS INTEGER) AS depth, round(avg(cov), 6) AS mean_coverage, count(cov) AS n FROM c{tag}" for rel, depth, tag in _SWEEP),
 )
 def _(s, d):
-    scores, edges = cut(_literal_scores(s, d)), cut(_doc_edges(s, d))
-    entries = cut(graph.pick_entries(index.top_k(scores, 16), edges, 8))
+    entries, edges, scores = _entered(s, d, 2)
     terms = _t(s, d, "documents").select(F.col("doc_id").alias("ord"), T.content_terms(F.col("text")).alias("terms"))
     targets = _symptoms(s, d).select("query_id", T.content_terms(F.col("symptom")).alias("terms"))
     return analysis.walk_sweep(entries, edges, scores, targets, terms, (0.4, 0.6), (1, 2)).withColumn("mean_coverage", F.round("mean_coverage", 6))
@@ -1248,6 +1251,4 @@ def _(s, d):
     "FROM z LEFT JOIN sc USING (query_id, ord)) SELECT query_id, ord, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 8",
 )
 def _(s, d):
-    segments = filters.clean_corpus(_segments(s, d))
-    scores = index.all_scores(_literal_scores(s, d), segments, _symptoms(s, d), 8)
-    return index.top_k(scores, 8, positive=False).select("query_id", "ord", "rank", _r("score"))
+    return index.best(*_literal(s, d), 8, positive=False).select("query_id", "ord", "rank", _r("score"))

@@ -234,3 +234,12 @@ def test_triples(spark):
     t = filters.closed_schema(pages.parsed_triples(spark.createDataFrame([(1, good), (2, "no json")], "seg_id int, payload string")))
     r = pages.triples_to_segments(t).first()
     assert (r["subsystem"], r["component"], r["links_to"], r["signature"]) == ("loop", "pump", [], "loop, pump")
+
+
+def test_anchors_look_at_a_text_normalised_once(spark):
+    """No pattern runs over the text within what is done for each anchor."""
+    df = spark.createDataFrame([("The Er--An unit",), (None,)], "t string")
+    got = df.select(evals.anchor_coverage(F.col("t"), F.array(*map(F.lit, ("er an", "zz", "UNIT")))).alias("a"))
+    assert [(r["a"]["coverage"], list(r["a"]["hits"])) for r in got.collect()] == [(pytest.approx(2 / 3), ["er an", "UNIT"]), (0.0, [])]
+    each = re.findall(r"contains\(([^,]*),", str(evals.anchor_coverage(F.col("t"), F.array(F.lit("zz")))))
+    assert each and not any("replace" in x for x in each)

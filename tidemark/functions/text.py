@@ -32,7 +32,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column, width: int | None = None) -> Column:
-    out = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    out = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return out if width is None else F.left(out, F.lit(width))
 
 
@@ -120,7 +120,7 @@ def half_even(c: Column, places: int = 0) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9 ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def squeezed(c: Column) -> Column:

@@ -108,10 +108,12 @@ def anchor_coverage(text: Column, anchor_terms: Column) -> Column:
     """struct(coverage, hits): anchor terms that stand in the normalised text."""
     from ..functions.text import normalized
 
-    clean = normalized(text)
-    hits = F.filter(anchor_terms, lambda t: F.contains(clean, normalized(t)))
+    # Bound once: within the filter each anchor would have the whole text normalised anew.
+    clean, asked = F.array(normalized(text)), F.transform(anchor_terms, normalized)
+    found = F.flatten(F.transform(clean, lambda c: F.transform(asked, lambda t: F.contains(c, t))))
+    hits = F.filter(anchor_terms, lambda t, i: F.get(found, i))
     return F.struct(
-        F.coalesce(F.try_divide(F.size(hits), F.size(anchor_terms)), F.lit(0.0)).alias("coverage"), hits.alias("hits")
+        F.coalesce(F.try_divide(F.size(F.filter(found, lambda x: x)), F.size(anchor_terms)), F.lit(0.0)).alias("coverage"), hits.alias("hits")
     )
 
 

@@ -120,3 +120,16 @@ def test_query_searches_from_every_seed(spark, tmp_path):
         want = searched_plainly([q], kinds, edges, {n for n in kinds if n % 7 == 0}, 20, 400, False)
         assert [(n, pytest.approx(s, abs=1e-6)) for n, s in want] == [(n, s) for _, n, s in sorted(got[q])]
     assert sum(map(len, got.values())) > 100
+
+
+def test_nearest_routes_end_early_and_agree(spark):
+    """The search ends where the k procedures of a query are certain; it doesn't go through the whole graph."""
+    n = 3000
+    edges = spark.range(n).selectExpr("id as src", f"explode(array((id * 3 + 1) % {n}, (id * 7 + 2) % {n})) as dst").where("src <> dst").withColumn(
+        "cost", F.when(F.col("dst") % 2 == 0, 0.5).otherwise(0.2))
+    seeds = spark.createDataFrame([(1, 5), (2, 11)], "query_id int, node long")
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") % 3 == 0, "symptom").otherwise("procedure").alias("kind"))
+    for boosted in (None, nodes.where("node % 7 = 0")):
+        near, every = graph.nearest_costs(seeds, edges, nodes, 4, boosted), graph.route(seeds, edges)
+        shown = lambda c: sorted(rows(graph.routed_segments(c.withColumn("cost", F.round("cost", 9)), nodes, 4, boosted)))  # noqa: E731,B023
+        assert shown(near) == shown(every) and near.count() < every.count() / 5

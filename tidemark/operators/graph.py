@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .. import ship_by_value
 from ..functions.text import short_terms
 from ..plans.lineage import cut, written
-from . import ranks
+from . import index, ranks
 
 
 def link_candidates(segments: DataFrame, always_two: bool = False) -> DataFrame:
@@ -251,23 +251,47 @@ def chain_reach(segments: DataFrame, edges: DataFrame, queries: DataFrame, text:
     return reach(symptom_seeds(segments, queries, text, entries), edges, hops, fanout)
 
 
-def route(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def route(seeds: DataFrame, edges: DataFrame, max_rounds: int = 1000, limits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, node, cost): least sum of edge costs from the seeds, to every node in reach.
 
     Each round goes on from the nodes that the round before made cheaper, until there are none.
+    ``limits`` tells from the costs so far (query_id, limit), beyond which a query needs no cost: no
+    round goes on from where the next step passes it, and costs beyond it may lack or be too high.
     """
     best = cut(seeds.select("query_id", "node").distinct().withColumn("cost", F.lit(0.0)))
     steps = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").alias("step"))
     steps, front = cut(steps), best
+    least = steps.agg(F.min("step")).first()[0] if limits is not None else None
     for _ in range(max_rounds):
-        on = front.join(steps, "node").groupBy("query_id", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
+        on = index.sent(front).join(steps, "node").groupBy("query_id", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
         front = cut(on.join(best, ["query_id", "node"], "left").where("cost is null or new < cost - 1e-12").select("query_id", "node", F.col("new").alias("cost")))
         if front.isEmpty():
             return best
         best = cut(best.unionByName(front).groupBy("query_id", "node").agg(F.min("cost").alias("cost")))
+        if least is not None and least >= 0:
+            far = F.col("cost") + least > F.col("limit") + 1e-6
+            front = cut(front.join(limits(best), "query_id", "left").where(F.col("limit").isNull() | ~far).select("query_id", "node", "cost"))
     raise RuntimeError(f"routes did not settle in {max_rounds} rounds")
 
 
+def nearest_costs(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, boosted: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """``route`` as far as ``routed_segments`` with ``k`` needs it: a query's search ends where its k procedures can't change any more."""
+    procedures = cut(nodes.where("kind = 'procedure'").select("node"))
+    ahead = None if boosted is None else cut(boosted.select("node").distinct())
+
+    def limits(costs: DataFrame) -> DataFrame:
+        found = index.sent(costs).join(procedures, "node")
+        order = F.col("cost")
+        if ahead is not None:
+            found = index.sent(found).join(ahead.withColumn("on", F.lit(1)), "node", "left")
+            order = order + F.when(F.col("on") == 1, 0.0).otherwise(1.0)
+        own = found.withColumn("limit", order)
+        placed = own.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("limit")))
+        return placed.where(F.col("place") == k).select("query_id", "limit")
+
+    return route(seeds, edges, max_rounds, limits)
+
+
 def routed_segments(costs: DataFrame, nodes: DataFrame, k: int | None = 20, boosted: DataFrame | None = None) -> DataFrame:
     """(query_id, node, score, place) of procedures in reach, the likeliest first; ``k`` None takes all.
 

@@ -479,16 +479,15 @@ st AS MATERIALIZED (SELECT src, dst, CASE WHEN seq = 3 THEN -ln(0.6) ELSE -ln(0.
 )
 
 
-def _routes(s: SparkSession, d: str) -> DataFrame:
+def _roads(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     seeds = _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("node"))
     seeds = seeds.join(_t(s, d, "documents").select(F.col("doc_id").alias("node")), "node", "left_semi")
-    edges = _doc_edges(s, d).withColumn("cost", F.when(F.col("seq") == 3, -F.ln(F.lit(0.6))).otherwise(-F.ln(F.lit(0.8))))
-    return graph.route(seeds, edges)
+    return seeds, _doc_edges(s, d).withColumn("cost", F.when(F.col("seq") == 3, -F.ln(F.lit(0.6))).otherwise(-F.ln(F.lit(0.8))))
 
 
 @query("min_cost_route", _ROUTES + " SELECT query_id, node, round(exp(-cost), 6) AS score FROM c24")
 def _(s, d):
-    return _routes(s, d).select("query_id", "node", F.round(F.exp(-F.col("cost")), 6).alias("score"))
+    return graph.route(*_roads(s, d)).select("query_id", "node", F.round(F.exp(-F.col("cost")), 6).alias("score"))
 
 
 @query(
@@ -498,7 +497,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, node) AS
 )
 def _(s, d):
     nodes = _t(s, d, "documents").select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") % 3 == 0, "symptom").otherwise("procedure").alias("kind"))
-    found = graph.routed_segments(_routes(s, d).withColumn("cost", F.round("cost", 9)), nodes, 20, nodes.where("node % 7 = 0"))
+    boosted = nodes.where("node % 7 = 0")
+    costs = graph.nearest_costs(*_roads(s, d), nodes, 20, boosted).withColumn("cost", F.round("cost", 9))
+    found = graph.routed_segments(costs, nodes, 20, boosted)
     return found.select("query_id", "node", _r("score"), "place")
 
 

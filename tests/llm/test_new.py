@@ -293,3 +293,19 @@ def test_collocations_of_nothing(spark, tables):
     # "y x" lies within both longer candidates.
     got = collocations.collocations(extra).collect()
     assert [r["phrase"] for r in got] == ["x y x", "y x y"] and {r["lang"] for r in got} == {"und"} and got[0]["n"] == 40
+
+
+def test_rules_learn_from_every_labelled_row(spark):
+    """Box, threshold and rows are those of all labels: none is left out by a bound, nor for a long text."""
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(5000)] + [" ".join(rng.choice(words, 9000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 != 0)) for i in range(len(texts))], "doc_id long, quality int")
+    rows_ = rules.labelled_shares(docs, labels)
+    kept = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    assert rows_.count() == len(kept) > 4000 and len(texts[-1]) > 1 << 15
+    got = rows_.toArrow()
+    x, odd = np.stack([got.column(c).to_numpy() for c in rules._SHARES], 1), got.column("odd").to_numpy(zero_copy_only=False)
+    forest = rules.grow(x[~odd], rules.reach(x), trees=9, sample=64)
+    assert rules.threshold(rows_, forest, 0.01) == pytest.approx(rules.calibrated(forest, x, odd, 0.01).threshold)

@@ -93,17 +93,22 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(__id, __label) of labelled ids outside the held-out fold; one labelled more than once counts once, with its largest label."""
+    return (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id")) != 0))
+        .groupBy(F.col("doc_id").cast("long").alias("__id"))
+        .agg(F.max(label).cast("int").alias("__label"))
+    )
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(at, label, text) of labelled ids outside the held-out fold, half of ``max_train`` of each label at most.
 
     Texts of more than ``max_bytes`` are not learned from, which bounds the bytes of the sample.
     The ids come first in hash order, which ``at`` gives.  An id labelled more than once counts once, with its largest label.
     """
-    ids = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id")) != 0))
-        .groupBy(F.col("doc_id").cast("long").alias("__id"))
-        .agg(F.max(label).cast("int").alias("__label"))
-    )
+    ids = labelled_ids(labels, label)
     halves = [
         ids.where(F.col("__label") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_train // 2) for y in (0, 1)
     ]

@@ -4,8 +4,8 @@ A text's statistics are counts that one Arrow kernel takes over its words and li
 Texts of few words, or mostly of repeated windows, fail at once.  The others are judged by
 an isolation forest on the statistics as shares: each tree splits a small sample at
 random places, and a text that few splits set apart from the rest is odd.  The forest and
-its threshold come from a bounded sample of labelled rows (``max_train``); every
-document is judged.
+its threshold come from all labelled rows, but for the trees' own samples; every document is
+judged.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from . import ship_by_value
 from ._bytes import buffers, kind_table, pieces, runs
-from ._spark import id_remainder, table
-from .quality import training_rows
+from ..operators import ranks
+from ._spark import checkpointed, id_remainder, table
+from .quality import labelled_ids
 
 LEAST_WORDS = 50
 #: Per cent of words in repeated windows beyond which a text fails.
 MOST_REPEATED = 50
 WINDOW = 3
-MAX_TRAIN = 4000
 TREES, SAMPLE, DEPTH = 100, 1024, 14
 #: Shares below this are much alike.
 LEAST_SHARE = 0.01
@@ -213,22 +213,53 @@ def calibrated(forest: Forest, x: np.ndarray, odd: np.ndarray, given_up: float =
     return forest._replace(threshold=float((lowest + above[0]) / 2) if len(above) else np.inf)
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, label, counts) of labelled rows."""
+_SHARES = [f"f{k}" for k in range(len(FEATURES))]
+
+
+def _share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shares) of the rows that pass the fixed rules."""
     for batch in batches:
         n = counts(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), *map(pa.array, n.T)], ["at", "label", *COUNTS])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
-    """Forest of good rows, box and threshold of all labelled rows that pass the fixed rules, outside the held-out fold."""
-    rows = training_rows(docs, labels, "quality", max_train)
-    got = rows.mapInArrow(_count_rows, f"at long, label int, {SCHEMA}").orderBy("at", *COUNTS).limit(max_train).toArrow()
-    n = np.stack([got.column(c).to_numpy() for c in COUNTS], 1)
-    odd = got.column("label").to_numpy() == 0
-    passed = ~base_failed(n)
-    x, odd = shares(n[passed]), odd[passed]
-    return calibrated(grow(x[~odd], reach(x)), x, odd)
+        passed = ~base_failed(n)
+        yield pa.RecordBatch.from_arrays([batch.column("__id").filter(pa.array(passed)), *map(pa.array, shares(n[passed]).T)], ["__id", *_SHARES])
+
+
+def labelled_shares(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, odd, shares) of all labelled rows outside the held-out fold that pass the fixed rules; no text is shuffled."""
+    own = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").mapInArrow(_share_rows, "__id long, " + ", ".join(f"{c} float" for c in _SHARES))
+    return checkpointed(own.join(labelled_ids(labels, "quality"), "__id").select("__id", (F.col("__label") == 0).alias("odd"), *_SHARES))
+
+
+def threshold(rows: DataFrame, forest: Forest, given_up: float = GIVEN_UP) -> float:
+    """``calibrated``'s threshold, from all rows (odd, shares); their scores are ranked by ranges, only two of them are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = oddness(forest, np.stack([batch.column(c).to_numpy() for c in _SHARES], 1))
+            yield pa.RecordBatch.from_arrays([batch.column("odd"), pa.array(s)], ["odd", "s"])
+
+    scored = checkpointed(rows.select("odd", *_SHARES).mapInArrow(run, "odd boolean, s double"))
+    placed, total = ranks.numbered(scored.where("not odd"), ["s"])
+    n = total.first()["total"]
+    if not n:
+        return np.inf
+    lowest = placed.where(F.col("rn") == n - int(n * given_up)).first()["s"]
+    above = scored.where(F.col("odd") & (F.col("s") > lowest)).agg(F.min("s")).first()[0]
+    return np.inf if above is None else (lowest + above) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, pool: int = TREES * SAMPLE) -> Forest:
+    """Box and threshold of all labelled rows that pass the fixed rules, outside the held-out fold.
+
+    Each tree of an isolation forest is grown on a small sample by its method; the samples are drawn from ``pool`` good
+    rows in hash order, as many as all trees together take.
+    """
+    rows = labelled_shares(docs, labels)
+    ends = rows.agg(*[F.min(c).alias(f"lo_{c}") for c in _SHARES], *[F.max(c).alias(f"hi_{c}") for c in _SHARES]).first()
+    box = tuple(np.array([ends[f"{side}_{c}"] or 0.0 for c in _SHARES], np.float32) for side in ("lo", "hi"))
+    got = rows.where("not odd").orderBy(F.xxhash64("__id"), "__id", *_SHARES).limit(pool).select(*_SHARES).toArrow()
+    forest = grow(np.stack([got.column(c).to_numpy() for c in _SHARES], 1), box)
+    return forest._replace(threshold=float(threshold(rows, forest)))
 
 
 def judge(docs: DataFrame, forest: Forest) -> DataFrame:

@@ -11,7 +11,8 @@ import pytest
 import xxhash
 
 from llm.conftest import SCHEMA, documents, sentence
-from tidemark.llm import components, decontamination, mixing, neardup, quality, sharding, similar, topk, toxicity, urls
+from tidemark.llm import _mixed, components, decontamination, mixing, neardup, quality, sharding, similar, topk, toxicity, urls
+from tidemark.operators import ranks
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -603,3 +604,93 @@ def test_columns_with_clashing_names_change_no_result(spark, tables, op):
     # Which of two alike rows gets which slot is open.
     shown = [c for c in plain.columns if op != "op1_sharding" or c not in ("shard", "slot")]
     assert Counter(map(str, plain.select(shown).collect())) == Counter(map(str, more.select(shown).collect()))
+
+
+def test_classifiers_learn_from_every_labelled_row(spark):
+    """No bound on rows of a label or on a text's bytes, and shards don't hang on how rows lie in files."""
+    rng = np.random.default_rng(6)
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 4)) for _ in range(8000)] + [" ".join(rng.choice(words, 9000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 != 0), 0) for i in range(len(texts))], LABELS)
+    kept = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5}
+    got = quality.training_rows(docs, labels, "quality", shard_rows=1000).collect()
+    assert len(kept) > 6000 and len(texts[-1]) > 1 << 15 and len(texts) - 1 in kept
+    assert Counter(r["text"] for r in got) == Counter(texts[i] for i in kept)
+    assert {r["shard"] for r in got} == set(range(-(-len(kept) // 1000)))
+    weights, bias = quality.fit(docs, labels, shard_rows=1000, passes=1)
+    again, same = quality.fit(docs.repartition(7), labels, shard_rows=1000, passes=1)
+    assert (weights == again).all() and bias == same
+
+
+def test_one_rare_word_among_many_rows_is_learned(spark):
+    """What only a few rows teach, in shards of their own, is not lost in the mean over shards nor beyond a bound of rows."""
+    rng = random.Random(5)
+    docs = [(i, sentence(rng, 12) + (" vilexo" if i % 9 == 0 else "")) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i, _ in docs], LABELS)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    net, cuts = toxicity.fit(frame, labels, shard_rows=500, passes=3)
+    got = toxicity.scores(pa.array([t for _, t in docs]), net, cuts) >= 0.5
+    assert (got == [i % 9 == 0 for i, _ in docs]).mean() > 0.99
+
+
+def test_packed_net_and_its_step():
+    """A state holds all of a net; a step's change is the one that differences of the loss ask for."""
+    net = toxicity.Net(7)
+    grad2 = toxicity.squares_of(net)
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 50, (n, 4)).astype(np.int32) for n in (5, 0, 1, 9)]
+    y = np.array([1, 0, 1, 0])
+    state = toxicity.packed(net, grad2)
+    back, squares = toxicity.unpacked(state)
+    assert (toxicity.packed(back, squares) == state).all()
+    whole = toxicity._pooled(net, docs)[0]
+    assert whole == pytest.approx(np.concatenate([toxicity._pooled(net, [d])[0] for d in docs]), abs=1e-6)
+
+    def loss(at, by):
+        moved = state.copy()
+        moved[at] += by
+        n, _ = toxicity.unpacked(moved)
+        z = n.logits(np.concatenate(docs), np.repeat(np.arange(4), [len(d) for d in docs]), 4).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    toxicity._step(net, grad2, docs, y, 0.08)
+    change = toxicity.packed(net, grad2) - state
+    at = np.unravel_index(np.argsort(-np.abs(change[:, : toxicity.DIM]), axis=None)[:40:4], change[:, : toxicity.DIM].shape)
+    for place in zip(*at):
+        if place[0] < toxicity.BUCKETS:
+            slope = (loss(place, 1e-2) - loss(place, -1e-2)) / 2e-2
+            assert abs(slope) < 1e-4 or np.sign(slope) == -np.sign(change[place])
+
+
+def test_a_line_is_the_mean_over_the_shards_that_changed_it(spark):
+    rows = spark.createDataFrame([(i % 3, i, i % 2, f"t{i}") for i in range(30)], "shard int, at long, label int, text string").repartitionById(3, "shard")
+    net = toxicity.Net()
+    start = toxicity.packed(net, toxicity.squares_of(net))
+
+    def learn(state, batches):
+        for batch in batches:
+            net, grad2 = toxicity.unpacked(state)
+            net.emb[batch.column("shard")[0].as_py()] += np.float32(0.1)
+            net.emb[9] += np.float32(0.1)
+            net.shift = net.shift + np.float32(batch.column("shard")[0].as_py())
+            state[:] = toxicity.packed(net, grad2)
+
+    got, _ = toxicity.unpacked(_mixed.learned(rows, start, learn, 3))
+    assert got.emb[[0, 1, 2, 9]] == pytest.approx(net.emb[[0, 1, 2, 9]] + 0.3, abs=1e-6)
+    # Shard 0 leaves the shift as it is, so the mean is over the other two.
+    assert got.shift == pytest.approx(float(net.shift) + 3 * 1.5) and (got.emb[20:] == net.emb[20:]).all()
+
+
+def test_least_cost_cuts_against_all_cuts(spark):
+    rng = random.Random(11)
+    rows = [(g, round(rng.gauss(g, 1), 2 if g else 6), rng.random() < 0.3) for g in (0, 1, 2) for _ in range(400)] + [(3, 1.0, True), (4, 2.0, False)]
+    rows = [(g, s + t, t) for g, s, t in rows]
+    got = {r["g"]: r for r in ranks.least_cost_cuts(spark.createDataFrame(rows, "g int, s double, t boolean"), "s", "t", "g", 3.0, ranges=5).collect()}
+    for g in range(5):
+        s, t = np.array([x[1] for x in rows if x[0] == g]), np.array([x[2] for x in rows if x[0] == g])
+        v = np.unique(s)
+        cuts = [v[0] - 1, *((v[1:] + v[:-1]) / 2), v[-1] + 1]
+        cost = lambda c: (t & (s < c)).sum() / max(1, t.sum()) + 3.0 * (~t & (s >= c)).sum() / max(1, (~t).sum())  # noqa: B023, E731
+        assert (got[g]["p"], got[g]["q"]) == (t.sum(), (~t).sum())
+        assert np.isclose(cuts, got[g]["cut"]).any() and cost(got[g]["cut"]) == pytest.approx(min(map(cost, cuts)))

@@ -2,8 +2,8 @@
 
 A text's features are its lower-cased and its case-shaped words, its runs of marks, and
 pairs of neighbours, hashed into ``BUCKETS`` weights; a feature's value is its share of
-all features of the text.  The model is learned by FTRL-proximal updates from a bounded
-sample of labelled rows (``max_train``), in hash order of the ids, and scores every
+all features of the text.  The model is learned by FTRL-proximal updates from all
+labelled rows, whose shards' states are averaged after each pass, and scores every
 document as one sparse dot product per text, in Arrow batches.
 """
 
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from . import ship_by_value
 from ._bytes import LOWER, WORD_OR_MARK, SpanHash, buffers, mix, pieces, runs
+from ._mixed import learned, sharded
 from ._spark import id_remainder, table
 
 BUCKETS = 1 << 18
-MAX_TRAIN = 3000
-#: Bytes of the longest text that is learned from; all texts are scored.
-MAX_BYTES = 1 << 15
+#: Labelled rows that are learned from one after the other, before states are averaged.
+SHARD_ROWS = 1 << 14
+PASSES = 3
 KEEP_AT = 0.3
 _SCALE = 20.0
 
@@ -50,47 +51,51 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (all_ % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([rows, rows, marked, marked])
 
 
-def train(buckets: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: list[int], passes: int = 3, seed: int = 5,
-          alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, float]:
+def _weight(z: np.ndarray, n: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
+
+def _update(z: np.ndarray, n: np.ndarray, k: np.ndarray, x: np.ndarray, label: int, alpha: float = 0.3, **rest: float) -> None:
+    """One row's step of FTRL-proximal on the sums ``z`` and ``n``; the bias comes last."""
+    k, x = np.append(k, BUCKETS), np.append(x, np.float32(1))
+    own, squares = z[k], n[k]
+    w = _weight(own, squares, alpha, **rest)
+    g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
+    z[k] = own + g - (np.sqrt(squares + g * g) - np.sqrt(squares)) / alpha * w
+    n[k] = squares + g * g
+
+
+def train(buckets: np.ndarray, values: np.ndarray, ends: np.ndarray, labels: list[int], passes: int = PASSES, seed: int = 5,
+          **rates: float) -> tuple[np.ndarray, float]:
     """FTRL-proximal over rows ``ends[i]:ends[i + 1]`` of (bucket, value); (weights, bias)."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     rng = np.random.default_rng(seed)
-
-    def weight(k: np.ndarray) -> np.ndarray:
-        s = z[k]
-        return np.where(np.abs(s) <= l1, 0.0, -(s - np.sign(s) * l1) / ((beta + np.sqrt(n[k])) / alpha + l2))
-
     for _ in range(passes):
         for i in rng.permutation(len(labels)):
-            k = np.append(buckets[ends[i] : ends[i + 1]], BUCKETS)
-            x = np.append(values[ends[i] : ends[i + 1]], np.float32(1))
-            w = weight(k)
-            g = (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - labels[i]) * x
-            step = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
-            z[k] += g - step * w
-            n[k] += g * g
-    all_ = weight(np.arange(BUCKETS + 1))
+            _update(z, n, buckets[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]], labels[i], **rates)
+    all_ = _weight(z, n, **rates)
     return all_[:BUCKETS], float(all_[BUCKETS])
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, label, buckets, values) of every training row, a bucket once with its share of all features."""
+def feature_rows(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, values) of each text, a bucket once with its share of all features."""
+    data, offsets = buffers(text)
+    for a, b in pieces(offsets):
+        k, rows = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        keys, counts = np.unique(rows * BUCKETS + k, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(1, b - a) * BUCKETS)
+        total = np.maximum(np.bincount(rows, minlength=b - a), 1)
+        shares = (counts * _SCALE / total[keys // BUCKETS]).astype(np.float32)
+        yield from zip(np.split(keys % BUCKETS, cuts), np.split(shares, cuts))
+
+
+def _learn(state: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
+    """Follow the leader over one shard's rows; ``state`` holds z and n of each bucket and of the bias."""
+    z, n = np.ascontiguousarray(state[:, 0]), np.ascontiguousarray(state[:, 1])
     for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        buckets: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-        for a, b in pieces(offsets):
-            k, rows = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            keys, counts = np.unique(rows * BUCKETS + k, return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(1, b - a) * BUCKETS)
-            total = np.maximum(np.bincount(rows, minlength=b - a), 1)
-            shares = (counts * _SCALE / total[keys // BUCKETS]).astype(np.float32)
-            buckets += np.split((keys % BUCKETS).astype(np.int32), cuts)
-            values += np.split(shares, cuts)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("at"), batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
-            ["at", "label", "buckets", "values"],
-        )
+        for (k, x), label in zip(feature_rows(batch.column("text")), batch.column("label").to_pylist()):
+            _update(z, n, k, x, label)
+    state[:, 0], state[:, 1] = z, n
 
 
 def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
@@ -102,35 +107,20 @@ def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(at, label, text) of labelled ids outside the held-out fold, half of ``max_train`` of each label at most.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(shard, at, label, text) of all rows with labelled ids outside the held-out fold, of any length.
 
-    Texts of more than ``max_bytes`` are not learned from, which bounds the bytes of the sample.
-    The ids come first in hash order, which ``at`` gives.  An id labelled more than once counts once, with its largest label.
+    An id labelled more than once counts once, with its largest label.
     """
-    ids = labelled_ids(labels, label)
-    halves = [
-        ids.where(F.col("__label") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_train // 2) for y in (0, 1)
-    ]
-    chosen = halves[0].union(halves[1])
-    # At most max_train rows of 12 bytes: safe to broadcast.
-    texts = docs.select(F.col("doc_id").alias("__doc"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    return texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(
-        F.xxhash64("__id").alias("at"), F.col("__label").alias("label"), "text"
-    )
+    return sharded(docs, labelled_ids(labels, label), shard_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """(weights, bias); without labelled rows the model scores every text by its bias, 0.5."""
-    rows = training_rows(docs, labels, "quality", max_train)
-    got = (
-        rows.mapInArrow(_feature_rows, "at long, label int, buckets array<int>, values array<float>")
-        .orderBy("at").limit(max_train).toArrow()
-    )
-    buckets, values = got.column("buckets").combine_chunks(), got.column("values").combine_chunks()
-    return train(
-        buckets.values.to_numpy(), values.values.to_numpy(), buckets.offsets.to_numpy(), got.column("label").to_pylist()
-    )
+def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """(weights, bias) from all labelled rows; without any the model scores every text by its bias, 0.5."""
+    rows = training_rows(docs, labels, "quality", shard_rows)
+    state = learned(rows, np.zeros((BUCKETS + 1, 2)), _learn, passes)
+    all_ = _weight(state[:, 0], state[:, 1])
+    return all_[:BUCKETS], float(all_[BUCKETS])
 
 
 def scores(text: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -3,8 +3,8 @@
 A word's vector is the sum of the embeddings of its hash and of its first 4, 6 and 8
 bytes, so that unseen words share what their beginnings taught.  Filters of several
 widths slide over the whole text, each filter keeps its greatest value, and one linear
-layer gives the logit.  Everything is trained in numpy on the driver, from a bounded
-sample of labelled rows (``max_train``).  A part of that sample calibrates one
+layer gives the logit.  The net learns from all labelled rows, whose shards' nets are
+averaged after each pass, but for a fifth of them.  All of that fifth calibrates one
 threshold for each language, told by function words of the text itself; scores are
 shifted so that this threshold lies at 0.5.
 """
@@ -12,22 +12,29 @@ shifted so that this threshold lies at 0.5.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from . import ship_by_value
 from ._bytes import LOWER, WORD, SpanHash, buffers, pieces, runs
-from ._spark import id_remainder, table
+from ._mixed import learned
+from ._spark import checkpointed, id_remainder, table
 from .quality import training_rows
 
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 12, 16, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 PREFIXES = (4, 6, 8)
-MAX_TRAIN = 6000
+#: Labelled rows that are learned from one after the other, before nets are averaged.
+SHARD_ROWS = 1 << 13
+PASSES, BATCH, RATE = 6, 32, 0.08
+#: Words whose feature maps are held at once while learning; a longer text is taken alone.
+MAP_WORDS = 1 << 16
 
 #: Function words by which a text's language is told.
 FUNCTION_WORDS = {
@@ -110,32 +117,65 @@ def padding(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return out, firsts
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, passes: int = 6, batch: int = 32, rate: float = 0.08, seed: int = 3) -> Net:
-    """Adagrad on the log loss; the gradient of a pooled filter reaches the words where it was greatest."""
-    net, rng = Net(seed), np.random.default_rng(seed)
-    grad2 = {"emb": np.full(BUCKETS + 1, 1e-3, np.float32), "out": 1e-3, "bias": 1e-3, "shift": 1e-3,
-             "filters": [np.full(k.shape, 1e-3, np.float32) for k in net.filters]}
-    for _ in range(passes):
-        order = rng.permutation(len(docs))
-        for first in range(0, len(order), batch):
-            _step(net, grad2, [docs[i] for i in order[first : first + batch]], labels[order[first : first + batch]], rate)
-    return net
+def squares_of(net: Net) -> dict:
+    """Adagrad's sums of squares before the first step."""
+    like = lambda x: np.full(np.shape(x), 1e-3, np.float32)
+    return {"emb": np.full(BUCKETS + 1, 1e-3, np.float32), "out": like(net.out), "bias": like(net.bias), "shift": like(net.shift),
+            "filters": [like(k) for k in net.filters]}
 
 
-def _step(net: Net, grad2: dict, docs: list[np.ndarray], y: np.ndarray, rate: float) -> None:
+def _small(net: Net, grad2: dict) -> list[np.ndarray]:
+    return [*net.filters, net.bias, net.out, net.shift, *grad2["filters"], grad2["bias"], grad2["out"], grad2["shift"]]
+
+
+def packed(net: Net, grad2: dict) -> np.ndarray:
+    """Lines of floats: each embedding with its sum of squares, then all else, filled up with zeros."""
+    rest = np.concatenate([np.ravel(x) for x in _small(net, grad2)])
+    rest = np.concatenate([rest, np.zeros(-len(rest) % (DIM + 1))]).reshape(-1, DIM + 1)
+    return np.vstack([np.hstack([net.emb, grad2["emb"][:, None]]), rest]).astype(np.float32)
+
+
+def unpacked(state: np.ndarray) -> tuple[Net, dict]:
+    net = Net()
+    grad2 = squares_of(net)
+    net.emb, grad2["emb"] = state[: BUCKETS + 1, :DIM].copy(), state[: BUCKETS + 1, DIM].copy()
+    flat, parts, at = state[BUCKETS + 1 :].ravel(), [], 0
+    for x in _small(net, grad2):
+        parts.append(flat[at : at + np.size(x)].reshape(np.shape(x)).copy())
+        at += np.size(x)
+    n = len(WIDTHS)
+    net.filters, (net.bias, net.out, net.shift) = parts[:n], parts[n : n + 3]
+    grad2["filters"], (grad2["bias"], grad2["out"], grad2["shift"]) = parts[n + 3 : 2 * n + 3], parts[2 * n + 3 :]
+    return net, grad2
+
+
+def _pooled(net: Net, docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(greatest value of each filter, and by width the words and the vectors where it was greatest)."""
     n, counts = len(docs), np.array([len(d) for d in docs])
-    rows = np.repeat(np.arange(n), counts)
-    padded, firsts = padding(np.concatenate(docs), rows, counts)
+    padded, firsts = padding(np.concatenate(docs), np.repeat(np.arange(n), counts), counts)
     x, maps = net.maps(padded)
     pooled = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
-    where = np.zeros(pooled.shape, np.int64)
-    for k, m in enumerate(maps):
-        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+    ids, vectors = [], []
+    for k, (w, m) in enumerate(zip(WIDTHS, maps)):
+        where = np.zeros((n, FILTERS), np.int64)
         for r in np.flatnonzero(counts):
             part = m[firsts[r] : firsts[r] + counts[r]]
             top = part.argmax(0)
-            where[r, cols] = firsts[r] + top
-            pooled[r, cols] = part[top, np.arange(FILTERS)]
+            where[r] = firsts[r] + top
+            pooled[r, k * FILTERS : (k + 1) * FILTERS] = part[top, np.arange(FILTERS)]
+        # Only those of a last text without words would lie beyond the end; their pull is zero.
+        at = np.minimum(where[:, :, None] + np.arange(w), len(padded) - 1)
+        ids.append(padded[at])
+        vectors.append(x[at])
+    return pooled, ids, vectors
+
+
+def _step(net: Net, grad2: dict, docs: list[np.ndarray], y: np.ndarray, rate: float) -> None:
+    """Adagrad on the log loss; the gradient of a pooled filter reaches the words where it was greatest."""
+    n, counts = len(docs), np.array([len(d) for d in docs])
+    group = (np.cumsum(counts) - counts) // MAP_WORDS
+    parts = [_pooled(net, [docs[i] for i in np.flatnonzero(group == g)]) for g in np.unique(group)]
+    pooled = np.concatenate([p for p, _, _ in parts])
     active = np.maximum(pooled + net.bias, 0)
     p = 1 / (1 + np.exp(-np.clip(active @ net.out + net.shift, -30, 30)))
     d = ((p - y) / n).astype(np.float32)
@@ -143,100 +183,93 @@ def _step(net: Net, grad2: dict, docs: list[np.ndarray], y: np.ndarray, rate: fl
     d_pool = d[:, None] * net.out * (active > 0) * (counts > 0)[:, None]
     touched, pulls = [], []
     for k, w in enumerate(WIDTHS):
-        cols = slice(k * FILTERS, (k + 1) * FILTERS)
-        g, at = d_pool[:, cols], where[:, cols]
-        d_filter = np.zeros_like(net.filters[k])
-        for j in range(w):
-            d_filter[j] = np.einsum("nf,nfd->df", g, x[at + j])
-            touched.append(padded[(at + j).ravel()])
-            pulls.append((g[:, :, None] * net.filters[k][j].T).reshape(-1, DIM))
+        g = d_pool[:, k * FILTERS : (k + 1) * FILTERS]
+        ids, x = (np.concatenate([part[c][k] for part in parts]) for c in (1, 2))
+        d_filter = np.einsum("nf,nfjd->jdf", g, x)
+        touched.append(ids.reshape(-1, ids.shape[-1]))
+        pulls.append(np.einsum("nf,jdf->nfjd", g, net.filters[k]).reshape(-1, DIM))
         grad2["filters"][k] += d_filter**2
         net.filters[k] -= rate * d_filter / np.sqrt(grad2["filters"][k])
     touched, pulls = np.concatenate(touched), np.concatenate(pulls)
     live = np.abs(pulls).sum(1) > 0
-    ids = touched[live]
-    rows_, inverse = np.unique(ids.ravel(), return_inverse=True)
-    total = np.zeros((len(rows_), DIM), np.float32)
-    np.add.at(total, inverse.reshape(-1), np.repeat(pulls[live], ids.shape[1], axis=0))
-    total[rows_ == BUCKETS] = 0
-    grad2["emb"][rows_] += (total**2).mean(1)
-    net.emb[rows_] -= rate * total / np.sqrt(grad2["emb"][rows_])[:, None]
+    ids = touched[live].ravel()
+    if len(ids):
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        rows = ids[order][firsts]
+        total = np.add.reduceat(np.repeat(pulls[live], touched.shape[1], axis=0)[order], firsts, axis=0)
+        total[rows == BUCKETS] = 0
+        grad2["emb"][rows] += (total**2).mean(1)
+        net.emb[rows] -= rate * total / np.sqrt(grad2["emb"][rows])[:, None]
     for name, g in (("out", d_out), ("bias", d_pool.sum(0)), ("shift", d.sum())):
         grad2[name] = grad2[name] + g**2
         setattr(net, name, (getattr(net, name) - rate * g / np.sqrt(grad2[name])).astype(np.float32))
 
 
+def _learn(state: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
+    """One pass of Adagrad over a shard's rows, ``BATCH`` at a time."""
+    net, grad2 = unpacked(state)
+    rows = ((ids, label) for batch in batches for (ids, _), label in zip(token_rows(batch.column("text")), batch.column("label").to_pylist()))
+    while some := list(islice(rows, BATCH)):
+        _step(net, grad2, [ids for ids, _ in some], np.array([label for _, label in some]), RATE)
+    state[:] = packed(net, grad2)
+
+
 #: What a false alarm's rate weighs against that of a missed toxic text.
 ALARM_WEIGHT = 3.0
 
 
-def best_threshold(logits: np.ndarray, y: np.ndarray, alarm_weight: float = ALARM_WEIGHT) -> float:
-    """The cut of the least share of missed positives plus ``alarm_weight`` times that of false alarms, midway between its neighbours."""
-    order = np.argsort(logits, kind="stable")
-    s, t = logits[order], y[order]
-    below1 = np.concatenate([[0], np.cumsum(t)]) / max(1, t.sum())
-    above0 = 1 - np.concatenate([[0], np.cumsum(1 - t)]) / max(1, (1 - t).sum())
-    at = int(np.argmin(below1 + alarm_weight * above0))
-    if 0 < at < len(s):
-        return float((s[at - 1] + s[at]) / 2)
-    return float(s[0] - 1 if at == 0 else s[-1] + 1)
-
-
-def calibrate(logits: np.ndarray, langs: np.ndarray, y: np.ndarray, least: int = 15) -> np.ndarray:
-    """A threshold for each language and for texts of none; few examples fall back on all languages' threshold."""
-    both = 0 < y.sum() < len(y)
-    overall = best_threshold(logits, y) if both else 0.0
-    out = np.full(len(FUNCTION_WORDS) + 1, overall)
-    for g in range(len(out)):
-        own = langs == g
-        if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-            out[g] = best_threshold(logits[own], y[own])
-    return out
-
-
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        lists, langs = [], []
-        for a, b in pieces(offsets):
-            ids, rows, told = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            lists += [x.ravel() for x in np.split(ids, np.searchsorted(rows, np.arange(1, b - a)))]
-            langs.append(told)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("at"), batch.column("label"), pa.array(np.concatenate(langs).astype(np.int32) if langs else [], pa.int32()),
-             pa.array(lists, pa.list_(pa.int32()))],
-            ["at", "label", "lang", "ids"],
-        )
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Net, np.ndarray]:
-    """(net, thresholds); every fifth row of the sample only calibrates."""
-    got = (
-        training_rows(docs, labels, "toxic", max_train)
-        .mapInArrow(_token_rows, "at long, label int, lang int, ids array<int>")
-        .orderBy("at")
-        .limit(max_train)
-        .toArrow()
-    )
-    y, langs = got.column("label").to_numpy().astype(np.int64), got.column("lang").to_numpy()
-    lists = got.column("ids").combine_chunks()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    docs_ = [values[a:b].reshape(-1, 1 + len(PREFIXES)) for a, b in zip(ends, ends[1:])]
-    held = np.arange(len(docs_)) % 5 == 0
-    learn = np.flatnonzero(~held)
-    net = train([docs_[i] for i in learn], y[learn])
-    cut = np.flatnonzero(held)
-    logits = np.array([net.logits(docs_[i], np.zeros(len(docs_[i]), np.int64), 1)[0] for i in cut])
-    return net, calibrate(logits, langs[cut], y[cut])
+def token_rows(text: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """(hashed features of its words, language) of each text."""
+    data, offsets = buffers(text)
+    for a, b in pieces(offsets):
+        ids, rows, told = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield from zip(np.split(ids, np.searchsorted(rows, np.arange(1, b - a))), told.tolist())
 
 
-def scores(text: pa.Array, net: Net, thresholds: np.ndarray) -> np.ndarray:
+def calibrated(rows: DataFrame, net: Net, alarm_weight: float = ALARM_WEIGHT, least: int = 15) -> np.ndarray:
+    """A threshold for each language and for texts of none, from all ``rows`` (label, text).
+
+    It is the cut of the least share of missed positives plus ``alarm_weight`` times that of false alarms, midway
+    between its neighbours.  Fewer than ``least`` examples of a label fall back on all languages' threshold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, told = logits(batch.column("text"), net)
+            yield pa.RecordBatch.from_arrays([pa.array(told.astype(np.int32)), batch.column("label"), pa.array(s.astype(np.float64))], ["lang", "label", "s"])
+
+    scored = checkpointed(rows.select("label", "text").mapInArrow(run, "lang int, label int, s double"))
+    # Language -1 is all of them.
+    scored = scored.select(F.explode(F.array("lang", F.lit(-1))).alias("lang"), F.col("label").cast("boolean").alias("label"), "s")
+    cuts = {r["lang"]: r for r in ranks.least_cost_cuts(scored, "s", "label", "lang", alarm_weight).collect()}  # a row a language
+    fits = lambda g, n: g in cuts and min(cuts[g]["p"], cuts[g]["q"]) >= n
+    overall = cuts[-1]["cut"] if fits(-1, 1) else 0.0
+    return np.array([cuts[g]["cut"] if fits(g, least) else overall for g in range(len(FUNCTION_WORDS) + 1)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, passes: int = PASSES) -> tuple[Net, np.ndarray]:
+    """(net, thresholds) from all labelled rows; about every fifth, by hash, only calibrates, the others are learned from."""
+    rows = training_rows(docs, labels, "toxic", shard_rows)
+    calibrates = F.pmod(F.xxhash64("at"), F.lit(5)) == 0
+    net = Net()
+    net, _ = unpacked(learned(rows.where(~calibrates), packed(net, squares_of(net)), _learn, passes))
+    return net, calibrated(rows.where(calibrates), net)
+
+
+def logits(text: pa.Array, net: Net) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, language) of each text."""
     data, offsets = buffers(text)
-    out = np.zeros(len(offsets) - 1)
+    out, langs = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
     for a, b in pieces(offsets, 1 << 19):
-        ids, rows, told = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        out[a:b] = net.logits(ids, rows, b - a) - thresholds[told]
-    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        ids, rows, langs[a:b] = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        out[a:b] = net.logits(ids, rows, b - a)
+    return out, langs
+
+
+def scores(text: pa.Array, net: Net, thresholds: np.ndarray) -> np.ndarray:
+    out, langs = logits(text, net)
+    return 1 / (1 + np.exp(-np.clip(out - thresholds[langs], -30, 30)))
 
 
 def score_documents(docs: DataFrame, model: tuple[Net, np.ndarray]) -> DataFrame:

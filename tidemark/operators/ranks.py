@@ -84,6 +84,35 @@ def histogram(rows: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def least_cost_cuts(rows: DataFrame, score: str, label: str, by: str, alarm_weight: float = 1.0, ranges: int | None = None) -> DataFrame:
+    """(``by``, cut, p, q): each group's least cut of least cost, and how many of its rows are labelled and how many not.
+
+    A cut's cost is the share of the labelled below it plus ``alarm_weight`` times the share of the others from it on.
+    It lies midway between neighbouring scores, or one beside the first or last.  Equal scores are counted first.
+    """
+    counted = rows.groupBy(F.col(by).alias("__g"), F.col(score).alias("__s")).agg(F.count_if(F.col(label)).alias("__p"), F.count_if(~F.col(label)).alias("__q"))
+    parts = _ranged(counted, ["__g", "__s"], ranges)
+    sizes = parts.groupBy("__g", "__part").agg(F.sum("__p").alias("__pn"), F.sum("__q").alias("__qn"), F.max("__s").alias("__last"))
+    # A row for each group and range it lies in.
+    earlier, whole = Window.partitionBy("__g").orderBy("__part"), Window.partitionBy("__g")
+    sizes = sizes.select(
+        F.col("__g").alias("__h"), F.col("__part").alias("__r"), F.lag("__last").over(earlier).alias("__left"),
+        (F.sum("__pn").over(earlier) - F.col("__pn")).alias("__p0"), (F.sum("__qn").over(earlier) - F.col("__qn")).alias("__q0"),
+        F.sum("__pn").over(whole).alias("p"), F.sum("__qn").over(whole).alias("q"), F.max("__last").over(whole).alias("__end"),
+    )
+    within = Window.partitionBy("__g", "__part").orderBy("__s")
+    running = parts.select(
+        "*", F.lag("__s").over(within).alias("__before"), (F.sum("__p").over(within) - F.col("__p")).alias("__pb"), (F.sum("__q").over(within) - F.col("__q")).alias("__qb")
+    ).join(sizes, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__r")))
+    left = F.coalesce("__before", "__left")
+    missed = (F.col("__p0") + F.col("__pb")) / F.greatest("p", F.lit(1))
+    alarms = (F.col("q") - F.col("__q0") - F.col("__qb")) / F.greatest("q", F.lit(1))
+    at = F.struct((missed + alarm_weight * alarms).alias("cost"), F.coalesce((left + F.col("__s")) / 2, F.col("__s") - 1).alias("cut"))
+    # Beyond the last score all labelled rows are missed, and there is no false alarm.
+    beyond = F.struct(F.least(F.first("p"), F.lit(1)).cast("double").alias("cost"), (F.max("__end") + 1).alias("cut"))
+    return running.groupBy(F.col("__g").alias(by)).agg(F.least(F.min(at), beyond)["cut"].alias("cut"), F.first("p").alias("p"), F.first("q").alias("q"))
+
+
 def _binned(rows: DataFrame, score: str, label: str, ranges: int | None) -> DataFrame:
     """``histogram`` with ``part``: ranges of about ``BINS`` scores, so that replicates make a row for each of few ranges."""
     bins = cut(histogram(rows, score, label))
